@@ -49,9 +49,10 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "doc_id", "left")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of [^\\x20\\x09-\\x0D] as UTF-8 (bytes.split() parts at exactly these six bytes)."""
-    return text.encode().split() if text else []
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Runs of [^\\x20\\x09-\\x0D] as UTF-8 (bytes.split() parts at exactly these six bytes; bytes.lower() changes A-Z)."""
+    data = (text or "").encode()
+    return (data.lower() if lower else data).split()
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import host_rules, sharding
+from driftline.llm import host_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (host_rules.op5_host_rules, sharding.op9_bounded_ring)
+    found = (host_rules.op5_host_rules, simhash.op6_simhash, sharding.op9_bounded_ring)
     return {f.__name__: f for f in found}
 
 
