@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import host_rules, quality, sharding, simhash, toxicity
+from driftline.llm import host_rules, packing, quality, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality.op1_quality, host_rules.op5_host_rules, simhash.op6_simhash, sharding.op9_bounded_ring, toxicity.op10_toxicity)
+    found = (quality.op1_quality, packing.op4_packing, host_rules.op5_host_rules, simhash.op6_simhash, sharding.op9_bounded_ring, toxicity.op10_toxicity)
     return {f.__name__: f for f in found}
 
 
