@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontaminate, host_rules, packing, quality, sharding, simhash, toxicity
+from driftline.llm import blocks, decontaminate, host_rules, packing, quality, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (quality.op1_quality, decontaminate.op3_winnowing, packing.op4_packing, host_rules.op5_host_rules, simhash.op6_simhash, sharding.op9_bounded_ring, toxicity.op10_toxicity)
+    found = (quality.op1_quality, blocks.op2_blocks, decontaminate.op3_winnowing, packing.op4_packing, host_rules.op5_host_rules, simhash.op6_simhash, suffixes.op7_suffixes, sharding.op9_bounded_ring, toxicity.op10_toxicity)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_winnowing": decontaminate.ORACLE, "op5_host_rules": host_rules.ORACLE}
+    return {"op2_blocks": blocks.ORACLE, "op3_winnowing": decontaminate.ORACLE, "op5_host_rules": host_rules.ORACLE}
