@@ -193,7 +193,7 @@ def sorted_out(sent: DataFrame, width: int) -> DataFrame:
             done, opened, crowded = (np.zeros(len(h), bool) for _ in range(3))
             done[order] = twice
             opened[order] = (kinds > 1) & ~hot & new
-            crowded[order] = hot & new
+            crowded[order] = hot & new & (flag[order] < 2)  # the batch has sent its own already
         rows = by_document(doc[done], DONE, start[done], start[done] + wins[done] - 1 + width)
         for k, which in ((OPEN, opened), (CROWDED, crowded)):
             rows += by_document(doc[which], k, start[which], wins[which], off[which], h[which])
