@@ -43,9 +43,9 @@ def guarded(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans") -> DataFrame:
     """docs left-joined with a stored table (doc_id, spans binary); broadcast only if all its spans fit the bound."""
-    size = spans.agg(F.sum(F.octet_length("spans") + 48)).first()[0] or 0
+    size = spans.agg(F.sum(F.octet_length(name) + 48)).first()[0] or 0
     return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "doc_id", "left")
 
 

@@ -81,6 +81,18 @@ def score(docs: DataFrame, model: np.ndarray, features: Features, extra: tuple[s
     return kept.mapInArrow(run, f"{schema}, score double")
 
 
+def keep_below(docs: DataFrame, model: np.ndarray, features: Features, limit: float) -> DataFrame:
+    """The documents, with all their columns, that score below limit."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    edge = float(np.log(limit / (1 - limit)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([float(shared.value[at] @ x) < edge for at, x in map(features, b.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
