@@ -31,7 +31,7 @@ from driftline.llm.common import byte_size, guarded, merge, mix, pack_spans, sto
 
 WORDS = 13
 BATCH, FREQUENT = 1 << 20, 256
-BUCKET_BYTES = 16 << 20  # of text
+BUCKET_BYTES = 6 << 20  # of text
 ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(1, 65)], "u8")
 
 
@@ -61,44 +61,57 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shipped(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes, bytes, bytes]]:
-    """(bucket, n, hashes, documents, entries for each, positions) for entries in the order of documents and positions."""
-    order = np.argsort(bucket, kind="stable")
-    h, doc, pos, bucket = h[order], doc[order], pos[order], bucket[order]
-    edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+PACKED = "part int, h binary, docs binary, runs binary, pos binary"
+NAMES = ("part", "h", "docs", "runs", "pos")
+
+
+def shipped(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None, width: int = 0) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Packed rows, one for each part: hashes (their low bytes), documents, entries for each document, positions."""
+    order = np.argsort(part, kind="stable")
+    doc, pos, part = doc[order], pos[order], part[order]
+    edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, int)
     for a, z in zip(edge, edge[1:], strict=False):
         d = doc[a:z]
         first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        yield int(bucket[a]), int(z - a), planes(h[a:z], 5), d[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, z - a)), 4), planes(pos[a:z], 4)
+        yield int(part[a]), planes(h[order[a:z]], width) if width else b"", d[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, z - a)), 4), planes(pos[a:z], 4)
+
+
+def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], list(NAMES))
+
+
+def opened(t: pa.Table, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, docs, runs, pos = ([x.as_py() for x in t.column(c)] for c in NAMES[1:])
+    doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), unplanes(r, 4).astype("i8")) for d, r in zip(docs, runs, strict=True)])
+    return np.concatenate([unplanes(x, width) for x in h]) if width else np.zeros(0, "u8"), doc, np.concatenate([unplanes(x, 4) for x in pos]).astype("i8")
+
+
+def dealt_documents(doc: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(doc.astype("u8")) % np.uint64(groups)).astype("i4")
 
 
 def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataFrame:
-    """(bucket, n, h, docs, runs, pos); bucket -1: places that are marked already."""
+    """Packed rolling grams by bucket; part -1: places that are marked already."""
 
     def flush(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         h = np.concatenate([g for _, g in parts])
         doc = np.repeat(np.array([d for d, _ in parts], "i8"), [len(g) for _, g in parts])
         pos = np.concatenate([np.arange(len(g)) for _, g in parts])
-        bucket = (h >> np.uint64(40)) % np.uint64(buckets)
-        bucket = bucket.astype("i4")
+        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype("i4")
         order = np.argsort(h, kind="stable")
         hs = h[order]
         edge = np.append(np.flatnonzero(np.append(True, hs[1:] != hs[:-1])), len(hs))
-        many = np.flatnonzero(np.diff(edge) > FREQUENT)
-        if len(many):
-            often, drop = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            for k in many:
-                at = order[edge[k] : edge[k + 1]]
-                # the first place stays, and the first block of the least document, which others may need to meet
-                blocks = at[pos[at] % block == 0]
-                stay = np.append(at[:1], blocks[np.argmin(doc[blocks])] if len(blocks) else at[:0])
-                often[at], drop[at] = True, True
-                drop[stay] = False
-            rest = [(-1, *x[1:]) for x in shipped(h[often], doc[often], pos[often], np.zeros(often.sum(), "i4"))]
-            rows = [*shipped(h[~drop], doc[~drop], pos[~drop], bucket[~drop]), *rest]
-        else:
-            rows = list(shipped(h, doc, pos, bucket))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "n", "h", "docs", "runs", "pos"])
+        often, drop = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        for k in np.flatnonzero(np.diff(edge) > FREQUENT):
+            at = order[edge[k] : edge[k + 1]]
+            # the first place goes on, and the first block of the least document, for others to meet
+            blocks = at[pos[at] % block == 0]
+            stay = np.append(at[:1], blocks[np.argmin(doc[blocks])] if len(blocks) else at[:0])
+            often[at], drop[at] = True, True
+            drop[stay] = False
+        rest = shipped(np.full(often.sum(), -1, "i4"), doc[often], pos[often])
+        return packed_batch([*shipped(bucket[~drop], doc[~drop], pos[~drop], h[~drop], 5), *rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -115,14 +128,7 @@ def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataF
         if parts:
             yield flush(parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, n int, h binary, docs binary, runs binary, pos binary")
-
-
-def opened(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cols = [[x.as_py() for x in t.column(c)] for c in ("h", "docs", "runs", "pos")]
-    h = np.concatenate([unplanes(x, 5) for x in cols[0]])
-    doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), unplanes(r, 4).astype("i8")) for d, r in zip(cols[1], cols[2], strict=True)])
-    return h, doc, np.concatenate([unplanes(x, 4) for x in cols[3]]).astype("i8")
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
 def places(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: str = "doc_id") -> pa.Table:
@@ -148,25 +154,36 @@ def joined(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "spans"])
 
 
-def marked(sent: DataFrame, block: int) -> DataFrame:
+def marked(sent: DataFrame, block: int, groups: int) -> DataFrame:
     """(doc_id, spans): places of probes and blocks that meet, where the block's document is another one."""
 
     def meet(t: pa.Table) -> pa.Table:
-        h, doc, pos = opened(t)
-        if t.column("bucket")[0].as_py() < 0:
-            return places(doc, pos, pos + 1)
+        if t.column("part")[0].as_py() < 0:
+            _, doc, pos = opened(t)
+            return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc, groups), doc, pos)))])
+        h, doc, pos = opened(t, 5)
         order = np.argsort(h, kind="stable")
         hs, d, p = h[order], doc[order], pos[order]
         first = np.append(True, hs[1:] != hs[:-1])
-        group = np.cumsum(first) - 1
-        low, high = np.minimum.reduceat(d, np.flatnonzero(first)), np.maximum.reduceat(d, np.flatnonzero(first))
-        anchored = np.maximum.reduceat((p % block == 0).astype("u1"), np.flatnonzero(first)) > 0
-        keep = ((low < high) & anchored)[group]
-        return places(d[keep], p[keep], p[keep] + 1)
+        group, at = np.cumsum(first) - 1, np.flatnonzero(first)
+        other = np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)
+        keep = (other & (np.maximum.reduceat((p % block == 0).astype("u1"), at) > 0))[group]
+        back = order[keep]
+        back.sort()  # in the order of documents again
+        return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc[back], groups), doc[back], pos[back])))])
 
-    # a batch's own frequent places are spread, one group for each of its rows
-    dealt = sent.withColumn("part", F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.lit(0)))
-    return dealt.groupBy("bucket", "part").applyInArrow(meet, "doc_id long, spans binary")
+    salt = F.when(F.col("part") < 0, F.xxhash64("docs", "pos")).otherwise(F.lit(0))  # marked places need no meeting
+    return by_document(sent.withColumn("salt", salt).groupBy("part", "salt").applyInArrow(meet, PACKED), 1)
+
+
+def by_document(packed: DataFrame, length: int) -> DataFrame:
+    """(doc_id, spans) of packed places that were dealt by document; each place covers length words."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        _, doc, pos = opened(t)
+        return places(doc, pos, pos + length)
+
+    return packed.groupBy("part").applyInArrow(gather, "doc_id long, spans binary")
 
 
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -178,33 +195,48 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("size").alias("size")).filter("rep < last and size > 0")
     later = stored(digest.join(copies.select("digest", "rep"), "digest").filter("doc_id > rep").select("doc_id").distinct(), "blocks-copies")
     alone = docs.join(guarded(later, 16), "doc_id", "left_anti")
-    places_ = stored(union_spans(marked(probes(alone, buckets, block, words), block)), "blocks-places")
+    near = stored(marked(probes(alone, buckets, block, words), block, buckets), "blocks-places")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hs, at, size = [], [], [], 0
         for b in batches:
-            ids, hs, at = [], [], []
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                if s is None:
-                    continue
                 g = grams(word_hashes(t), words)
-                a, z = merge(*(lambda a, z: (np.maximum(a - (words - block), 0), np.minimum(z, len(g))))(*unpack_spans(s)))
-                a, z = a[a < z], z[a < z]
-                i = np.concatenate([np.arange(x, y) for x, y in zip(a, z, strict=True)]) if len(a) else np.zeros(0, int)
+                a, z = unpack_spans(s)
+                a, z = merge(np.maximum(a - (words - block), 0), np.minimum(z, len(g)))
+                i = np.concatenate([np.arange(x, y) for x, y in zip(a, z, strict=True)])
                 ids.append(np.full(len(i), d, "i8")), hs.append(g[i]), at.append(i)
-            cols = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, "i8"), (hs, "u8"), (at, "i8"))]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1].view("i8"), pa.int64()), pa.array(cols[2].astype("i4"), pa.int32())], ["doc_id", "h", "at"])
-
-    near = stored(with_spans(alone, places_).filter(F.col("spans").isNotNull()).mapInArrow(windows, "doc_id long, h long, at int"), "blocks-windows")
-    earliest = near.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h", "low")
-    hits = near.join(earliest, "h").filter("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = [np.sort(np.asarray(x, "i8")) for x in b.column("at").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack_spans(*merge(x, x + words)) for x in at], pa.binary())], ["doc_id", "spans"])
-
+                size += len(i)
+                if size >= BATCH:
+                    yield settle(*map(np.concatenate, (ids, hs, at)))
+                    ids, hs, at, size = [], [], [], 0
+        if size:
+            yield settle(*map(np.concatenate, (ids, hs, at)))
+
+    def later_than(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which entries have an equal hash in an earlier document among these."""
+        order = np.argsort(h, kind="stable")
+        first = np.append(True, h[order][1:] != h[order][:-1])
+        out = np.empty(len(h), bool)
+        out[order] = doc[order] > np.minimum.reduceat(doc[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+        return out
+
+    def settle(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """A batch's own repeats are hits at once (part below 0); only the earliest document of each window is sent on."""
+        hit = later_than(h, doc)
+        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype("i4")
+        return packed_batch([*shipped(bucket[~hit], doc[~hit], at[~hit], h[~hit], 8), *shipped(-1 - dealt_documents(doc[hit], buckets), doc[hit], at[hit])])
+
+    def verify(t: pa.Table) -> pa.Table:
+        h, doc, at = opened(t, 8)
+        hit = later_than(h, doc)
+        return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc[hit], buckets), doc[hit], at[hit])))])
+
+    some = alone.join(guarded(near.select("doc_id"), 16), "doc_id", "left_semi")
+    tried = stored(with_spans(some, near).select("doc_id", "text", "spans").mapInArrow(windows, PACKED), "blocks-windows")
+    hits = tried.filter("part >= 0").groupBy("part").applyInArrow(verify, PACKED).union(tried.filter("part < 0").withColumn("part", -1 - F.col("part")))
     all_words = F.lit(pack_spans(np.array([0]), np.array([1 << 62])))
-    return stored(hits.mapInArrow(extend, "doc_id long, spans binary").union(later.select("doc_id", all_words.alias("spans"))), "blocks-spans")
+    return stored(by_document(hits, words).union(later.select("doc_id", all_words.alias("spans"))), "blocks-spans")
 
 
 def kept_words(words: list[bytes], spans: bytes | None, least: int = WORDS) -> list[bytes]:

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.blocks import places, planes, union_spans, unplanes
+from driftline.llm.blocks import PACKED, dealt_documents, opened, packed_batch, places, planes, shipped, union_spans, unplanes
+from driftline.llm.blocks import by_document as by_places
 from driftline.llm.common import byte_size, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans
 
 WIDTH, GRAM = 200, 64
@@ -294,30 +295,39 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         d, s = np.concatenate(ds), np.concatenate(ss)
         return places(d, s, s + width)
 
-    opened = fetched.filter(F.col("kind") == OPEN)
-    parts = max(1, opened.count() // 50_000 + 1)
-    found = found.union(opened.withColumn("part", F.pmod("anchor", F.lit(parts))).groupBy("part").applyInArrow(construct, pair))
+    aligned = fetched.filter(F.col("kind") == OPEN)
+    parts = max(1, aligned.count() // 50_000 + 1)
+    found = found.union(aligned.withColumn("part", F.pmod("anchor", F.lit(parts))).groupBy("part").applyInArrow(construct, pair))
     crowded = fetched.filter(F.col("kind") == CROWDED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             hs = [window_hashes(np.frombuffer(x, "u1"), width) for x in b.column("data").to_pylist()]
             n = [len(h) for h in hs]
-            at = np.concatenate([s + np.arange(k) for s, k in zip(b.column("start").to_pylist(), n, strict=True)] or [np.zeros(0, "i8")])
+            h = np.concatenate(hs)
+            at = np.concatenate([s + np.arange(k) for s, k in zip(b.column("start").to_pylist(), n, strict=True)])
             doc = np.repeat(b.column("doc_id").to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.concatenate(hs or [np.zeros(0, "u8")]).view("i8"), pa.int64()), pa.array(at, pa.int64())], ["doc_id", "h", "at"])
+            order = np.argsort(h, kind="stable")
+            first = np.append(True, h[order][1:] != h[order][:-1])
+            many = (np.bincount(np.cumsum(first) - 1) > 1)[np.cumsum(first) - 1]
+            twice, sent = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            twice[order] = many
+            sent[order] = first | np.append(False, first[:-1])  # two of each tell that it repeats
+            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype("i4")
+            yield packed_batch([*shipped(bucket[sent], doc[sent], at[sent], h[sent], 8), *shipped(-1 - dealt_documents(doc[twice], buckets), doc[twice], at[twice])])
+
+    def count(t: pa.Table) -> pa.Table:
+        h, doc, at = opened(t, 8)
+        _, group, n = np.unique(h, return_inverse=True, return_counts=True)
+        hit = (n > 1)[group]
+        return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc[hit], buckets), doc[hit], at[hit])))])
 
     if not crowded.isEmpty():
-        single = crowded.mapInArrow(each, "doc_id long, h long, at long")
-        often = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-        listed = single.join(often, "h").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-
-        def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = [np.sort(np.asarray(x, "i8")) for x in b.column("at").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack_spans(*merge(x, x + width)) for x in at], pa.binary())], ["doc_id", "spans"])
-
-        found = found.union(listed.mapInArrow(cover, pair))
+        single = stored(crowded.mapInArrow(each, PACKED), "suffixes-crowded")
+        met = single.filter("part >= 0").groupBy("part").applyInArrow(count, PACKED).union(single.filter("part < 0").withColumn("part", -1 - F.col("part")))
+        found = found.union(by_places(met, width))
     return stored(union_spans(found), "suffixes-spans")
 
 
