@@ -359,23 +359,23 @@ def q6_actions_page(s, d):
 
 
 def resolved_log(s: SparkSession, d: str) -> DataFrame:
-    """Actions with the resolutions of those whose severity is low appended."""
+    """Actions with the resolutions of those whose severity is medium appended."""
     log = incident(s, d)["actions"]
-    done = log.filter("severity = 'low'").select("id", F.lit("success").alias("outcome"), (F.col("triggered_at") + F.expr("INTERVAL 60 SECOND")).alias("resolved_at"), F.lit("done").alias("notes"))
+    done = log.filter("severity = 'medium'").select("id", F.lit("success").alias("outcome"), (F.col("triggered_at") + F.expr("INTERVAL 60 SECOND")).alias("resolved_at"), F.lit("done").alias("notes"))
     return log.unionByName(tables.resolve(log, done))
 
 
-@query(o.q(o.FULL, "SELECT id, hypothesis_id, CASE WHEN severity = 'low' THEN 'success' ELSE 'pending' END AS outcome, CASE WHEN severity = 'low' THEN epoch_us(triggered_at) + 60000000 ELSE -1 END AS resolved_at FROM ac"))
+@query(o.q(o.FULL, "SELECT id, hypothesis_id, CASE WHEN severity = 'medium' THEN 'success' ELSE 'pending' END AS outcome, CASE WHEN severity = 'medium' THEN epoch_us(triggered_at) + 60000000 ELSE -1 END AS resolved_at FROM ac"))
 def snk11_resolved_actions(s, d):
     return tables.current_actions(resolved_log(s, d)).select("id", "hypothesis_id", "outcome", us("resolved_at")).fillna(-1, ["resolved_at"])
 
 
-@query(o.q(o.FULL, "SELECT hypothesis_id, action, 'pending' AS outcome FROM (SELECT hypothesis_id || '' AS hypothesis_id, action || '' AS action FROM ac) UNION ALL SELECT hypothesis_id || '', action || '', 'success' FROM de WHERE p < 0.4"))
+@query(o.q(o.FULL, "SELECT hypothesis_id, target_stage_id AS stage_id, action, 'pending' AS outcome FROM de UNION ALL SELECT hypothesis_id, target_stage_id, action, 'success' FROM de WHERE severity = 'medium'"))
 def h3_audit_by_hypothesis(s, d):
-    return resolved_log(s, d).orderBy("triggered_at", "resolved_at").select("hypothesis_id", "action", "outcome")
+    return resolved_log(s, d).orderBy("triggered_at", "resolved_at").select("hypothesis_id", "stage_id", "action", "outcome")
 
 
-@query(o.q(o.FULL, "SELECT hypothesis_id, 'cancelled' AS outcome, 'override: operator' AS notes FROM ac WHERE severity <> 'low' ORDER BY triggered_at DESC, id DESC LIMIT 1"))
+@query(o.q(o.FULL, "SELECT hypothesis_id, 'cancelled' AS outcome, 'override: operator' AS notes FROM ac WHERE severity <> 'medium' ORDER BY triggered_at DESC, id DESC LIMIT 1"))
 def q7_override_newest(s, d):
     log = resolved_log(s, d)
     newest = tables.current_actions(log).filter("outcome = 'pending'").orderBy(F.desc("triggered_at"), F.desc("id")).limit(1)
@@ -388,7 +388,7 @@ def snk9_new_localizations(s, d):
     return _found(tables.append_new(found, found.filter("evidence_count <= 1"), "hypothesis_id"))
 
 
-@query(o.q(o.FULL, "SELECT ac.id, ac.hypothesis_id, rk.candidate AS root_cause_stage_id, round(rk.p, 6) AS posterior_probability FROM ac LEFT JOIN rk ON rk.hypothesis_id = ac.hypothesis_id AND rank = 1"))
+@query(o.q(o.FULL, "SELECT id, hypothesis_id, target_stage_id AS root_cause_stage_id, round(p, 6) AS posterior_probability FROM ac"))
 def j9_audit_trail(s, d):
     i = incident(s, d)
     return reads.audit_trail(i["actions"], i["found"]).select("id", "hypothesis_id", "root_cause_stage_id", r6("posterior_probability"))
