@@ -6,8 +6,10 @@ words probe the index of blocks. Blocks and probes are dealt by hash; a probe th
 marks both places, and the words around them are the only ones looked at again: marked places are extended to all windows
 around them, equal windows are found by their complete hash, and neighbouring hits merge into maximal exact repeats.
 
-Probes travel as packed arrays, a few bytes each, one row for a bucket of hashes and a batch of documents; a block is
-a probe at a multiple of BLOCK words, so it needs no row of its own. Exact copies of a text are settled first, and only
+Probes travel as packed arrays, five or six bytes each, one row for a bucket of hashes and a batch of documents. They name
+the batch and the place in it, so their size doesn't grow with the number of buckets; each batch's table of documents
+travels once, to where the marked places of the batch are gathered. Documents start at multiples of BLOCK in a batch, so a
+block is a probe at a multiple of BLOCK and needs no row of its own. Exact copies of a text are settled first, and only
 the first document of each goes on. A gram that is frequent inside one batch is marked there and sends one
 representative, so that no bucket gathers all occurrences of a common line. Windows are compared by a 64-bit mix of
 their words' 64-bit hashes.
@@ -23,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import byte_size, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans, words_of
+from driftline.llm.common import WHOLE, byte_size, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans, words_of
 
 WORDS = 13
 BATCH, FREQUENT = 1 << 20, 256
@@ -63,17 +67,18 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
 
 PACKED = "part int, h binary, docs binary, runs binary, pos binary"
 NAMES = ("part", "h", "docs", "runs", "pos")
+NAMED = b"n"  # in h: a table of a batch (in pos) with its documents and their first places (in runs)
 
 
 def shipped(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None, width: int = 0) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """Packed rows, one for each part: hashes (their low bytes), documents, entries for each document, positions."""
+    """Packed rows, one for each part: hashes (their low bytes), documents (or batches), entries for each, differences of positions."""
     order = np.argsort(part, kind="stable")
     doc, pos, part = doc[order], pos[order], part[order]
     edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, int)
     for a, z in zip(edge, edge[1:], strict=False):
         d = doc[a:z]
         first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        yield int(part[a]), planes(h[order[a:z]], width) if width else b"", d[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, z - a)), 4), planes(pos[a:z], 4)
+        yield int(part[a]), planes(h[order[a:z]], width) if width else b"", d[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, z - a)), 4), planes(np.diff(pos[a:z], prepend=0), 4)
 
 
 def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -83,8 +88,10 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def opened(t: pa.Table, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, docs, runs, pos = ([x.as_py() for x in t.column(c)] for c in NAMES[1:])
+    if not docs:
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "i8")
     doc = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), unplanes(r, 4).astype("i8")) for d, r in zip(docs, runs, strict=True)])
-    return np.concatenate([unplanes(x, width) for x in h]) if width else np.zeros(0, "u8"), doc, np.concatenate([unplanes(x, 4) for x in pos]).astype("i8")
+    return np.concatenate([unplanes(x, width) for x in h]) if width else np.zeros(0, "u8"), doc, np.concatenate([np.cumsum(unplanes(x, 4)) & np.uint64(WHOLE) for x in pos]).astype("i8")
 
 
 def dealt_documents(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -92,12 +99,14 @@ def dealt_documents(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataFrame:
-    """Packed rolling grams by bucket; part -1: places that are marked already."""
+    """Packed rolling grams by bucket, of batches; part -1: places that are marked already, -2: tables of documents."""
 
-    def flush(parts: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def flush(parts: list[tuple[int, np.ndarray]], batch: int) -> pa.RecordBatch:
+        sizes = np.array([len(g) for _, g in parts])
+        first = np.cumsum(np.append(0, -(-sizes // block) * block))[:-1]
         h = np.concatenate([g for _, g in parts])
-        doc = np.repeat(np.array([d for d, _ in parts], "i8"), [len(g) for _, g in parts])
-        pos = np.concatenate([np.arange(len(g)) for _, g in parts])
+        pos = np.concatenate([np.arange(f, f + n) for f, n in zip(first, sizes, strict=True)])
+        doc = np.full(len(h), batch, "i8")
         bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype("i4")
         order = np.argsort(h, kind="stable")
         hs = h[order]
@@ -105,16 +114,16 @@ def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataF
         often, drop = np.zeros(len(h), bool), np.zeros(len(h), bool)
         for k in np.flatnonzero(np.diff(edge) > FREQUENT):
             at = order[edge[k] : edge[k + 1]]
-            # the first place goes on, and the first block of the least document, for others to meet
-            blocks = at[pos[at] % block == 0]
-            stay = np.append(at[:1], blocks[np.argmin(doc[blocks])] if len(blocks) else at[:0])
+            # the first place goes on, and the first block, for others to meet
+            stay = np.append(at[:1], at[pos[at] % block == 0][:1])
             often[at], drop[at] = True, True
             drop[stay] = False
         rest = shipped(np.full(often.sum(), -1, "i4"), doc[often], pos[often])
-        return packed_batch([*shipped(bucket[~drop], doc[~drop], pos[~drop], h[~drop], 5), *rest])
+        named = (-2, NAMED, np.array([d for d, _ in parts], "<i8").tobytes(), first.astype("<u4").tobytes(), int(batch).to_bytes(8, "little"))
+        return packed_batch([*shipped(bucket[~drop], doc[~drop], pos[~drop], h[~drop], 4), *rest, named])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, batch = [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = word_hashes(t)
@@ -123,10 +132,10 @@ def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataF
                     parts.append((d, g))
                     size += len(g)
                     if size >= BATCH:
-                        yield flush(parts)
-                        parts, size = [], 0
+                        yield flush(parts, batch)
+                        parts, size, batch = [], 0, batch + 1
         if parts:
-            yield flush(parts)
+            yield flush(parts, batch)
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
@@ -155,25 +164,43 @@ def joined(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def marked(sent: DataFrame, block: int, groups: int) -> DataFrame:
-    """(doc_id, spans): places of probes and blocks that meet, where the block's document is another one."""
+    """(doc_id, spans): places of probes and blocks that meet. Repeats inside a document are among them; they cost a look
+    at their windows, which tells them apart."""
 
     def meet(t: pa.Table) -> pa.Table:
-        if t.column("part")[0].as_py() < 0:
+        part = t.column("part")[0].as_py()
+        if part == -2:
+            to = dealt_documents(np.frombuffer(b"".join(x.as_py() for x in t.column("pos")), "<i8"), groups)
+            return t.select(NAMES).set_column(0, "part", pa.array(to, pa.int32()))
+        if part == -1:
             _, doc, pos = opened(t)
             return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc, groups), doc, pos)))])
-        h, doc, pos = opened(t, 5)
+        h, doc, pos = opened(t, 4)
         order = np.argsort(h, kind="stable")
-        hs, d, p = h[order], doc[order], pos[order]
+        hs, p = h[order], pos[order]
         first = np.append(True, hs[1:] != hs[:-1])
         group, at = np.cumsum(first) - 1, np.flatnonzero(first)
-        other = np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)
-        keep = (other & (np.maximum.reduceat((p % block == 0).astype("u1"), at) > 0))[group]
+        more = np.diff(np.append(at, len(h))) > 1
+        keep = (more & (np.maximum.reduceat((p % block == 0).astype("u1"), at) > 0))[group]
         back = order[keep]
-        back.sort()  # in the order of documents again
+        back.sort()  # in the order of batches again
         return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc[back], groups), doc[back], pos[back])))])
 
+    def gather(t: pa.Table) -> pa.Table:
+        named = pc.equal(t.column("h"), NAMED)
+        _, batch, at = opened(t.filter(pc.invert(named)))
+        order = np.argsort(batch, kind="stable")
+        batch, at = batch[order], at[order]
+        doc, start = np.zeros(len(at), "i8"), np.zeros(len(at), "i8")
+        for ids, first, b in zip(*(t.filter(named).column(c).to_pylist() for c in ("docs", "runs", "pos")), strict=True):
+            a, z = np.searchsorted(batch, int.from_bytes(b, "little") + np.arange(2))
+            first = np.frombuffer(first, "<u4").astype("i8")
+            k = np.searchsorted(first, at[a:z], side="right") - 1
+            doc[a:z], start[a:z] = np.frombuffer(ids, "<i8")[k], at[a:z] - first[k]
+        return places(doc, start, start + 1)
+
     salt = F.when(F.col("part") < 0, F.xxhash64("docs", "pos")).otherwise(F.lit(0))  # marked places need no meeting
-    return by_document(sent.withColumn("salt", salt).groupBy("part", "salt").applyInArrow(meet, PACKED), 1)
+    return sent.withColumn("salt", salt).groupBy("part", "salt").applyInArrow(meet, PACKED).groupBy("part").applyInArrow(gather, "doc_id long, spans binary")
 
 
 def by_document(packed: DataFrame, length: int) -> DataFrame:
@@ -195,7 +222,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("size").alias("size")).filter("rep < last and size > 0")
     later = stored(digest.join(copies.select("digest", "rep"), "digest").filter("doc_id > rep").select("doc_id").distinct(), "blocks-copies")
     alone = docs.join(guarded(later, 16), "doc_id", "left_anti")
-    near = stored(marked(probes(alone, buckets, block, words), block, buckets), "blocks-places")
+    near = stored(marked(probes(alone, buckets, block, words), block, buckets), "blocks-places")  # one row for each document
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hs, at, size = [], [], [], 0
@@ -232,10 +259,10 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         hit = later_than(h, doc)
         return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc[hit], buckets), doc[hit], at[hit])))])
 
-    some = alone.join(guarded(near.select("doc_id"), 16), "doc_id", "left_semi")
-    tried = stored(with_spans(some, near).select("doc_id", "text", "spans").mapInArrow(windows, PACKED), "blocks-windows")
+    # one join at every size: the marks grow with the documents, so they aren't sent to all executors
+    tried = stored(alone.join(near, "doc_id").select("doc_id", "text", "spans").mapInArrow(windows, PACKED), "blocks-windows")
     hits = tried.filter("part >= 0").groupBy("part").applyInArrow(verify, PACKED).union(tried.filter("part < 0").withColumn("part", -1 - F.col("part")))
-    all_words = F.lit(pack_spans(np.array([0]), np.array([1 << 62])))
+    all_words = F.lit(pack_spans(np.array([0]), np.array([WHOLE])))
     return stored(by_document(hits, words).union(later.select("doc_id", all_words.alias("spans"))), "blocks-spans")
 
 

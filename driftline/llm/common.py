@@ -43,10 +43,10 @@ def guarded(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans") -> DataFrame:
-    """docs left-joined with a stored table (doc_id, spans binary); broadcast only if all its spans fit the bound."""
+def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans", how: str = "left") -> DataFrame:
+    """docs joined with a stored table (doc_id, spans binary); broadcast only if all its spans fit the bound."""
     size = spans.agg(F.sum(F.octet_length(name) + 48)).first()[0] or 0
-    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "doc_id", "left")
+    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "doc_id", how)
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
@@ -65,12 +65,17 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[first], e[np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)]
 
 
+#: The end of a span that goes to the end of its text.
+WHOLE = 2**32 - 1
+
+
 def pack_spans(starts: np.ndarray, ends: np.ndarray) -> bytes:
-    return np.stack([starts, ends]).astype("<i8").tobytes()
+    """Places in a text (2 GB at most) as unsigned 32-bit numbers."""
+    return np.stack([starts, ends]).astype("<u4").tobytes()
 
 
 def unpack_spans(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(data or b"", "<i8").reshape(2, -1)
+    a = np.frombuffer(data or b"", "<u4").reshape(2, -1).astype("i8")
     return a[0], a[1]
 
 

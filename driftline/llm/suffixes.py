@@ -263,8 +263,6 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     pair = "doc_id long, spans binary"
     found = copied.select("doc_id", "size").mapInArrow(whole, pair).union(out.filter(F.col("kind") == DONE).select("doc_id", "data").mapInArrow(whole, pair))
     todo = stored(out.filter(F.col("kind") != DONE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("l")).mapInArrow(gathered, pair), "suffixes-todo")
-    rows = alone.join(guarded(stored(todo.select("doc_id"), "suffixes-ids"), 16), "doc_id", "left_semi")
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -275,7 +273,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["kind", "anchor", "doc_id", "start", "off", "data"])
 
-    fetched = stored(with_spans(rows, todo).mapInArrow(fetch, "kind int, anchor long, doc_id long, start long, off long, data binary"), "suffixes-segments")
+    fetched = stored(with_spans(alone, todo, how="inner").select("doc_id", "text", "spans").mapInArrow(fetch, "kind int, anchor long, doc_id long, start long, off long, data binary"), "suffixes-segments")
 
     def construct(t: pa.Table) -> pa.Table:
         t = t.sort_by("anchor")
