@@ -52,6 +52,12 @@ def text_of(w: Column, start: Column, length: Column | int) -> Column:
     return F.array_join(F.slice(w, start + 1, length), " ")
 
 
+def every_place(w: Column, n: int) -> Column:
+    """All windows of n words; NULL for shorter texts."""
+    place = lambda x, i: F.struct(i.alias("start"), F.lit(n).alias("len"), text_of(w, i, n).alias("words"))
+    return F.when(F.size(w) >= n, F.transform(F.slice(w, F.lit(1), F.size(w) - (n - 1)), place))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (array of start and length of covered word windows), items (sorted ids as strings)."""
     w = F.col("_w")
@@ -71,8 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     tries = F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(window).alias("len"), text_of(w, i, window).alias("words")))
     near = near.withColumn("_t", F.coalesce(tries, F.array().cast("array<struct<start:int,len:int,words:string>>")))
     for n in sorted(lengths):
-        every = F.when(F.size(w) >= n, F.transform(F.slice(w, F.lit(1), F.size(w) - (n - 1)), lambda x, i, n=n: F.struct(i.alias("start"), F.lit(n).alias("len"), text_of(w, i, n).alias("words"))))
-        near = near.withColumn("_t", F.concat("_t", F.coalesce(every, F.array().cast("array<struct<start:int,len:int,words:string>>"))))
+        near = near.withColumn("_t", F.concat("_t", F.coalesce(every_place(w, n), F.array().cast("array<struct<start:int,len:int,words:string>>"))))
     counts = near.select("doc_id", F.size(w).cast("long").alias("n_words"), F.explode_outer("_t").alias("t")).select("doc_id", "n_words", "t.*")
     met = counts.join(guarded(spans, 400), ["words", "len"], "left").withColumn("hit", F.col("item_id").isNotNull())
     return met.groupBy("doc_id").agg(

@@ -37,7 +37,8 @@ def ring(spark: SparkSession, shards: int, vnodes: int = VNODES) -> list[tuple[i
     """Virtual nodes as (cell, shard) in ring order; a taken cell passes a node on to the next free one."""
     if shards * vnodes > CELLS // 2:
         raise ValueError(f"at most {CELLS // 2} virtual nodes")
-    nodes = spark.range(shards * vnodes).select((F.col("id") % shards).alias("shard"), F.col("id"))
+    # a shard's nodes have the same numbers, so the same cells, however many shards follow
+    nodes = spark.range(shards * vnodes).select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.col("id"))
     taken: dict[int, int] = {}
     for r in nodes.select("shard", "id", cell_of(F.lit("node"), "id").alias("cell")).orderBy("id").collect():
         cell = r.cell

@@ -2,8 +2,9 @@
 
 1. A lexicon of words and word beginnings is drawn from a bounded sample of labelled rows (document frequencies in
    toxic and clean texts).
-2. VOTERS voters hold a share of the lexicon each and vote "toxic" or abstain; pattern voters look at the number of
-   lexicon hits, capitals, exclamation and address, and some vote "clean".
+2. VOTERS voters hold a share of the lexicon each (terms that begin alike share a voter, so one word moves one voter) and
+   vote "toxic" or abstain; pattern voters look at the number of words that the lexicon knows, capitals, exclamation and
+   address, and some vote "clean".
 3. A generative label model with a hidden class is fitted by expectation maximisation to the votes of all documents
    that may be learnt from: what each voter says given the class, and the correlations of voters within a class;
    correlated voters share their weight.
@@ -79,19 +80,26 @@ def lexicon(sample: DataFrame, size: int = LEXICON) -> list[bytes]:
     return [bytes(r.term) for r in best.select("term").collect()]  # size rows
 
 
+def dealt(lexicon: list[bytes]) -> dict[bytes, int]:
+    """The voter of each term."""
+    stems = {w: k for k, w in enumerate(dict.fromkeys(w[: BEGINNINGS[0]] for w in lexicon))}
+    return {w: stems[w[: BEGINNINGS[0]]] % VOTERS for w in lexicon}
+
+
 def cast_votes(text: str | None, shares: dict[bytes, int]) -> bytes:
     """One byte a voter: 0 clean, 1 abstains, 2 toxic."""
     votes = np.ones(VOTERS + PATTERNS, "u1")
     words = counted(text)
     hits, kinds = 0, 0
-    for w, n in terms(words).items():
-        if (v := shares.get(w)) is not None:
-            votes[v] = 2
+    for w, n in words.items():
+        found = [v for t in (w, *(w[:k] + b"*" for k in BEGINNINGS if len(w) > k)) if (v := shares.get(t)) is not None]
+        if found:
+            votes[found] = 2
             hits, kinds = hits + n, kinds + 1
     text, total = text or "", sum(words.values())
     capitals = len(text) - len(text.translate(NO_CAPITALS))
     votes[VOTERS:] = [
-        2 if kinds >= 4 else 1, 0 if not kinds else 1, 2 if hits >= 3 and kinds >= 3 else 1, 2 if hits * 50 >= total > 0 else 0 if hits * 400 <= total else 1,
+        2 if kinds >= 4 else 1, 0 if not kinds else 1, 2 if kinds >= 2 else 1, 2 if hits * 50 >= total > 0 else 0 if hits * 400 <= total else 1,
         2 if capitals * 3 > len(text) > 0 else 1, 2 if text.count("!") * 20 > total > 0 else 1, 2 if words.get(b"you", 0) * 30 > total > 0 else 1, 0 if kinds <= 1 else 1,
     ]
     return votes.tobytes()
@@ -169,7 +177,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     chosen = stored(bounded(known, limit), "toxicity-known")
     sample = stored(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
-    shares = {w: k % VOTERS for k, w in enumerate(lexicon(sample))}
+    shares = dealt(lexicon(sample))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
