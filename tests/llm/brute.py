@@ -32,6 +32,8 @@ def hard_rows(seed: int = 1) -> tuple[list[tuple], list[tuple], list[tuple]]:
     docs += [line + "\n" + text(15) + "\n" + line for _ in range(12)]
     copy = text(400)
     docs += [copy] * 6 + [copy + " tail", copy.replace("beta", "Beta"), copy.upper(), long := text(9000), long + " tail", passages[0] * 3]
+    base = text(1500).split(" ")
+    docs += [" ".join("changed" if i % 40 < k and i < 60 * k else w for i, w in enumerate(base)) for k in range(12)]  # near copies
     items = [(1, passages[1]), (2, passages[1]), (3, "one two"), (4, None), (5, ""), (6, text(12)), (70, "".join(c.upper() if c.isascii() else c for c in line)), (8, "!!!")]
     rows = [(3 * k + 1, t, rng.choice(["en", None]), rng.choice(["hot", "hot", "hot", "b.org", None]), None) for k, t in enumerate(docs)]
     rows += [rows[12], rows[0], rows[60]]  # repeated rows

@@ -95,7 +95,7 @@ def test_packing_levels(spark):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 900, 4000)
     items = common.stored(spark.createDataFrame([(k, 0, 0, int(n), 0) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long"), "items")
-    got = packing.pack(items, level_bins=300, fan_in=3)
+    got = packing.pack(items, level_bins=500, fan_in=4)
     assert got.count() == 4000 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").isEmpty()
     assert got.select("sequence_id").distinct().count() <= 1.02 * len(packing.best_fit(sizes, 1024))
 
