@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: each stage reads the documents that the one before kept, as Parquet.
 
 toxicity       documents that score 0.5 or more are dropped (the model learns from all labels)
-near_dedup     one document of each group of near copies stays, the one with the least doc_id
+near_dedup     one document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, directly or
+               over others) stays, the one with the least doc_id
 suffix_dedup   bytes under strings of 200 bytes that occur elsewhere are cut, to whole characters; documents of which
                nothing is left are dropped
 decontaminate  documents with a passage of the benchmark are dropped
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, packing, simhash, suffixes, toxicity
+from driftline.llm import decontaminate, near_copies, packing, suffixes, toxicity
 from driftline.llm.common import guarded, stored, table, unpack_spans, with_spans
 from driftline.llm.linear import keep_below
 
@@ -32,8 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(simhash.near_duplicates(docs.select("doc_id", "text")), "pipeline-groups")
-    gone = guarded(stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies"), 16)
+    groups = stored(near_copies.near_copies(docs.select("doc_id", "text")), "pipeline-groups")
+    heads = groups.groupBy("component").agg(F.min("doc_id").alias("head"))
+    gone = guarded(stored(groups.join(heads, "component").filter("doc_id <> head").select("doc_id").distinct(), "pipeline-copies"), 16)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "pipeline-repeated")
     if again.isEmpty():
