@@ -2,7 +2,8 @@
 
 toxicity       documents that score 0.5 or more are dropped (the model learns from all labels)
 near_dedup     one document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, directly or
-               over others) stays, the one with the least doc_id
+               over others) stays, the one with the least doc_id, then the least digest of its text; rows that share a
+               doc_id but aren't near copies are told apart by their texts
 suffix_dedup   bytes under strings of 200 bytes that occur elsewhere are cut, to whole characters; documents of which
                nothing is left are dropped
 decontaminate  documents with a passage of the benchmark are dropped
@@ -24,7 +25,7 @@ from driftline.llm import decontaminate, near_copies, packing, suffixes, toxicit
 from driftline.llm.common import guarded, stored, table, unpack_spans, with_spans
 from driftline.llm.linear import keep_below
 
-SPANS = "__spans__"
+SPANS, ID, TEXT = "__spans__", "__id__", "__text__"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +35,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = stored(near_copies.near_copies(docs.select("doc_id", "text")), "pipeline-groups")
-    heads = groups.groupBy("component").agg(F.min("doc_id").alias("head"))
-    gone = guarded(stored(groups.join(heads, "component").filter("doc_id <> head").select("doc_id").distinct(), "pipeline-copies"), 16)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "pipeline-repeated")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    heads = groups.groupBy("component").agg(F.min(order).alias("head"))
+    gone = groups.join(heads, "component").filter(order != F.col("head"))
+    gone = guarded(stored(gone.select(F.col("doc_id").alias(ID), F.col("digest").alias(TEXT)).distinct(), "pipeline-copies"), 64)
+    again = groups.groupBy(F.col("doc_id").alias(ID), F.col("digest").alias(TEXT)).agg(F.count("*").alias("n")).filter("n > 1")
+    again = stored(again.select(ID, TEXT), "pipeline-repeated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(ID)) & (near_copies.text_digest() == F.col(TEXT))
+    left = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return left
-    again = guarded(again, 16)
-    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(one).select(*docs.columns)
+    again = guarded(again, 64)
+    # of rows with one doc_id and text, the least by all columns
+    one = left.join(again, same).groupBy(ID, TEXT).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(again, same, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def whole_characters(data: bytes, a: np.ndarray, z: np.ndarray) -> list[tuple[int, int]]:

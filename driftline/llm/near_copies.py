@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.common import guarded, mix, stored, words_of
@@ -64,22 +64,27 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *(a.view("i8") for a in arrays)])))
 
 
+def text_digest() -> Column:
+    """Tells texts of one doc_id apart; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+
+
 def _key(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
 def _hashed(docs: DataFrame, schema: str, row) -> DataFrame:
-    """row: from the shingle sets of a batch to its columns after doc_id."""
+    """row: from the shingle sets of a batch to its columns after doc_id and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 cols = row([shingles(t) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), *cols], ["doc_id", "digest", *names])
 
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {schema}")
+    return docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), "text").mapInArrow(run, f"doc_id long, digest binary, {schema}")
 
 
 def _size_bound(u: str, v: str) -> str:
@@ -130,7 +135,7 @@ def _near(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> D
 
 
 def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id and component (a long that near copies share, directly or over others) of each row. docs: a table that can be read again."""
+    """doc_id, digest (text_digest) and component (a long that near copies share, directly or over others) of each row. docs: a table that can be read again."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     none = np.zeros(0, "u8")
@@ -172,5 +177,5 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
         if not rest.isEmpty():
             links = links.union(_near(rest, docs, classes, "near-second"))
             roots = components(links, "near-links")
-    known = marks.select("doc_id", "key").join(roots, F.col("key") == F.col("node"), "left")
-    return known.select("doc_id", F.coalesce("root", "key").alias("component"))
+    known = marks.select("doc_id", "digest", "key").join(roots, F.col("key") == F.col("node"), "left")
+    return known.select("doc_id", "digest", F.coalesce("root", "key").alias("component"))

@@ -55,3 +55,12 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, d).collect())
     assert got == heads(rows)
     assert len(got) < len({c for _, _, c in brute.simhash(rows)})
+
+
+def test_rows_that_share_a_doc_id_stay_if_their_texts_differ(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "en"), (1, b, "en"), (2, b, "de"), (None, c, "en"), (None, a + " tail", "en"), (3, c, "fr"), (1, a, "de"), (1, a, None)]
+    for order in (rows, rows[::-1]):
+        docs = stored(spark.createDataFrame(order, "doc_id long, text string, lang string"), "d")
+        got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, a, None), (1, b, "en"), (3, c, "fr")], key=str)
