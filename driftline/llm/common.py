@@ -38,6 +38,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more. Tables a lazy result still reads must not be given."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def guarded(df: DataFrame, row_bytes: int) -> DataFrame:
     """Hint a broadcast if the (stored) table's rows times row_bytes fit the bound, else leave it to a shuffle join."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -1,18 +1,27 @@
-"""Near copies by exact Jaccard similarity of word shingles, without missed pairs.
+"""Near copies of whole texts: SimHash links first, completed to every pair of five-word Jaccard similarity 0.8 or more.
 
 Two texts are near copies if the sets of their lower-cased five-word shingles have a Jaccard similarity of 0.8 or more.
-SimHash can't promise that: such pairs lie up to a dozen bits apart, and no ball of affordable size reaches all. Here
-candidates come from a prefix filter instead: with all sets sorted in one order, near copies share one of their first
-n // 5 + 1 shingles, n being the set's size. Texts with equal sets are one class. Candidates are dropped by bounds that
-hold for every near copy (sizes; parity bitmaps, whose difference is at most the sets'), and the rest are verified on
-their complete sets, as 64-bit hashes.
+Texts with equal sets are one class. Links are found in two steps, both verified on the complete sets:
 
-The order is by hash, but shingles that many texts start with come last (any fixed order is exact). A shingle that more
-than HOT classes still start with would give pairs that grow with its square. Its classes are first held against four
-leaders; then only those outside the shingle's largest component meet the members of other components.
+1. Multi-index hashing (simhash.close_pairs): classes whose SimHash fingerprints differ in two bits or fewer.
+2. Such pairs may lie up to a dozen bits apart, and no Hamming ball of affordable size reaches all. A prefix filter adds
+   what is missing: with all sets sorted in one order, near copies share one of their first n // 5 + 1 shingles, n being
+   the set's size, so classes that share one and aren't linked yet are compared.
+
+Candidates are dropped by bounds that hold for every near copy: sizes; places of the shared shingle in both orders; parity
+bitmaps, whose difference is at most the sets'. Prefixes travel packed, one row for a bucket of shingles and a batch of
+documents, and only pairs leave a bucket.
+
+The order is by hash, but shingles that many texts start with come last (any fixed order is exact, so LATE_MOST, which
+bounds that list, changes no result). A shingle that more than HOT classes still start with would give pairs that grow
+with its square. Its classes are first held against four leaders; then only those outside the shingle's largest component
+meet the members of other components.
+
+Shingles are compared by 40 bits of their 64-bit hash.
 
 Defined cases: null and empty text have the empty set, which equals itself only; fewer words than a shingle: the whole
-sequence is one shingle; rows with a null doc_id are rows like any other; an empty table gives an empty result.
+sequence is one shingle; rows with a null doc_id are rows like any other; repeated rows return once each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +34,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import guarded, mix, stored, words_of
+from driftline.llm.blocks import planes, unplanes
+from driftline.llm.common import byte_size, dropped, guarded, mix, stored, words_of
 from driftline.llm.components import components
+from driftline.llm.simhash import close_pairs, majority
 
 SHINGLE, HOT, LATE_MOST = 5, 32, 1 << 20
 SIGN = 1024
 LONGS = SIGN // 64
+BATCH = 1 << 20  # shingles
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 32  # of text
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted set of shingle hashes."""
+    """The sorted set of shingle hashes, 40 bits each."""
     words = words_of(text, lower=True)
     if not words:
         return np.zeros(0, "u8")
@@ -43,25 +56,27 @@ def shingles(text: str | None) -> np.ndarray:
     out = np.full(len(h) - n + 1, n, "u8")
     for k in range(n):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+    return np.unique(out >> np.uint64(24))
 
 
-def starts(own: np.ndarray, late: np.ndarray, times: int = 1) -> np.ndarray:
-    """The first len // 5 + 1 shingles (or so many times that), those in late (sorted) after all others."""
+def prefix(own: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The first len // 5 + 1 shingles, those in late (sorted) after all others."""
     if len(late) and len(own):
         last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
         own = np.concatenate([own[~last], own[last]])
-    return own[: times * (len(own) // 5 + 1)]
+    return own[: len(own) // 5 + 1]
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    return np.packbits((np.bincount(own.astype("i8") % SIGN, minlength=SIGN) & 1).astype("u1")).view("<i8")
 
 
-def parity(own: np.ndarray) -> bytes:
-    bits = np.bincount((own >> np.uint64(20)).astype("i8") % SIGN, minlength=SIGN) & 1
-    return np.packbits(bits.astype("u1")).view("<i8")
+def packed_set(own: np.ndarray) -> bytes:
+    return planes(np.diff(own, prepend=np.uint64(0)), 5)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)], dtype="i4")
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "i8"), *(a.view("i8") for a in arrays)])))
+def unpacked_set(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, 5), dtype="u8")
 
 
 def text_digest() -> Column:
@@ -73,97 +88,216 @@ def _key(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def _hashed(docs: DataFrame, schema: str, row) -> DataFrame:
-    """row: from the shingle sets of a batch to its columns after doc_id and digest."""
+def _edges(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)) if len(a) else np.zeros(1, "i8")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                cols = row([shingles(t) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), *cols], ["doc_id", "digest", *names])
 
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), "text").mapInArrow(run, f"doc_id long, digest binary, {schema}")
+def _dealt(token: np.ndarray, buckets: int, *cols: tuple[np.ndarray, int]) -> list[tuple]:
+    """(bucket, packed tokens, packed cols): a row for each bucket, its tokens ascending."""
+    bucket, q = token % np.uint64(buckets), token // np.uint64(buckets)
+    order = np.lexsort((q, bucket))
+    edge = _edges(bucket[order])
+    out = []
+    for a, z in zip(edge, edge[1:], strict=False):
+        at = order[a:z]
+        out.append((int(bucket[at[0]]), planes(np.diff(q[at], prepend=np.uint64(0)), 5), *(planes(c[at], w) for c, w in cols)))
+    return out
 
 
-def _size_bound(u: str, v: str) -> str:
-    return f"5 * least({u}, {v}) >= 4 * greatest({u}, {v})"
+def _opened(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.concatenate([unplanes(x.as_py(), width) for x in column])
 
 
-def _sign_bound(u: str, v: str, un: str, vn: str) -> str:
-    """Near copies have 9 * common >= 4 * (un + vn), so the sets differ in (un + vn) / 9 shingles at most."""
-    far = " + ".join(f"bit_count({u}[{k}] ^ {v}[{k}])" for k in range(LONGS))
-    return f"9 * ({far}) <= {un} + {vn}"
+def _tokens(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.cumsum(unplanes(x.as_py(), 5), dtype="u8") for x in column])
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of each small bucket whose sizes allow it."""
-    for b in batches:
+MARK = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("key", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("sign", pa.list_(pa.int64())), ("bucket", pa.int32()), ("tokens", pa.binary())])
+
+
+def _marks(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """Rows of documents (bucket null), and packed prefixes in order of hash by bucket, for counting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingles(t) for t in part.column("text").to_pylist()]
+                sign = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LONGS, pa.int32()), pa.array(np.concatenate([parity(x) for x in sets])))
+                fps = np.array([majority(mix(x)) for x in sets], "u8").view("i8")
+                none = [None] * len(sets)
+                cols = [part.column("doc_id"), part.column("digest"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), sign, pa.array(none, pa.int32()), pa.array(none, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, schema=MARK)
+                held += [x[: len(x) // 4 + 1] for x in sets]
+                size += sum(map(len, sets))
+                if size >= BATCH:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        t = np.sort(np.concatenate(held))
+        edge = _edges(t)
+        rank = np.arange(len(t)) - np.repeat(edge[:-1], np.diff(edge))
+        rows = _dealt(t[rank <= hot], buckets)  # more of a batch tell nothing more
+        none = [pa.nulls(len(rows), f.type) for f in MARK][:6]
+        return pa.RecordBatch.from_arrays([*none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=MARK)
+
+    made = docs.select(F.col("doc_id").cast("long"), text_digest().alias("digest"), "text")
+    return made.mapInArrow(run, "doc_id long, digest binary, key long, n int, fp long, sign array<bigint>, bucket int, tokens binary")
+
+
+def _frequent(marks: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """(token, n): shingles that more than hot texts start with."""
+
+    def run(t: pa.Table) -> pa.Table:
+        token, n = np.unique(_tokens(t.column("tokens")), return_counts=True)
+        token = token * np.uint64(buckets) + np.uint64(t.column("bucket")[0].as_py())
+        return pa.table({"token": pa.array(token[n > hot].view("i8")), "n": pa.array(n[n > hot], pa.int64())})
+
+    return marks.filter("bucket IS NOT NULL").select("bucket", "tokens").groupBy("bucket").applyInArrow(run, "token long, n long")
+
+
+def _met(docs: DataFrame, late, buckets: int, hot: int) -> DataFrame:
+    """Pairs (a, b, n null) of classes that share a shingle of their prefixes, and classes b of n shingles under a crowded shingle a."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                own = shingles(t)
+                held.append((_key(own), len(own), prefix(own, late.value)))
+                size += len(own)
+                if size >= BATCH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(p) for *_, p in held])
+        key, n = (np.repeat(np.array([h[k] for h in held], "i8"), sizes) for k in (0, 1))
+        place = np.concatenate([np.arange(k) for k in sizes])
+        rows = _dealt(np.concatenate([p for *_, p in held]), buckets, (key, 8), (n, 4), (place, 4))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "tokens", "keys", "sizes", "places"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        token, key = _tokens(t.column("tokens")), _opened(t.column("keys"), 8).view("i8")
+        n, place = _opened(t.column("sizes"), 4).astype("i8"), _opened(t.column("places"), 4).astype("i8")
+        order = np.lexsort((key, token))
+        token, key = token[order], key[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))  # repeated rows are one class
+        token, key, n, place = token[new], key[new], n[order][new], place[order][new]
+        edge = _edges(token)
+        many = np.repeat(np.diff(edge), np.diff(edge))
         us, vs = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-        for keys, sizes in zip(b.column("keys"), b.column("sizes"), strict=True):
-            k, n = keys.values.to_numpy(), sizes.values.to_numpy()
-            i, j = np.triu_indices(len(k), 1)
-            ok = 5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])
-            i, j = i[ok], j[ok]
-            us.append(np.minimum(k[i], k[j]))
-            vs.append(np.maximum(k[i], k[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+        small = np.flatnonzero((many > 1) & (many <= hot))
+        for step in range(1, hot):
+            i = small[: len(small) - step]
+            j = small[step:]
+            same = token[i] == token[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            # shared shingles are at most those from the first common place on; near copies have 9 * common >= 4 * (both sizes)
+            ok = (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * np.minimum(n[i] - place[i], n[j] - place[j]) >= 4 * (n[i] + n[j]))
+            us.append(key[i[ok]]), vs.append(key[j[ok]])
+        pair = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
+        hotter = many > hot
+        name = (token[hotter] * np.uint64(buckets) + np.uint64(t.column("bucket")[0].as_py())).view("i8")
+        return pa.table({"a": pa.array(np.append(pair[:, 0], name)), "b": pa.array(np.append(pair[:, 1], key[hotter])), "n": pa.array([*[None] * len(pair), *n[hotter].tolist()], pa.int32())})
+
+    return docs.select("text").mapInArrow(send, "bucket int, tokens binary, keys binary, sizes binary, places binary").groupBy("bucket").applyInArrow(meet, "a long, b long, n int")
+
+
+def _bound(u: str, v: str, un: str, vn: str) -> str:
+    """Near copies have 9 * common >= 4 * (un + vn), so the sets differ in (un + vn) / 9 shingles at most."""
+    far = " + ".join(f"bit_count({u}[{k}] ^ {v}[{k}])" for k in range(LONGS))
+    return f"5 * least({un}, {vn}) >= 4 * greatest({un}, {vn}) and 9 * ({far}) <= {un} + {vn}"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column("a"), b.column("b"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-            both = np.concatenate([x, y])
+            both = np.concatenate([unpacked_set(x.as_py()), unpacked_set(y.as_py())])
             both.sort()
             keep.append(9 * int(np.count_nonzero(both[1:] == both[:-1])) >= 4 * len(both))
         yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _near(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    """Those of the stored distinct pairs (u, v) that are near copies."""
+    """Those of the stored pairs (u, v) that are near copies, stored."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                own = [shingles(t) for t in b.column("text").slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in own], pa.int64()), pa.array([packed_set(x) for x in own], pa.binary())], ["key", "own"])
+
     need = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    need = stored(classes.join(need, "key", "left_semi").select("key", "rep"), f"{name}-need")
-    some = guarded(need.select("rep").distinct(), 16)
-    sets = _hashed(docs.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")), "left_semi"), "key bigint, own binary", lambda s: [pa.array([_key(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())])
-    sets = sets.select("key", "own").join(guarded(need.select("key"), 16), "key", "left_semi")
-    sets = stored(sets.groupBy("key").agg(F.min("own").alias("own")), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
-    return stored(both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), f"{name}-near")
+    reps = stored(classes.join(need, "key", "left_semi").select("rep", "digest"), f"{name}-need")
+    some = guarded(reps.select("rep", F.col("digest").alias("same")).distinct(), 64)
+    texts = docs.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")) & (text_digest() == F.col("same")), "left_semi")
+    own = stored(texts.select("text").mapInArrow(sets, "key long, own binary"), f"{name}-sets")
+    both = pairs.join(own.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
+    out = stored(both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), f"{name}-near")
+    dropped(own, reps)
+    return out
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """pairs (u, v) whose ends lie in different components."""
+    for end in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}r")), end, "left")
+    return pairs.filter("coalesce(ur, u) <> coalesce(vr, v)").select("u", "v")
+
+
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Candidates of multi-index hashing: the least classes of near fingerprints, and each class with the least of its fingerprint."""
+    least = classes.groupBy("fp").agg(F.min("key").alias("key"))
+    ids = stored(least, "near-fingerprints")
+    met = close_pairs(ids.select("fp")).join(ids.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(ids.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v")
+    same = classes.select("key", "fp").join(ids.withColumnRenamed("key", "a"), "fp").filter("key <> a").select("a", F.col("key").alias("b"))
+    return met.select("a", "b").union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, digest (text_digest) and component (a long that near copies share, directly or over others) of each row. docs: a table that can be read again."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    none = np.zeros(0, "u8")
-    early = _hashed(docs, "tokens array<bigint>", lambda s: [_lists([starts(x, none, 2) for x in s])])
-    often = early.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    late = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often.orderBy(F.desc("n"), "token").limit(LATE_MOST).collect()], "i8").view("u8")))
-
-    def mark(s: list[np.ndarray]) -> list[pa.Array]:
-        return [pa.array([_key(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int32()), _lists([parity(x) for x in s]), _lists([starts(x, late.value) for x in s])]
-
-    marks = stored(_hashed(docs, "key bigint, n int, sign array<bigint>, tokens array<bigint>", mark), "near-marks")
-    classes = stored(marks.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sign").alias("sign")), "near-classes")
-    posts = marks.select("key", "n", F.explode("tokens").alias("token")).distinct()
-    crowded = stored(posts.groupBy("token").agg(F.count("*").alias("m")).filter(F.col("m") > hot).select("token"), "near-crowded")
-    many = guarded(crowded, 16)
-    small = posts.join(many, "token", "left_anti").groupBy("token").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("sizes")).filter(F.size("keys") > 1)
-    pairs = small.select("keys", "sizes").mapInArrow(_within, "u long, v long")
-    busy = stored(posts.join(many, "token", "left_semi"), "near-busy")
+    buckets = max(LEAST_BUCKETS, byte_size(docs) // BUCKET_BYTES)
+    both = stored(_marks(docs, buckets, hot), "near-marks")
+    marks = both.filter("bucket IS NULL").drop("bucket", "tokens")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    classes = marks.groupBy("key").agg(first, F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("sign").alias("sign"))
+    classes = stored(classes.select("key", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("digest"), "n", "fp", "sign"), "near-classes")
+    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"{c}n"), F.col("sign").alias(f"{c}s"))
+    bound = _bound("us", "vs", "un", "vn")
+    within = lambda pairs, name: stored(pairs.join(side("u"), "u").join(side("v"), "v").filter(bound).select("u", "v"), name)
+
+    links = _near(within(_fingerprint_pairs(classes), "near-close"), docs, classes, "near-first")
+    roots = components(links, "near-links")
+
+    often = _frequent(both, buckets, hot).orderBy(F.desc("n"), "token").limit(LATE_MOST)
+    late = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often.select("token").collect()], "i8").view("u8")))
+    spare = marks.join(classes.select("key", "rep", F.col("digest").alias("same")), "key").filter("not (doc_id <=> rep and digest = same)")
+    spare = guarded(stored(spare.select(F.col("doc_id").alias("rep"), F.col("digest").alias("same")).distinct(), "near-spare"), 64)
+    alone = docs.join(spare, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")) & (text_digest() == F.col("same")), "left_anti")
+    met = stored(_met(alone, late, buckets, hot), "near-met")
+    busy = met.filter("n IS NOT NULL").select(F.col("a").alias("token"), F.col("b").alias("key"), "n")
     by = F.xxhash64("key")
     lead = busy.groupBy("token").agg(F.array_distinct(F.array(F.min("key"), F.max("key"), F.min_by("key", by), F.max_by("key", by))).alias("lead")).select("token", F.explode("lead").alias("lead"))
     led = busy.join(lead, "token").filter("key <> lead").select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v"))
-    pairs = pairs.union(led).distinct()
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"{c}n"), F.col("sign").alias(f"{c}s"))
-    bound = f"{_size_bound('un', 'vn')} and {_sign_bound('us', 'vs', 'un', 'vn')}"
-    pairs = stored(pairs.join(side("u"), "u").join(side("v"), "v").filter(bound).select("u", "v"), "near-pairs")
-    links = _near(pairs, docs, classes, "near-first")
-    roots = components(links, "near-links")
-    if not crowded.isEmpty():
+    pairs = met.filter("n IS NULL").select(F.col("a").alias("u"), F.col("b").alias("v")).union(led).distinct()
+    links = _near(within(_apart(pairs, roots), "near-pairs"), docs, classes, "near-second")
+    known = lambda r: r.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(known(roots).union(links), "near-links")
+    if not busy.isEmpty():
         held = busy.join(classes.select("key", "sign"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         own = busy.groupBy("key").agg(F.collect_set("token").alias("own"))
         held = stored(held.join(own, "key").select("token", "key", "n", "sign", "root", "own"), "near-held")
@@ -172,10 +306,10 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
         outside = held.join(most, "token").filter("root <> most").select("token", F.col("key").alias("u"), F.col("n").alias("un"), F.col("sign").alias("us"), F.col("root").alias("ur"), F.col("own").alias("uo"))
         other = held.select(F.col("token").alias("at"), F.col("key").alias("v"), F.col("n").alias("vn"), F.col("sign").alias("vs"), F.col("root").alias("vr"), F.col("own").alias("vo"))
         # a pair is told at the least shingle that both are held under
-        met = outside.join(other, F.expr(f"token = at and ur <> vr and {bound} and token = array_min(array_intersect(uo, vo))"))
-        rest = stored(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-rest")
+        rest = outside.join(other, F.expr(f"token = at and ur <> vr and {bound} and token = array_min(array_intersect(uo, vo))"))
+        rest = stored(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-rest")
+        dropped(held)
         if not rest.isEmpty():
-            links = links.union(_near(rest, docs, classes, "near-second"))
-            roots = components(links, "near-links")
-    known = marks.select("doc_id", "digest", "key").join(roots, F.col("key") == F.col("node"), "left")
-    return known.select("doc_id", "digest", F.coalesce("root", "key").alias("component"))
+            roots = components(known(roots).union(_near(rest, docs, classes, "near-third")), "near-links")
+    dropped(met)
+    return marks.select("doc_id", "digest", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "key").alias("component"))

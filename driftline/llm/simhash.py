@@ -32,17 +32,22 @@ from driftline.llm.components import components
 HOT_BUCKET = 64
 
 
+def majority(h: np.ndarray) -> int:
+    """Bit i is set if over half of the 64-bit hashes have it."""
+    ones = np.zeros(64, "i8")
+    for at in range(0, len(h), 1 << 14):
+        bits = np.unpackbits(h[at : at + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype="i4")
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(words: list[bytes], shingle: int = 3) -> int:
     """words: lower-cased UTF-8. Bit i is set if over half of the shingles' hashes have it."""
     if not words:
         return 0
     parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
     h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts), "<u8")
-    ones = np.zeros(64, "i8")
-    for at in range(0, len(h), 1 << 14):
-        bits = np.unpackbits(h[at : at + (1 << 14)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype="i4")
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
