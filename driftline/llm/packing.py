@@ -3,16 +3,18 @@
 Documents are tokenised whole; those longer than a sequence are cut into full pieces, with the shorter piece first. Full
 pieces are sequences of their own. All others are packed best fit, largest first, inside each partition. Bins at least
 FULL of a sequence are emitted; the underfull ones become items of the next level, which deals them to fewer partitions
-(at random, so that sizes mix) and packs again, until a level packs in one partition. A bin is one row with its members (at
-most as many as tokens), so rows never outgrow a sequence. A level whose underfull bins exceed LEVEL_BINS for each
-partition keeps as many partitions as they need, and the tree ends when a level of one partition has run or a level
-no longer saves bins.
-
-Token ids are those of the byte-level BPE file given by path; its vocabulary is run by the installed rank encoder that gives
-the same ids and treats special tokens' strings as text. Every document ends with END.
-
-Defined cases: null or empty text is the single id END; repeated rows are packed as documents of their own; an empty
-table gives an empty result; other columns are ignored.
+(by row, so that sizes mix and equal documents spread) and packs again, until a level packs in one partition. A bin is one
+row with its members (at most as many as tokens), so rows never outgrow a sequence. A level whose underfull bins exceed
+LEVEL_BINS for each partition keeps as many partitions as they need, and the tree ends when a level of one partition has
+run or a level saves less than a bin for each of its partitions.
+
+Token ids are those of the byte-level BPE vocabulary, run by the installed rank encoder, which gives the same ids and treats
+special tokens' strings as text. Its pattern can't take very long white space, so runs of LONG_SPACE or more are cut out
+and merged by themselves, which is how the pattern would part them. Every document ends with END.
+
+Defined cases: null or empty text is the single id END; very long texts, words and white space are encoded whole; rows with
+a null or repeated doc_id, and repeated rows, are packed as documents of their own; equal sizes are packed in the order of
+their rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from driftline.llm.common import stored, table
 LENGTH, END = 1024, 2
 FULL = 0.995
 LEVEL_BINS, FAN_IN = 20_000, 8
+LONG_SPACE = 4096
+SPACES = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}")
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,7 +49,22 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    parts = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return parts, tiktoken.Encoding("byte-bpe-whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(text: str, path: str) -> list[int]:
+    parts, whole = encoder(path)
+    if len(text) < LONG_SPACE:
+        return parts.encode_ordinary(text)
+    out, at = [], 0
+    for m in SPACES.finditer(text):
+        # the last white space before a word goes with the word
+        end = m.end() - (m.end() < len(text))
+        out += parts.encode_ordinary(text[at : m.start()])
+        out += whole.encode_ordinary(text[m.start() : end])
+        at = end
+    return out + parts.encode_ordinary(text[at:])
 
 
 def default_vocabulary() -> str:
@@ -58,11 +78,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
         for b in batches:
             out = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.array([*enc.encode_ordinary(text or ""), END], "<u4")
+                ids = np.array([*token_ids(text or "", path), END], "<u4")
                 first = len(ids) % length or length
                 cuts = [0, *range(first, len(ids) + 1, length)]
                 out += [(doc_id, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
@@ -121,13 +140,13 @@ def pack(items: DataFrame, length: int = LENGTH, full: float = FULL, level_bins:
             total = np.array([used[g].sum() for g in groups])
             yield pa.RecordBatch.from_arrays([lists, pa.array(total, pa.int64()), pa.array((total >= limit) | last, pa.bool_())], ["members", "used", "out"])
 
-        # dealt by a hash of the first member, which any attempt repeats
-        dealt = bins.repartition(parts, F.xxhash64(F.col("members")[0], F.lit(parts)))
+        # bins is a stored table, so any attempt gives a row the same number
+        dealt = bins.repartition(parts, F.xxhash64(F.monotonically_increasing_id(), F.lit(parts)))
         level = stored(dealt.mapInArrow(run, f"members array<{member}>, used long, out boolean"), "packing-level")
         done.append(level.filter("out").select("members"))
         bins, before = level.filter("not out").select("members", "used"), count
         count = bins.count()
-        if not last and count > 0.98 * before:  # sizes that don't fit each other: more levels can't help
+        if not last and before - count < parts:  # what is left doesn't fit together
             done.append(bins.select("members"))
             break
         parts = max(1, min(-(-parts // fan_in), parts - 1), -(-count // level_bins) if count > level_bins else 1)
