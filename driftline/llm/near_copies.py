@@ -6,7 +6,7 @@ Texts with equal sets are one class. Links are found in two steps, both verified
 1. Multi-index hashing (simhash.close_pairs): classes whose SimHash fingerprints differ in two bits or fewer.
 2. Such pairs may lie up to a dozen bits apart, and no Hamming ball of affordable size reaches all. A prefix filter adds
    what is missing: with all sets sorted in one order, near copies share one of their first n // 5 + 1 shingles, n being
-   the set's size, so classes that share one and aren't linked yet are compared.
+   the set's size, so classes that share one and aren't linked by step 1 are compared.
 
 Candidates are dropped by bounds that hold for every near copy: sizes; places of the shared shingle in both orders; parity
 bitmaps, whose difference is at most the sets'. Prefixes travel packed, one row for a bucket of shingles and a batch of
@@ -241,7 +241,7 @@ def _near(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> D
 
     need = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     reps = stored(classes.join(need, "key", "left_semi").select("rep", "digest"), f"{name}-need")
-    some = guarded(reps.select("rep", F.col("digest").alias("same")).distinct(), 64)
+    some = guarded(reps.select("rep", F.col("digest").alias("same")).distinct())
     texts = docs.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")) & (text_digest() == F.col("same")), "left_semi")
     own = stored(texts.select("text").mapInArrow(sets, "key long, own binary"), f"{name}-sets")
     both = pairs.join(own.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
@@ -250,13 +250,6 @@ def _near(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> D
     return out
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """pairs (u, v) whose ends lie in different components."""
-    for end in ("u", "v"):
-        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}r")), end, "left")
-    return pairs.filter("coalesce(ur, u) <> coalesce(vr, v)").select("u", "v")
-
-
 def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
     """Candidates of multi-index hashing: the least classes of near fingerprints, and each class with the least of its fingerprint."""
     least = classes.groupBy("fp").agg(F.min("key").alias("key"))
@@ -280,13 +273,12 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     bound = _bound("us", "vs", "un", "vn")
     within = lambda pairs, name: stored(pairs.join(side("u"), "u").join(side("v"), "v").filter(bound).select("u", "v"), name)
 
-    links = _near(within(_fingerprint_pairs(classes), "near-close"), docs, classes, "near-first")
-    roots = components(links, "near-links")
+    close = _near(within(_fingerprint_pairs(classes), "near-close"), docs, classes, "near-first")
 
     often = _frequent(both, buckets, hot).orderBy(F.desc("n"), "token").limit(LATE_MOST)
     late = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often.select("token").collect()], "i8").view("u8")))
     spare = marks.join(classes.select("key", "rep", F.col("digest").alias("same")), "key").filter("not (doc_id <=> rep and digest = same)")
-    spare = guarded(stored(spare.select(F.col("doc_id").alias("rep"), F.col("digest").alias("same")).distinct(), "near-spare"), 64)
+    spare = guarded(stored(spare.select(F.col("doc_id").alias("rep"), F.col("digest").alias("same")).distinct(), "near-spare"))
     alone = docs.join(spare, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")) & (text_digest() == F.col("same")), "left_anti")
     met = stored(_met(alone, late, buckets, hot), "near-met")
     busy = met.filter("n IS NOT NULL").select(F.col("a").alias("token"), F.col("b").alias("key"), "n")
@@ -294,9 +286,8 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     lead = busy.groupBy("token").agg(F.array_distinct(F.array(F.min("key"), F.max("key"), F.min_by("key", by), F.max_by("key", by))).alias("lead")).select("token", F.explode("lead").alias("lead"))
     led = busy.join(lead, "token").filter("key <> lead").select(F.least("key", "lead").alias("u"), F.greatest("key", "lead").alias("v"))
     pairs = met.filter("n IS NULL").select(F.col("a").alias("u"), F.col("b").alias("v")).union(led).distinct()
-    links = _near(within(_apart(pairs, roots), "near-pairs"), docs, classes, "near-second")
-    known = lambda r: r.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = components(known(roots).union(links), "near-links")
+    farther = _near(within(pairs.join(close, ["u", "v"], "left_anti"), "near-pairs"), docs, classes, "near-second")
+    roots = components(close.union(farther), "near-links")
     if not busy.isEmpty():
         held = busy.join(classes.select("key", "sign"), "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         own = busy.groupBy("key").agg(F.collect_set("token").alias("own"))
@@ -310,6 +301,7 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
         rest = stored(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-rest")
         dropped(held)
         if not rest.isEmpty():
-            roots = components(known(roots).union(_near(rest, docs, classes, "near-third")), "near-links")
+            known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = components(known.union(_near(rest, docs, classes, "near-third")), "near-links")
     dropped(met)
     return marks.select("doc_id", "digest", "key").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("root", "key").alias("component"))
