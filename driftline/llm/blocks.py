@@ -10,12 +10,15 @@ Probes travel as packed arrays, five or six bytes each, one row for a bucket of
 the batch and the place in it, so their size doesn't grow with the number of buckets; each batch's table of documents
 travels once, to where the marked places of the batch are gathered. Documents start at multiples of BLOCK in a batch, so a
 block is a probe at a multiple of BLOCK and needs no row of its own. Exact copies of a text are settled first, and only
-the first document of each goes on. A gram that is frequent inside one batch is marked there and sends one
-representative, so that no bucket gathers all occurrences of a common line. Windows are compared by a 64-bit mix of
-their words' 64-bit hashes.
-
-Defined cases: null or empty text has no words; a window never repeats inside its own document; of rows with the same doc_id
-and text each is returned with the same result; an empty table gives an empty result; other columns are ignored.
+the first document of each goes on. A gram that meets a block inside its batch is marked there, and only its first place
+and its first block go on, so no bucket gathers all occurrences of a common line; so is one that comes more than FREQUENT
+times (which marks more places to look at, never fewer). Windows are compared by a 64-bit mix of their words' 64-bit hashes.
+
+Defined cases: null or empty text has no words; very long texts are read whole; a window never repeats inside its own doc_id;
+rows that share a doc_id but not the text are told apart, and neither is earlier than the other; of rows with the same doc_id
+and text each is returned with the same result; a null doc_id is neither smaller nor larger than another, so its words
+stay and remove none; of documents that share a window all but the one with the least doc_id lose it; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from driftline.llm.common import WHOLE, byte_size, guarded, merge, mix, pack_spa
 
 WORDS = 13
 BATCH, FREQUENT = 1 << 20, 256
+#: A row's name is its doc_id (or, beyond SMALL, its rank) and TELL bits of its text's hash.
+TELL, SMALL = 20, 1 << 42
 BUCKET_BYTES = 6 << 20  # of text
 ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(1, 65)], "u8")
 
@@ -110,14 +115,16 @@ def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataF
         bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype("i4")
         order = np.argsort(h, kind="stable")
         hs = h[order]
-        edge = np.append(np.flatnonzero(np.append(True, hs[1:] != hs[:-1])), len(hs))
-        often, drop = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        for k in np.flatnonzero(np.diff(edge) > FREQUENT):
-            at = order[edge[k] : edge[k + 1]]
-            # the first place goes on, and the first block, for others to meet
-            stay = np.append(at[:1], at[pos[at] % block == 0][:1])
-            often[at], drop[at] = True, True
-            drop[stay] = False
+        first_of = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
+        count = np.diff(np.append(first_of, len(hs)))
+        anchor = np.minimum.reduceat(np.where(pos[order] % block == 0, np.arange(len(hs)), len(hs)), first_of)  # its first block
+        settled = (count > FREQUENT) | (count > 1) & (anchor < len(hs))
+        marks = np.repeat(settled, count)
+        leave = marks.copy()
+        leave[first_of] = False
+        leave[anchor[settled & (anchor < len(hs))]] = False
+        often, drop = np.empty(len(h), bool), np.empty(len(h), bool)
+        often[order], drop[order] = marks, leave
         rest = shipped(np.full(often.sum(), -1, "i4"), doc[often], pos[often])
         named = (-2, NAMED, np.array([d for d, _ in parts], "<i8").tobytes(), first.astype("<u4").tobytes(), int(batch).to_bytes(8, "little"))
         return packed_batch([*shipped(bucket[~drop], doc[~drop], pos[~drop], h[~drop], 4), *rest, named])
@@ -213,15 +220,26 @@ def by_document(packed: DataFrame, length: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(gather, "doc_id long, spans binary")
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a column row for repeats(); null for a null doc_id."""
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    tell = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << TELL))
+    if least is None or -SMALL < least and most < SMALL:
+        return docs.withColumn("row", F.shiftleft("doc_id", TELL) + tell)
+    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id").rdd.map(lambda r: r.doc_id).zipWithIndex()
+    ranks = stored(docs.sparkSession.createDataFrame(ids, "doc_id long, rank long"), "blocks-ranks")
+    return docs.join(guarded(ranks), "doc_id", "left").withColumn("row", F.shiftleft("rank", TELL) + tell).drop("rank")
+
+
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, spans): maximal runs of words that are covered by windows which also start in an earlier document.
-    docs: (doc_id, text), doc_id a long."""
+    docs: (doc_id, text), doc_id the name that named() gives; one is earlier than another by its bits above TELL."""
     block = (words + 1) // 2
     buckets = max(1, byte_size(docs) // BUCKET_BYTES + 1)
     digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length("text").alias("size"))
     copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("size").alias("size")).filter("rep < last and size > 0")
     later = stored(digest.join(copies.select("digest", "rep"), "digest").filter("doc_id > rep").select("doc_id").distinct(), "blocks-copies")
-    alone = docs.join(guarded(later, 16), "doc_id", "left_anti")
+    alone = docs.join(guarded(later), "doc_id", "left_anti")
     near = stored(marked(probes(alone, buckets, block, words), block, buckets), "blocks-places")  # one row for each document
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +260,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def later_than(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Which entries have an equal hash in an earlier document among these."""
+        doc = doc >> TELL
         order = np.argsort(h, kind="stable")
         first = np.append(True, h[order][1:] != h[order][:-1])
         out = np.empty(len(h), bool)
@@ -275,7 +294,7 @@ def kept_words(words: list[bytes], spans: bytes | None, least: int = WORDS) -> l
 
 
 def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    docs = named(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +306,8 @@ def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_spans(docs, repeats(docs)).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spans = repeats(docs.filter("row IS NOT NULL").select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    return with_spans(docs, spans, "row").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 ORACLE = r"""
