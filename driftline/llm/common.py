@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is at most this many bytes; beyond it the join shuffles.
@@ -48,15 +49,28 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def guarded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Hint a broadcast if the (stored) table's rows times row_bytes fit the bound, else leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def measured(df: DataFrame) -> int:
+    """Bytes of a (stored) table's values, with 16 more for each row and 8 for each value; lists hold longs."""
+    wide = {"string": F.octet_length, "binary": F.octet_length, "array<bigint>": lambda c: 8 * F.size(c)}
+    parts = [F.coalesce(wide[t](F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in wide]
+    if other := {t for _, t in df.dtypes if t not in wide and not re.fullmatch("boolean|tinyint|smallint|int|bigint|double", t)}:
+        raise ValueError(f"no size is known for {other}")
+    return int(df.agg(F.sum(sum(parts, F.lit(16 + 8 * len(df.columns)).cast("long")))).first()[0] or 0)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, name: str = "spans", how: str = "left") -> DataFrame:
-    """docs joined with a stored table (doc_id, spans binary); broadcast only if all its spans fit the bound."""
-    size = spans.agg(F.sum(F.octet_length(name) + 48)).first()[0] or 0
-    return docs.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "doc_id", how)
+def guarded(df: DataFrame) -> DataFrame:
+    """Hint a broadcast if the (stored) table's measured bytes fit the bound, else leave it to a shuffle join."""
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, on: str = "doc_id", how: str = "left") -> DataFrame:
+    """docs joined with a stored table (on, spans binary); broadcast only if all its spans fit the bound."""
+    return docs.join(guarded(spans), on, how)
+
+
+def row_key() -> Column:
+    """Tells rows apart: a hash of doc_id (null too) and text. Rows that repeat both have one key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:

@@ -98,6 +98,11 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def one_each(sample: DataFrame) -> DataFrame:
+    """One row (doc_id, text, y) for each doc_id of a bounded sample, however often the documents repeat it: the least text, the largest y."""
+    return sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
 def bounded(rows: DataFrame, limit: int) -> DataFrame:
     """At most limit rows, chosen by a hash of doc_id."""
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)

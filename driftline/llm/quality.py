@@ -5,9 +5,10 @@ one common token and so do words with a digit, so repetition and numbers count w
 taken over these tokens. Features are binary and scaled to length one. SAMPLE bounds the labelled rows that are fitted
 (the first by a hash of doc_id); all texts are scored whole.
 
-Defined cases: null or empty text scores the bias alone; rows without a label, or with a null one, aren't fitted;
-documents labelled twice are fitted twice; repeated rows are scored once each; no labels: every score is 0.5; an
-empty table gives an empty result; other columns are never read.
+Defined cases: null or empty text scores the bias alone; very long texts are read whole; rows without a label, or with a null
+one, aren't fitted; a document labelled twice with different labels counts as good; of rows that share a doc_id the one with
+the least text is fitted, and each is scored; a null doc_id is scored, never fitted; no labels: every score is 0.5; an empty
+table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import table, words_of
-from driftline.llm.linear import bounded, hashes, remainder, score, slots, train
+from driftline.llm.linear import bounded, hashes, one_each, remainder, score, slots, train
 
 SAMPLE = 16_000
 SAME, NUMBER = np.uint64(0xA5A5_1111_0000_0001), np.uint64(0xA5A5_1111_0000_0002)
@@ -40,7 +41,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = SAMPLE) -> np.ndarray:
     """learn: which labelled rows may be fitted. At most limit of them are, so their ids are broadcast."""
     chosen = bounded(labels.filter(learn & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y")), limit)
-    return train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), features, epochs=5, alpha=2.0, l1=0.1)
+    return train(one_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")), features, epochs=5, alpha=2.0, l1=0.1)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

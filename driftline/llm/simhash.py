@@ -13,7 +13,9 @@ bucket take another way that is just as exact: two fingerprints are within two b
 are linked to the least of them.
 
 Defined cases: null or empty text has fingerprint zero; fewer words than a shingle: the whole sequence is one shingle;
-repeated rows return once each; an empty table gives an empty result; other columns are ignored by the fingerprint.
+very long texts are read whole; repeated rows return once each; rows with a null doc_id get a fingerprint and the least
+doc_id of their component, null if there is none; rows that share a doc_id may lie in different components; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,11 +101,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     marks = stored(fingerprints(docs, shingle), "simhash-marks")
     classes = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     pairs = close_pairs(classes.select("fp"), max_bits)
-    ids = classes.select(F.col("fp").alias("u"), F.col("rep").alias("a"))
-    links = pairs.join(ids, "u").join(classes.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(links, "simhash-links")
-    known = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marks.join(known, "fp").select("doc_id", "fp", "component_id")
+    roots = components(pairs, "simhash-links")
+    known = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return marks.join(known.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,10 @@ An anchor with more than CROWD different segments would be one large group (a co
 windows are counted one by one by hash instead, which pre-aggregates. Exact copies are settled by their text's hash first.
 Segments are compared by 64-bit polynomial hashes besides the anchor's own.
 
-Defined cases: null text is empty; texts below WIDTH bytes keep all; rows that repeat a doc_id with one text are copies of
-each other; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text is empty; texts below WIDTH bytes keep all; very long texts go in parts; rows are told apart by doc_id
+(null too) and text, so rows that share a doc_id but not the text are documents of their own, and rows that repeat both are
+copies of each other; where a string occurs often all its places are equal, so there are no ties; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.blocks import PACKED, dealt_documents, opened, packed_batch, places, planes, shipped, union_spans, unplanes
 from driftline.llm.blocks import by_document as by_places
-from driftline.llm.common import byte_size, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans
+from driftline.llm.common import byte_size, guarded, merge, mix, pack_spans, row_key, stored, table, unpack_spans, with_spans
 
 WIDTH, GRAM = 200, 64
 BATCH, CROWD = 1 << 20, 1024
@@ -243,13 +245,14 @@ def repeated_columns(group: np.ndarray, data: list[bytes], off: np.ndarray, widt
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): maximal runs of bytes under strings of width bytes that also start elsewhere. docs: (doc_id, text)."""
+    """(doc_id, spans): maximal runs of bytes under strings of width bytes that also start elsewhere. docs: (doc_id, text);
+    doc_id, a long, tells texts apart: see row_key."""
     size = byte_size(docs)
     buckets = max(1, size // BUCKET_BYTES + 1)
     digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).filter(F.col("size") >= width)
     copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     copied = stored(digest.join(copies, "digest").select("doc_id", "rep", F.col("size").cast("long").alias("size")).distinct(), "suffixes-copies")
-    alone = docs.join(guarded(copied.filter("doc_id > rep").select("doc_id"), 16), "doc_id", "left_anti")
+    alone = docs.join(guarded(copied.filter("doc_id > rep").select("doc_id")), "doc_id", "left_anti")
     out = stored(sorted_out(sent_segments(alone, buckets, width, gram), width), "suffixes-sorted")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +350,7 @@ def kept_bytes(data: bytes, spans: bytes | None) -> tuple[bytes, int]:
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), row_key().alias("row"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,4 +362,5 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 3, pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(docs, repeats(docs)).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans = repeats(docs.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    return with_spans(docs, spans, "row").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

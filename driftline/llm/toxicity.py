@@ -7,14 +7,19 @@
    address, and some vote "clean".
 3. A generative label model with a hidden class is fitted by expectation maximisation to the votes of all documents
    that may be learnt from: what each voter says given the class, and the correlations of voters within a class;
-   correlated voters share their weight.
+   correlated voters share their weight. The start is supervised: the first round counts what the voters say of labelled
+   documents. The label, where there is one, is the last voter, with an accuracy estimated like that of the others.
 4. A linear classifier learns the posterior of a bounded sample of documents, and scores every whole text.
 
 The vote table is aggregated to counts of equal votes; each round of the label model is one distributed sum.
 
-Defined cases: null or empty text has no hits and scores the classifier's bias; no labels or no toxic label: the
-lexicon is empty and all documents score low; repeated rows are scored once each; an empty table gives an empty
-result; other columns are never read.
+LEXICON bounds the voters' terms as SAMPLE bounds what is fitted; the scoring classifier reads all words of every text.
+
+Defined cases: null or empty text has no hits and scores the classifier's bias; very long texts are read whole; no labels or
+no toxic label: the lexicon is empty and all documents score low; a document labelled twice with different labels counts
+as toxic; of rows that share a doc_id the one with the least text is learnt from, and each is scored; a null doc_id is
+scored, never learnt from; terms that set texts apart equally are taken in byte order; an empty table gives an empty result;
+other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm.common import stored, table
-from driftline.llm.linear import bounded, hashes, remainder, score, slots, train
+from driftline.llm.linear import bounded, hashes, one_each, remainder, score, slots, train
 
 SAMPLE, LEXICON, VOTERS = 16_000, 320, 16
 BEGINNINGS = (5, 6, 7, 8, 9)
@@ -176,7 +181,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
     known = labels.filter(learn & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("double").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     chosen = stored(bounded(known, limit), "toxicity-known")
-    sample = stored(texts.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    sample = stored(one_each(texts.join(F.broadcast(chosen), "doc_id")), "toxicity-sample")
     shares = dealt(lexicon(sample))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +197,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.posterior(as_array(b)), pa.float64())], ["doc_id", "y"])
 
-    soft = stored(bounded(votes, limit).mapInArrow(believe, "doc_id long, y double"), "toxicity-soft")
-    return train(texts.join(F.broadcast(soft), "doc_id"), features, epochs=6, alpha=0.5, l1=1.0)
+    soft = stored(bounded(votes.groupBy("doc_id").agg(F.min("votes").alias("votes")), limit).mapInArrow(believe, "doc_id long, y double"), "toxicity-soft")
+    return train(one_each(texts.join(F.broadcast(soft), "doc_id")), features, epochs=6, alpha=0.5, l1=1.0)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
