@@ -129,7 +129,8 @@ def simhash(docs: list[tuple]) -> list[tuple]:
     return [(r[0], f"{fps[i]:016x}", least[find(i)]) for i, r in enumerate(docs)]
 
 
-def suffixes(docs: list[tuple], width: int = 200) -> list[tuple]:
+def repeated_bytes(docs: list[tuple], width: int = 200) -> list[tuple]:
+    """(doc_id, bytes, a 1 for each byte under a repeated string)."""
     data = [(r[0], (r[1] or "").encode()) for r in docs]
     seen: dict[bytes, int] = {}
     for _, b in data:
@@ -141,11 +142,33 @@ def suffixes(docs: list[tuple], width: int = 200) -> list[tuple]:
         for i in range(len(b) - width + 1):
             if seen[b[i : i + width]] > 1:
                 gone[i : i + width] = b"\1" * width
+        out.append((d, b, gone))
+    return out
+
+
+def suffixes(docs: list[tuple], width: int = 200) -> list[tuple]:
+    out = []
+    for d, b, gone in repeated_bytes(docs, width):
         runs = len(re.findall(b"\1+", bytes(gone)))
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         out.append((d, len(b), sum(gone), runs, sha(left)))
     return out
 
 
+def without_repeats(docs: list[tuple]) -> list[tuple]:
+    """(doc_id, text) with the characters that lie wholly under repeats cut; documents that are emptied go."""
+    out = []
+    for (d, b, gone), (_, text, *_) in zip(repeated_bytes(docs), docs, strict=True):
+        left, at = [], 0
+        for c in b.decode():
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                left.append(c)
+            at += n
+        if left or not any(gone):
+            out.append((d, "".join(left) if any(gone) else text))
+    return out
+
+
 def crc(x: object) -> int:
     return zlib.crc32(str(x).encode())

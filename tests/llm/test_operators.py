@@ -11,7 +11,7 @@ from conftest import SMALL
 from oracle import canon, sql_rows
 from pyspark.sql import functions as F
 
-from driftline.llm import blocks, common, decontaminate, host_rules, packing, quality, registry, sharding, simhash, suffixes, toxicity, warc
+from driftline.llm import blocks, common, decontaminate, host_rules, linear, packing, quality, registry, sharding, simhash, suffixes, toxicity, warc
 
 PAGES = [(k, f"https://h{k % 3}.org/{k}" if k % 7 else None, "<p>" + "é" * (k % 50) if k % 5 else None) for k in range(2000)] + [(5, "https://h2.org/5", "again")]
 
@@ -63,6 +63,40 @@ def test_op3(spark, hard, monkeypatch):
     assert rows(decontaminate.op3_winnowing(spark, d), *cols) == want
 
 
+def odd_ids(spark, tmp_path, top=0):
+    """Null ids, ids with two texts, rows twice, one phrase everywhere, and benchmark items of 1, 5 and 9 words."""
+    rng = np.random.default_rng(3)
+    w = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10_000, n))
+    phrase, other = w(40), w(200)
+    docs = [(top + k % 30 if k % 7 else None, f"{w(20)} {phrase} {w(k)}", None, "h", None) for k in range(60)]
+    docs += [(top + 5, other, None, "h", None), (top + 90, other, None, "h", None), (top + 90, w(50), None, "h", None), (None, other, None, None, None), (top + 91, other, None, None, None), (top + 91, other, None, None, None)]
+    items = [(1, "w77"), (2, " ".join(other.split()[7:12])), (3, " ".join(phrase.split()[:9])), (4, "none of these words at all"), (5, phrase)]
+    labels = [(r[0], k % 2, k % 3 % 2) for k, r in enumerate(docs)]
+    return docs, items, brute.write(tmp_path, docs, items, labels)
+
+
+def known(rows):
+    """Rows with sortable ids."""
+    return sorted((r[0] is None, r[0] or 0, *r[1:]) for r in rows)
+
+
+@pytest.mark.parametrize("top", [0, 2**60])
+def test_null_and_repeated_ids(spark, tmp_path, monkeypatch, top):
+    docs, items, d = odd_ids(spark, tmp_path, top)
+    monkeypatch.setattr(blocks, "BATCH", 500)
+    monkeypatch.setattr(suffixes, "BATCH", 3000)
+    got = blocks.op2_blocks(spark, d).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    whole = [(None, len(t.split()), 0, brute.sha(" ".join(t.split()).encode())) for i, t, *_ in docs if i is None]
+    assert known(got) == known(brute.blocks([r for r in docs if r[0] is not None]) + whole)
+    got = suffixes.op7_suffixes(spark, d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert known(got) == known(brute.suffixes(docs))
+    got = decontaminate.op3_winnowing(spark, d).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert known(got) == known(brute.leaks(list(dict.fromkeys(docs)), items)) and {r.n_items for r in got} >= {1, 2}
+    for name, query in registry.queries().items():
+        if name not in ("op2_blocks", "op3_winnowing", "op4_packing", "op7_suffixes", "op8_merkle_audit"):
+            assert query(spark, d).count() == len(docs)
+
+
 def test_op4(spark, hard):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -284,6 +318,46 @@ def test_op9(spark, hard):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def plain_ring(counts, nodes, capacity):
+    """Keys one by one walk clockwise from their cell: every key asks its own shard before any asks the next."""
+    room, got = list(capacity), {}
+    waiting = [(c, next((k for k, (n, _) in enumerate(nodes) if n >= c), 0)) for c in sorted(counts) for _ in range(counts[c])]
+    while waiting:
+        left = []
+        for c, at in waiting:
+            s = nodes[at][1]
+            if room[s]:
+                room[s] -= 1
+                got[c, s] = got.get((c, s), 0) + 1
+            else:
+                left.append((c, at))
+        waiting = []
+        for c, at in left:
+            while not room[nodes[at][1]]:
+                at = (at + 1) % len(nodes)
+            waiting.append((c, at))
+    return got
+
+
+@pytest.mark.parametrize("factor", [1.0, 1.3])
+def test_ring_equals_a_plain_walk(spark, factor):
+    nodes = sharding.ring(spark, 5, 8)
+    rng = np.random.default_rng(5)
+    counts = {int(c): int(n) for c, n in zip(rng.integers(0, sharding.CELLS, 60), rng.integers(1, 30, 60), strict=True)}
+    total = sum(counts.values())
+    capacity = [-int(-factor * total // 5)] * 5
+    got = {}
+    for c, a, z, s, _ in sharding.place(counts, nodes, capacity):
+        got[c, s] = got.get((c, s), 0) + z - a
+    assert got == plain_ring(counts, nodes, capacity)
+
+
+def test_a_key_with_a_third_of_all_rows_spreads(spark):
+    n = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id) k")
+    got = sharding.assign(n, "k", 7).collect()
+    assert sorted((r.shard, r.slot) for r in got) == sorted((s, k) for s in range(7) for k in range(9000 // 7 + (s < 9000 % 7)))
+
+
 def test_ring_moves_little(spark):
     n = spark.range(20_000).withColumnRenamed("id", "k")
     a, b = sharding.assign(n, "k", 20, load_factor=1.25), sharding.assign(n, "k", 21, load_factor=1.25)
@@ -311,6 +385,65 @@ def test_op10_held_out(spark):
     assert n > 200 and total > 0.9 and min(ones, zeros) > 0.8
 
 
+def test_updates_equal_plain_ones():
+    """Follow the regularised leader, coordinate by coordinate."""
+    rng = np.random.default_rng(2)
+    seen = [(np.sort(rng.choice(50, 6, replace=False)).astype("i4"), rng.random(6).astype("f4"), float(rng.integers(0, 2))) for _ in range(60)]
+    alpha, l1, l2 = 0.7, 0.2, 1e-3
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((1 + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for at, x, y in seen:
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + np.exp(-sum(w[i] * float(v) for i, v in zip(at, x, strict=True))))
+            for i, v in zip(at, x, strict=True):
+                g = (p - y) * float(v)
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = linear.fit(seen, 3, alpha, l1, l2)
+    assert np.allclose(got[:50], [weight(i) for i in range(50)], atol=1e-6)
+
+
+def test_label_model_equals_plain_rounds(spark):
+    """Votes of known accuracies: the rounds equal plain ones, and the classes come out."""
+    rng = np.random.default_rng(4)
+    j, rows = toxicity.VOTERS + toxicity.PATTERNS, 600
+    y = rng.random(rows) < 0.3
+    right = rng.uniform(0.6, 0.9, j)
+    says = np.where(rng.random((rows, j)) < 0.3, 1, np.where((rng.random((rows, j)) < right) == y[:, None], 2, 0)).astype("u1")
+    says[:, 1] = says[:, 0]  # two voters that always agree
+    says = np.hstack([says, np.where(np.arange(rows) < 90, 2 * y, 1).astype("u1")[:, None]])  # the labels
+    j += 1
+    data = [(k, bytes(says[k])) for k in range(rows)]
+    model = toxicity.fit_labels(common.stored(spark.createDataFrame(data, "doc_id long, votes binary"), "votes"), 3)
+    rate, part = 0.1, np.ones(j)
+    say = np.zeros((j, 3, 2))
+    for k in range(4):
+        p = y[:90].astype(float) if k == 0 else belief
+        v = says[:90] if k == 0 else says
+        corr = np.zeros((j, j))
+        for c in (0, 1):
+            q = p if c else 1 - p
+            for a in range(j):
+                for x in range(3):
+                    say[a, x, c] = (sum(q[i] for i in range(len(v)) if v[i, a] == x) + 1) / (q.sum() + 3)
+            centred = v.astype(float) - 1
+            mean = (q[:, None] * centred).sum(0) / q.sum()
+            cov = (q[:, None] * centred).T @ centred / q.sum() - np.outer(mean, mean)
+            corr += abs(cov / np.outer(np.sqrt(np.maximum(np.diag(cov), 1e-6)), np.sqrt(np.maximum(np.diag(cov), 1e-6)))) / 2
+        np.fill_diagonal(corr, 0)
+        part, rate = 1 / (1 + np.where(corr > toxicity.DEPENDENT, corr, 0).sum(1)), min(max(p.mean(), 1e-4), 0.5)
+        odds = [np.log(rate / (1 - rate)) + sum(part[a] * np.log(say[a, x, 1] / say[a, x, 0]) for a, x in enumerate(r)) for r in says]
+        belief = 1 / (1 + np.exp(-np.array(odds)))
+    assert np.allclose(model.say, say) and np.allclose(model.part, part) and np.isclose(model.rate, rate)
+    assert model.part[0] < 0.7 < model.part[5] and ((model.posterior(says) > 0.5) == y).mean() > 0.95
+
+
 @pytest.mark.parametrize("query", [quality.op1_quality, toxicity.op10_toxicity])
 def test_scores_of_hard_cases(spark, hard, query):
     docs, _, _, d = hard

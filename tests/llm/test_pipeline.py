@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import brute
 import pytest
+from test_near_copies import heads
 
 import corpus_pipeline
-from driftline.llm import simhash, toxicity
+from driftline.llm import packing, simhash, toxicity
 from driftline.llm.common import stored, table
 
 
@@ -16,28 +17,48 @@ def hard(tmp_path_factory):
     return brute.write(tmp_path_factory.mktemp("pipe"), docs, items, labels)
 
 
-def texts(df):
-    return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()) if df.filter("text IS NULL").isEmpty() else sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()))
+def plain(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
 def test_stages(spark, hard):
     docs = table(spark, hard, "documents")
     f = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "suffix_dedup", "decontaminate", "packing"]
-    one = f["near_dedup"](spark, docs, hard)
-    assert one.columns == docs.columns
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    heads = {d for d, _, c in brute.simhash(rows) if d == c}
-    assert sorted(r.doc_id for r in one.collect()) == sorted(heads)
-    two = stored(f["suffix_dedup"](spark, docs, hard), "two")
+    one = stored(f["near_dedup"](spark, docs, hard), "one")
+    assert one.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in one.collect()]
+    assert sorted(d for d, _ in kept) == heads(rows) and len(kept) < len(set(rows))
+    two = stored(f["suffix_dedup"](spark, one, hard), "two")
     assert two.columns == docs.columns
-    removed = {d: (n, gone) for d, n, gone, *_ in brute.suffixes(rows)}
-    left = {r.doc_id: len((r.text or "").encode()) for r in two.collect()}
-    for d, (n, gone) in removed.items():  # whole characters stay at the edges of what is cut
-        assert 0 <= left.get(d, 0) - (n - gone) <= 6 * (1 + gone // 100)
-    three = f["decontaminate"](spark, docs, hard)
+    cut = [(r.doc_id, r.text) for r in two.collect()]
+    assert plain(cut) == plain(brute.without_repeats(kept)) and sum(len(t or "") for _, t in cut) < sum(len(t or "") for _, t in kept)
+    assert [r.n_chars for r in two.collect()] == [None if r.text is None else len(r.text) for r in two.collect()]
+    three = f["decontaminate"](spark, two, hard)
+    assert three.columns == docs.columns
     items = [(r.item_id, r.text) for r in table(spark, hard, "benchmark").collect()]
-    assert sorted(r.doc_id for r in three.collect()) == sorted(r[0] for r in brute.leaks(rows, items) if not r[5])
+    clean = plain(r for r, m in zip(cut, brute.leaks(cut, items), strict=True) if not m[5])
+    assert plain((r.doc_id, r.text) for r in three.collect()) == clean and len(clean) < len(cut)
+    got = f["packing"](spark, stored(three, "three"), hard).collect()
+    vocabulary = packing.default_vocabulary()
+    want = {d: len(packing.token_ids(t or "", vocabulary)) + 1 for d, t in clean}
+    assert {r.doc_id for r in got} == set(want) and sum(r.length for r in got) == sum(want.values())
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(v) == [(sum(n for _, n in sorted(v)[:k]), n) for k, (_, n) in enumerate(sorted(v))] and sum(n for _, n in v) <= 1024 for v in by.values())
+
+
+def test_stages_with_null_ids_and_clashing_columns(spark, tmp_path):
+    a, b = (" ".join(f"{x}{k}" for k in range(120)) for x in "ab")
+    docs = [(None, a, "en", None, 1), (1, a + " end", "en", None, 1), (None, b, None, None, None), (2, "short text", None, None, None), (2, "other text", None, None, None), (None, None, None, None, None), (3, "", None, None, None)]
+    d = brute.write(tmp_path, docs, [(1, "other text"), (2, " ".join(b.split()[:12]))], [(1, 0, 0)])
+    docs = table(spark, d, "documents").selectExpr("*", "1 as __spans__", "'x' as __id__", "2 as `key`", "3 as __row__")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, before = stored(stage(spark, docs, d), name), docs
+        assert docs.columns == before.columns
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(1, a + " end"), (2, "short text"), (3, "")], key=str)
 
 
 def test_toxic_documents_go_and_clean_ones_stay(spark):
