@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import few
+
 BITS = 18
 Features = Callable[[str | None], tuple[np.ndarray, np.ndarray]]
 
@@ -70,7 +72,7 @@ def score(docs: DataFrame, model: np.ndarray, features: Features, extra: tuple[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b in batches:
+        for b in few(batches):
             dots = [float(w[at] @ x) for at, x in (features(t) for t in b.column("text").to_pylist())]
             p = 1 / (1 + np.exp(-np.clip(np.array(dots, "f8"), -35, 35)))
             keep = [b.column(c) for c in ("doc_id", *extra)]
@@ -87,7 +89,7 @@ def keep_below(docs: DataFrame, model: np.ndarray, features: Features, limit: fl
     edge = float(np.log(limit / (1 - limit)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             yield b.filter(pa.array([float(shared.value[at] @ x) < edge for at, x in map(features, b.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.blocks import planes, unplanes
-from driftline.llm.common import byte_size, dropped, guarded, mix, stored, words_of
+from driftline.llm.common import byte_size, dropped, few, guarded, mix, stored, words_of
 from driftline.llm.components import components
 from driftline.llm.simhash import close_pairs, majority
 
@@ -43,7 +43,7 @@ SHINGLE, HOT, LATE_MOST = 5, 32, 1 << 20
 SIGN = 1024
 LONGS = SIGN // 64
 BATCH = 1 << 20  # shingles
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 32  # of text
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32  # of text
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -71,14 +71,6 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(own.astype("i8") % SIGN, minlength=SIGN) & 1).astype("u1")).view("<i8")
 
 
-def packed_set(own: np.ndarray) -> bytes:
-    return planes(np.diff(own, prepend=np.uint64(0)), 5)
-
-
-def unpacked_set(data: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(data, 5), dtype="u8")
-
-
 def text_digest() -> Column:
     """Tells texts of one doc_id apart; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
@@ -121,20 +113,18 @@ def _marks(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                sets = [shingles(t) for t in part.column("text").to_pylist()]
-                sign = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LONGS, pa.int32()), pa.array(np.concatenate([parity(x) for x in sets])))
-                fps = np.array([majority(mix(x)) for x in sets], "u8").view("i8")
-                none = [None] * len(sets)
-                cols = [part.column("doc_id"), part.column("digest"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), sign, pa.array(none, pa.int32()), pa.array(none, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, schema=MARK)
-                held += [x[: len(x) // 4 + 1] for x in sets]
-                size += sum(map(len, sets))
-                if size >= BATCH:
-                    yield counted(held)
-                    held, size = [], 0
+        for part in few(batches):
+            sets = [shingles(t) for t in part.column("text").to_pylist()]
+            sign = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * LONGS, pa.int32()), pa.array(np.concatenate([parity(x) for x in sets])))
+            fps = np.array([majority(mix(x)) for x in sets], "u8").view("i8")
+            none = [None] * len(sets)
+            cols = [part.column("doc_id"), part.column("digest"), pa.array([_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), sign, pa.array(none, pa.int32()), pa.array(none, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, schema=MARK)
+            held += [x[: len(x) // 4 + 1] for x in sets]
+            size += sum(map(len, sets))
+            if size >= BATCH:
+                yield counted(held)
+                held, size = [], 0
         if held:
             yield counted(held)
 
@@ -166,7 +156,7 @@ def _met(docs: DataFrame, late, buckets: int, hot: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
+        for b in few(batches):
             for t in b.column("text").to_pylist():
                 own = shingles(t)
                 held.append((_key(own), len(own), prefix(own, late.value)))
@@ -220,32 +210,22 @@ def _bound(u: str, v: str, un: str, vn: str) -> str:
     return f"5 * least({un}, {vn}) >= 4 * greatest({un}, {vn}) and 9 * ({far}) <= {un} + {vn}"
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column("a"), b.column("b"), strict=True):
-            both = np.concatenate([unpacked_set(x.as_py()), unpacked_set(y.as_py())])
-            both.sort()
-            keep.append(9 * int(np.count_nonzero(both[1:] == both[:-1])) >= 4 * len(both))
-        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
 def _near(pairs: DataFrame, docs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     """Those of the stored pairs (u, v) that are near copies, stored."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                own = [shingles(t) for t in b.column("text").slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in own], pa.int64()), pa.array([packed_set(x) for x in own], pa.binary())], ["key", "own"])
+        for b in few(batches):
+            own = [shingles(t) for t in b.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, own)], dtype="i4")
+            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view("i8")))], ["key", "own"])
 
     need = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     reps = stored(classes.join(need, "key", "left_semi").select("rep", "digest"), f"{name}-need")
     some = guarded(reps.select("rep", F.col("digest").alias("same")).distinct())
     texts = docs.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")) & (text_digest() == F.col("same")), "left_semi")
-    own = stored(texts.select("text").mapInArrow(sets, "key long, own binary"), f"{name}-sets")
+    own = stored(texts.select("text").mapInArrow(sets, "key long, own array<bigint>"), f"{name}-sets")
     both = pairs.join(own.select(F.col("key").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("key").alias("v"), F.col("own").alias("b")), "v")
-    out = stored(both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long"), f"{name}-near")
+    out = stored(both.filter("9 * size(array_intersect(a, b)) >= 4 * (size(a) + size(b))").select("u", "v"), f"{name}-near")
     dropped(own, reps)
     return out
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import stored, table
+from driftline.llm.common import few, stored, table
 from driftline.llm.linear import bounded, hashes, one_each, remainder, score, slots, train
 
 SAMPLE, LEXICON, VOTERS = 16_000, 320, 16
@@ -185,7 +185,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
     shares = dealt(lexicon(sample))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([cast_votes(t, shares) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "votes"])
 
     cast = texts.filter(learn).mapInArrow(vote, "doc_id long, votes binary")
