@@ -8,6 +8,7 @@ from pathlib import Path
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.operators import topology
 from driftline.schemas import FAULT, METRICS, RULE, STAGE
 
 
@@ -154,7 +155,9 @@ def stages(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
 def load_stages(spark: SparkSession, path: str) -> DataFrame:
     """stages: a list of {stage_id, stage_type, upstream_ids, propagation_delay_ms}."""
     found = yaml.safe_load(Path(path).read_text())["stages"]
-    return stages(spark, [(s["stage_id"], s["stage_type"], list(s.get("upstream_ids") or []), float(s.get("propagation_delay_ms", 0))) for s in found])
+    loaded = stages(spark, [(s["stage_id"], s["stage_type"], list(s.get("upstream_ids") or []), float(s.get("propagation_delay_ms", 0))) for s in found])
+    topology.validate(loaded)
+    return loaded
 
 
 def rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
@@ -162,6 +165,7 @@ def rules(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     given = sorted(rows or DEFAULT_RULES, key=lambda r: r[0])
     for r in given:
         _need(r[4] in ACTIONS, f"unknown action {r[4]!r}")
+    _need(any(r[1:4] == (None, None, None) for r in map(tuple, given)), "a last rule without conditions is needed, or some cases match none")
     return spark.createDataFrame([(i, *r, f"{r[1] or 'any'}/{r[2] or 'any'}/{r[3] or 'any'}") for i, r in enumerate(given)], RULE)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.metrics import iso
 
-VERSION = 1
+VERSION, ERROR_CHARS = 1, 200
 EVENT_FIELDS = {"stage_id": "string", "event_time": "timestamp", "latency_ms": "double", "row_count": "int", "payload_bytes": "bigint", "status": "string"}
 ANOMALY_FIELDS = {"detector_type": "string", "stage_id": "string", "metric": "string", "signal": "string", "detector_value": "double", "threshold": "double", "z_score": "double", "detected_at": "timestamp"}
 OPTIONAL = {"event": ("fault_label", "trace_id"), "anomaly": ("fault_label",)}
@@ -32,7 +32,9 @@ def decode(messages: DataFrame, value: str = "value", kind: str = "event") -> Da
         if t == "timestamp":
             return F.try_to_timestamp(j[c])
         if t in ("int", "bigint"):
-            return j[c].try_cast("double").try_cast("bigint").try_cast(t)
+            # through double only what isn't written as a whole number: doubles hold integers up to 2^53
+            whole = F.when(F.trim(j[c]).rlike("^[+-]?[0-9]+$"), j[c].try_cast("bigint"))
+            return F.coalesce(whole, j[c].try_cast("double").try_cast("bigint")).try_cast(t)
         return j[c].try_cast(t)
 
     names = {c: F.lit(c) for c in fields}
@@ -52,7 +54,7 @@ def dead_letter(bad: DataFrame, topic: str, value: str = "value", received_at: C
     """The envelope for <topic>.dlq; bad has partition, offset, error and the raw message."""
     raw = F.col(value) if dict(bad.dtypes)[value] == "string" else F.make_valid_utf8(F.col(value).cast("string"))
     body = F.struct(
-        F.lit(topic).alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), "error",
+        F.lit(topic).alias("source_topic"), F.col("partition").alias("source_partition"), F.col("offset").alias("source_offset"), F.substring("error", 1, ERROR_CHARS).alias("error"),
         iso(received_at if received_at is not None else F.current_timestamp()).alias("received_at"), raw.alias("raw_payload"),
     )
     return bad.select(F.lit(topic + ".dlq").alias("topic"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))

@@ -14,13 +14,20 @@ from driftline.operators import topology
 EVIDENCE = ("detector_type", "stage_id", "metric", "signal", "detector_value", "threshold", "z_score", "detected_at", "fault_label")
 
 
-def sessions(anomalies: DataFrame, config: CollectorConfig | None = None) -> DataFrame:
+def sessions(anomalies: DataFrame, config: CollectorConfig | None = None, bucket_s: int = 86_400) -> DataFrame:
     """Anomalies with the hypothesis they belong to. A window closes when the next anomaly comes more than gap_s later;
-    windows below min_events are dropped. Sessions are global by definition; they come from session_window, whose sort
-    and merge run on partial sessions, not on a window over all rows in one task."""
+    windows below min_events are dropped. Sessions are global by definition, but gaps are looked for inside buckets of
+    bucket_s: only a row for each bucket (its last time, its last session start) is carried to the next ones in one task."""
     config = config or CollectorConfig()
-    keyed = anomalies.withColumn("_all", F.lit(1))
-    found = keyed.groupBy("_all", F.session_window("detected_at", f"{config.gap_s} seconds").alias("w")).agg(F.count("*").alias("evidence_count"), F.min("detected_at").alias("triggered_at"), F.max("detected_at").alias("closed_at"))
+    bucket = F.floor(F.col("t") / (bucket_s * 1_000_000)).alias("b")
+    times = anomalies.groupBy(F.unix_micros("detected_at").alias("t")).agg(F.count("*").alias("n")).select("t", "n", bucket)
+    line, own = Window.orderBy("b"), Window.partitionBy("b").orderBy("t")
+    last = times.groupBy("b").agg(F.max("t").alias("last")).select("b", F.lag("last").over(line).alias("before"))
+    since = F.col("t") - F.coalesce(F.lag("t").over(own), F.col("before"))
+    flagged = times.join(last, "b").withColumn("start", F.when(since.isNull() | (since > int(config.gap_s * 1_000_000)), F.col("t")))
+    carried = flagged.groupBy("b").agg(F.max("start").alias("s")).select("b", F.max("s").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    named = flagged.join(carried, "b").withColumn("session", F.coalesce(F.max("start").over(own), "carried"))
+    found = named.groupBy("session").agg(F.sum("n").alias("evidence_count"), F.timestamp_micros(F.min("t")).alias("triggered_at"), F.timestamp_micros(F.max("t")).alias("closed_at"))
     return found.filter(F.col("evidence_count") >= config.min_events).select(hypothesis_id("triggered_at").alias("hypothesis_id"), "triggered_at", "closed_at", "evidence_count")
 
 

@@ -15,7 +15,7 @@ def overview(events: DataFrame, breakers: DataFrame) -> DataFrame:
     s = events.groupBy("stage_id").agg(F.round(F.coalesce(F.percentile("latency_ms", F.lit(0.99)), F.lit(0.0)), 3).alias("p99_ms"), F.count("*").alias("event_count"), F.max("event_time").alias("last_event_at"))
     return s.join(breakers.select("stage_id", F.col("state").alias("breaker_state"), "trip_count"), "stage_id", "left").select(
         "stage_id", "p99_ms", "event_count", "last_event_at", F.coalesce("breaker_state", F.lit("unknown")).alias("breaker_state"), F.coalesce("trip_count", F.lit(0)).alias("trip_count")
-    )
+    ).orderBy("stage_id")
 
 
 def stage_metrics(events: DataFrame, stage_id: str, start: str | None = None, end: str | None = None, page_no: int = 1, size: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,25 @@ def between(rows: DataFrame, time: str, start: str | None = None, end: str | Non
     return rows
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the folder that spark.checkpoint.dir names (on a local master without one: a new folder) and read
+    it back: what several later steps read is made once."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-driftline-")
+    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def actions_of(log: DataFrame, hypothesis_id: str) -> DataFrame:
+    """All rows of one hypothesis' actions, oldest first."""
+    return log.filter(F.col("hypothesis_id") == hypothesis_id).orderBy("triggered_at", "resolved_at", "id")
+
+
 def append_new(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """The rows of new whose key isn't in old."""
     return new.dropDuplicates([key]).join(old.select(key), key, "left_anti")

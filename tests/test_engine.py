@@ -15,9 +15,9 @@ from driftline.schemas import ANOMALY, EVENT
 from driftline.sources import simulator
 from driftline.sources.events import pipeline_events, read_metrics, write_metrics
 
-T0 = dt.datetime(2024, 1, 1)
-DIAMOND = [("source_a", "source", [], 0.0), ("source_d", "source", [], 0.0), ("transform_b", "transform", ["source_a", "source_d"], 10.0), ("transform_c", "transform", ["source_a"], 15.0), ("sink_e", "sink", ["transform_b", "transform_c"], 5.0)]
-CHAIN = [("src", "source", [], 0.0), ("t1", "transform", ["src"], 10.0), ("t2", "transform", ["t1"], 15.0), ("t3", "transform", ["t2"], 5.0), ("snk", "sink", ["t3"], 20.0)]
+T0 = dt.datetime(2025, 6, 2, 8)
+MESH = [("tap", "source", [], 0.0), ("feed", "source", [], 0.0), ("mix", "transform", ["tap", "feed"], 12.0), ("trim", "transform", ["mix"], 7.0), ("route", "transform", ["feed"], 4.0), ("vault", "sink", ["trim", "route"], 9.0)]
+LINE = [("well", "source", [], 0.0), ("pump", "transform", ["well"], 8.0), ("tank", "sink", ["pump"], 30.0)]
 
 
 def fold(step, values, name="z"):
@@ -30,7 +30,7 @@ def fold(step, values, name="z"):
 
 def anomalies(spark, rows):
     """rows: (stage, seconds[, fault label])."""
-    full = [("cusum", r[0], "latency_ms", "upper", 5.0, 4.0, 2.5, T0 + dt.timedelta(seconds=r[1]), r[2] if len(r) > 2 else None) for r in rows]
+    full = [("ewma", r[0], "row_count", "lower", -1.75, 1.25, -3.2, T0 + dt.timedelta(seconds=r[1]), r[2] if len(r) > 2 else None) for r in rows]
     return spark.createDataFrame(full, ANOMALY).withColumn("event_id", F.monotonically_increasing_id())
 
 
@@ -88,9 +88,9 @@ def test_window_percentiles_and_expiry(spark):
 
 
 def test_topology(spark):
-    up = {r.ancestor: (r.hops, r.delay_ms) for r in topology.ancestors(config.stages(spark, DIAMOND), "sink_e").collect()}
-    assert up == {"transform_b": (1, 5.0), "transform_c": (1, 5.0), "source_a": (2, 15.0), "source_d": (2, 15.0)}
-    topology.validate(config.stages(spark, DIAMOND))
+    up = {r.ancestor: (r.hops, r.delay_ms) for r in topology.ancestors(config.stages(spark, MESH), "vault").collect()}
+    assert up == {"trim": (1, 9.0), "route": (1, 9.0), "mix": (2, 16.0), "feed": (2, 13.0), "tap": (3, 28.0)}
+    topology.validate(config.stages(spark, MESH))
     bad = {
         "cycle": [("s", "source", [], 0.0), ("a", "transform", ["b"], 1.0), ("b", "transform", ["a"], 1.0), ("k", "sink", ["b"], 1.0)],
         "unknown": [("s", "source", [], 0.0), ("k", "sink", ["x"], 1.0)],
@@ -105,20 +105,39 @@ def test_topology(spark):
 
 
 def test_sessions_and_alerts(spark):
-    a = anomalies(spark, [("src", s) for s in (0, 5, 10, 60, 65, 70)])
-    assert sorted(r.evidence_count for r in incidents.sessions(a, config.CollectorConfig(30.0)).collect()) == [3, 3]
-    ten = anomalies(spark, [(CHAIN[i % 5][0], i) for i in range(10)])
-    got = incidents.correlate(ten, config.stages(spark, CHAIN), config.CorrelationConfig(120.0)).collect()
-    assert [r.event_count for r in got] == [10] and len(got[0].affected_stage_ids) == 5
-    apart = config.stages(spark, [*CHAIN, ("isrc", "source", [], 0.0), ("isnk", "sink", ["isrc"], 10.0)])
-    both = incidents.correlate(anomalies(spark, [("src", 0), ("t1", 1), ("isrc", 2), ("isnk", 3)]), apart, config.CorrelationConfig(60.0)).collect()
-    assert sorted(tuple(r.affected_stage_ids) for r in both) == [("isnk", "isrc"), ("src", "t1")]
+    a = anomalies(spark, [("well", s) for s in (1, 9, 20, 90, 95, 111, 120)])
+    assert sorted(r.evidence_count for r in incidents.sessions(a, config.CollectorConfig(25.0)).collect()) == [3, 4]
+    walk = anomalies(spark, [(LINE[(i * 2) % 3][0], 3 * i) for i in range(14)])
+    got = incidents.correlate(walk, config.stages(spark, LINE), config.CorrelationConfig(90.0)).collect()
+    assert [r.event_count for r in got] == [14] and len(got[0].affected_stage_ids) == 3
+    apart = config.stages(spark, [*LINE, ("spring", "source", [], 0.0), ("pool", "sink", ["spring"], 6.0)])
+    both = incidents.correlate(anomalies(spark, [("spring", 0), ("pump", 4), ("pool", 6), ("tank", 7)]), apart, config.CorrelationConfig(45.0)).collect()
+    assert sorted(tuple(r.affected_stage_ids) for r in both) == [("pool", "spring"), ("pump", "tank")]
+
+
+@pytest.mark.parametrize("bucket_s", [7, 60, 86_400])
+def test_sessions_do_not_depend_on_buckets(spark, bucket_s):
+    """Gaps of the limit and a microsecond more, sessions over many buckets, equal times."""
+    rng = random.Random(8)
+    times, t = [], 0.0
+    for _ in range(300):
+        t += rng.choice([0.0, 1.5, 3.0, 6.0, 20.0, 20.000001, 41.0])
+        times.append(t)
+    want, last = [], None
+    for x in times:
+        us = round(x * 1e6)
+        if last is None or us - last > 20_000_000:
+            want.append(0)
+        want[-1] += 1
+        last = us
+    got = incidents.sessions(anomalies(spark, [("well", x) for x in times]), config.CollectorConfig(20.0, 1), bucket_s).orderBy("triggered_at").collect()
+    assert [r.evidence_count for r in got] == want and incidents.sessions(anomalies(spark, [("well", 1)]).limit(0)).count() == 0
 
 
 def test_pieces_equal_one_fold(spark):
     rng = random.Random(3)
-    rows = sorted((rng.uniform(0, 2000), rng.choice(CHAIN)[0]) for _ in range(120))
-    st, c = config.stages(spark, CHAIN), config.CorrelationConfig(40.0, 2)
+    rows = sorted((rng.uniform(0, 2000), rng.choice(LINE)[0]) for _ in range(120))
+    st, c = config.stages(spark, LINE), config.CorrelationConfig(40.0, 2)
     up = {}
     for r in topology.closure(st).collect():
         up.setdefault(r.descendant, set()).add(r.ancestor)
@@ -134,29 +153,30 @@ def test_root_cause_is_found(spark):
     rows = []
     for j in range(20):
         t, e = j * 1000, j * 0.0002
-        rows += [("source_a", t), ("transform_b", t + 0.010 + e), ("transform_c", t + 0.015 + e), ("sink_e", t + 0.015 + 2 * e)]
-    st = config.stages(spark, DIAMOND)
+        rows += [("feed", t), ("mix", t + 0.012 + e), ("route", t + 0.004 + e), ("vault", t + 0.013 + 2 * e)]
+    st = config.stages(spark, MESH)
     a = anomalies(spark, rows)
     h = incidents.sessions(a, config.CollectorConfig(30.0))
-    ranked = incidents.localize(incidents.evidence(a, h), st).filter("stage_id = 'source_a'").collect()
+    ranked = incidents.localize(incidents.evidence(a, h), st).filter("stage_id = 'feed'").collect()
     assert len(ranked) == 20 and sum(r["rank"] <= 2 for r in ranked) >= 17
 
 
 def test_decisions(spark):
-    cases = [("h1", "src", 0.9, "latency_spike", "circuit_break"), ("h2", "t1", 0.9, "latency_spike", "rate_limit"), ("h3", "t1", 0.5, "dropped_connection", "replay_range"), ("h4", "snk", 0.5, "dropped_connection", "page_operator"), ("h5", "t1", 0.1, None, "page_operator"), ("h6", None, None, None, "page_operator")]
+    cases = [("h1", "well", 0.85, "latency_spike", "circuit_break"), ("h2", "pump", 0.75, "latency_spike", "rate_limit"), ("h3", "pump", 0.45, "dropped_connection", "replay_range"), ("h4", "tank", 0.6, "dropped_connection", "page_operator"), ("h5", "pump", 0.2, None, "page_operator"), ("h6", None, None, None, "page_operator")]
     found = spark.createDataFrame([(c[0], T0, c[1], c[2]) for c in cases], "hypothesis_id string, triggered_at timestamp, root_cause_stage_id string, posterior_probability double")
     faults = spark.createDataFrame([(c[0], c[3]) for c in cases if c[3]], "hypothesis_id string, fault_type string")
-    got = {r.hypothesis_id: r for r in incidents.decide(found, faults, config.stages(spark, CHAIN), config.rules(spark)).collect()}
+    got = {r.hypothesis_id: r for r in incidents.decide(found, faults, config.stages(spark, LINE), config.rules(spark)).collect()}
     assert {k: r.action for k, r in got.items()} == {c[0]: c[4] for c in cases}
     assert got["h6"].target_stage_id == "unknown" and got["h6"].severity == "low"
 
 
 def test_audit_log(spark):
-    d = spark.createDataFrame([("h1", T0, "src", "latency_spike", "high", "circuit_break", "r")], "hypothesis_id string, triggered_at timestamp, target_stage_id string, fault_type string, severity string, action string, rule_matched string")
+    d = spark.createDataFrame([("h1", T0, "well", "latency_spike", "high", "circuit_break", "r")], "hypothesis_id string, triggered_at timestamp, target_stage_id string, fault_type string, severity string, action string, rule_matched string")
     log = tables.record(d)
     row = tables.override(log, "h1", F.lit(T0), "me")
     both = log.unionByName(row)
     assert tables.current_actions(both).first().outcome == "cancelled"
+    assert [r.outcome for r in tables.actions_of(both, "h1").collect()] == ["pending", "cancelled"] and tables.actions_of(both, "h2").count() == 0
     with pytest.raises(ValueError):
         tables.override(both, "h1", F.lit(T0), "me")
     with pytest.raises(LookupError):
@@ -188,6 +208,18 @@ def test_wire_round_trip_and_errors(spark):
     assert got.filter("error IS NULL").count() == 0 and got.filter("stage_id IS NOT NULL").count() == 0
 
 
+def test_large_integers_stay_exact(spark):
+    body = '{"schema_version":1,"stage_id":"s","event_time":"2025-01-01T00:00:00Z","latency_ms":1,"row_count":%s,"payload_bytes":%s,"status":"ok"}'
+    values = [("7", "9007199254740993"), ('"12"', '"-9223372036854775808"'), ("3.9", "1e3"), ("2147483648", "1")]
+    got = wire.decode(spark.createDataFrame([(body % v,) for v in values], "value string")).select("row_count", "payload_bytes", "error").collect()
+    assert [tuple(r) for r in got] == [(7, 9007199254740993, None), (12, -9223372036854775808, None), (3, 1000, None), (None, None, "invalid field: row_count")]
+
+
+def test_long_errors_are_cut(spark):
+    bad = spark.createDataFrame([(0, 1, "e" * 900, "raw")], "partition int, offset long, error string, value string")
+    assert wire.dead_letter(bad, "t").select(F.length(F.get_json_object("value", "$.error"))).first()[0] == 200
+
+
 def test_metrics_table_prunes_months(spark, tmp_path):
     e = pipeline_events(spark, "/root/testdata/sf0.001")
     write_metrics(e, str(tmp_path / "m"))
@@ -208,6 +240,11 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "rules.yaml").write_text("rules:\n- {priority: 9, match: {fault_type: '*'}, action: page_operator}\n- {priority: 1, match: {fault_type: error_burst, severity: high}, action: rate_limit}\n")
     (tmp_path / "sc.yaml").write_text("topology: topo.yaml\nseed: 4\nclock: {start: '2024-01-01 00:00:00', tick_interval_ms: 500}\nworkload: {arrival_rate_lambda: 2, payload_mean_bytes: 100, payload_std_bytes: 10}\nfaults:\n- {fault_type: error_burst, target_stage_id: a, start_offset_s: 0, duration_s: 9, magnitude: 1.0}\n")
     assert config.load_stages(spark, str(tmp_path / "topo.yaml")).count() == 2
+    (tmp_path / "ring.yaml").write_text("stages:\n- {stage_id: a, stage_type: source}\n- {stage_id: b, stage_type: transform, upstream_ids: [c]}\n- {stage_id: c, stage_type: transform, upstream_ids: [b]}\n- {stage_id: k, stage_type: sink, upstream_ids: [a]}\n")
+    with pytest.raises(ValueError):
+        config.load_stages(spark, str(tmp_path / "ring.yaml"))
+    with pytest.raises(ValueError):
+        config.rules(spark, [(1, "error_burst", None, None, "rate_limit")])
     assert [r.action for r in config.load_rules(spark, str(tmp_path / "rules.yaml")).orderBy("rule_ord").collect()] == ["rate_limit", "page_operator"]
     run = simulator.simulate(spark, config.load_scenario(str(tmp_path / "sc.yaml")), 20)
     assert run.count() > 10 and run.agg(F.max("tick")).first()[0] <= 19
