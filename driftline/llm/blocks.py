@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WHOLE, byte_size, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans, words_of
+from driftline.llm.common import WHOLE, byte_size, few, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans, words_of
 
 WORDS = 13
 BATCH, FREQUENT = 1 << 20, 256
@@ -131,7 +131,7 @@ def probes(docs: DataFrame, buckets: int, block: int, least_words: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, batch = [], 0, TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in few(batches):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = word_hashes(t)
                 if len(h) >= least_words:
@@ -244,7 +244,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hs, at, size = [], [], [], 0
-        for b in batches:
+        for b in few(batches):
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 g = grams(word_hashes(t), words)
                 a, z = unpack_spans(s)
@@ -297,7 +297,7 @@ def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = named(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             out = []
             for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 w = words_of(t)

@@ -76,10 +76,13 @@ def row_key() -> Column:
 
 
 def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that only few texts are Python objects at once."""
+    """The batches in slices, so that only few texts are Python objects at once; a worker that waits for its next task holds
+    no memory of the last batch."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        b = None  # noqa: PLW2901
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import stored, table, words_of
+from driftline.llm.common import few, stored, table, words_of
 from driftline.llm.components import components
 
 HOT_BUCKET = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             fps = [fingerprint(words_of(t, lower=True), shingle) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, "u8").view("i8"), pa.int64())], ["doc_id", "fp"])
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.blocks import PACKED, dealt_documents, opened, packed_batch, places, planes, shipped, union_spans, unplanes
 from driftline.llm.blocks import by_document as by_places
-from driftline.llm.common import byte_size, guarded, merge, mix, pack_spans, row_key, stored, table, unpack_spans, with_spans
+from driftline.llm.common import byte_size, few, guarded, merge, mix, pack_spans, row_key, stored, table, unpack_spans, with_spans
 
 WIDTH, GRAM = 200, 64
 BATCH, CROWD = 1 << 20, 1024
@@ -146,7 +146,7 @@ def sent_segments(docs: DataFrame, buckets: int, width: int, gram: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for b in batches:
+        for b in few(batches):
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 data = (t or "").encode()
                 for at in range(0, max(1, len(data) - width + 1), BATCH):  # long texts in parts that share all but one byte of a window
@@ -267,7 +267,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     found = copied.select("doc_id", "size").mapInArrow(whole, pair).union(out.filter(F.col("kind") == DONE).select("doc_id", "data").mapInArrow(whole, pair))
     todo = stored(out.filter(F.col("kind") != DONE).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "data")).alias("l")).mapInArrow(gathered, pair), "suffixes-todo")
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             rows = []
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = (t or "").encode()
@@ -353,7 +353,7 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), row_key().alias("row"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             out = []
             for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = (t or "").encode()
