@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate, near_copies, packing, suffixes, toxicity
-from driftline.llm.common import guarded, row_key, stored, table, unpack_spans, with_spans
+from driftline.llm.common import few, guarded, row_key, stored, table, unpack_spans, with_spans
 from driftline.llm.linear import keep_below
 
 SPANS, ID, TEXT, ROW = (f"__corpus_pipeline_{x}__" for x in ("spans", "id", "text", "row"))
@@ -75,7 +75,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             texts, keep = b.column("text").to_pylist(), []
             for k, s in enumerate(b.column(SPANS).to_pylist()):
                 if s is not None:
