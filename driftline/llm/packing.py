@@ -42,19 +42,19 @@ SPACES = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-@lru_cache(1)
-def encoder(path: str):
+@lru_cache(2)
+def encoder(path: str, whole: bool = False):
+    """whole: merges the text as one piece. It has a table of its own, so it is made only for the texts that need it."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    parts = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return parts, tiktoken.Encoding("byte-bpe-whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str="(?s:.+)" if whole else public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(text: str, path: str) -> list[int]:
-    parts, whole = encoder(path)
+    parts = encoder(path)
     if len(text) < LONG_SPACE:
         return parts.encode_ordinary(text)
     out, at = [], 0
@@ -62,7 +62,7 @@ def token_ids(text: str, path: str) -> list[int]:
         # the last white space before a word goes with the word
         end = m.end() - (m.end() < len(text))
         out += parts.encode_ordinary(text[at : m.start()])
-        out += whole.encode_ordinary(text[m.start() : end])
+        out += encoder(path, True).encode_ordinary(text[m.start() : end])
         at = end
     return out + parts.encode_ordinary(text[at:])
 
