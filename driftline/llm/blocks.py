@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WHOLE, byte_size, few, guarded, merge, mix, pack_spans, stored, table, unpack_spans, with_spans, words_of
+from driftline.llm.common import WHOLE, byte_size, few, guarded, merge, mix, pack_spans, small_batches, stored, table, unpack_spans, with_spans, words_of
 
 WORDS = 13
 BATCH, FREQUENT = 1 << 20, 256
@@ -235,7 +235,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, spans): maximal runs of words that are covered by windows which also start in an earlier document.
     docs: (doc_id, text), doc_id the name that named() gives; one is earlier than another by its bits above TELL."""
     block = (words + 1) // 2
-    buckets = max(1, byte_size(docs) // BUCKET_BYTES + 1)
+    buckets = max(1, byte_size(small_batches(docs)) // BUCKET_BYTES + 1)
     digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length("text").alias("size"))
     copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.max("size").alias("size")).filter("rep < last and size > 0")
     later = stored(digest.join(copies.select("digest", "rep"), "digest").filter("doc_id > rep").select("doc_id").distinct(), "blocks-copies")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is at most this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Texts go to Python in Arrow batches of about this many bytes, which the JVM and a worker hold at once.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are at most BATCH_BYTES (a lower bound of the session's own stays)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more. Tables a lazy result still reads must not be given."""
     for df in tables:
@@ -83,6 +94,8 @@ def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Recor
             yield b.slice(at, rows)
         b = None  # noqa: PLW2901
         pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed pages otherwise
+        trim(0)
 
 
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.blocks import planes, unplanes
-from driftline.llm.common import byte_size, dropped, few, guarded, mix, stored, words_of
+from driftline.llm.common import byte_size, dropped, few, guarded, mix, small_batches, stored, words_of
 from driftline.llm.components import components
 from driftline.llm.simhash import close_pairs, majority
 
@@ -242,7 +242,7 @@ def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, digest (text_digest) and component (a long that near copies share, directly or over others) of each row. docs: a table that can be read again."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs.select("doc_id", "text"))
     buckets = max(LEAST_BUCKETS, byte_size(docs) // BUCKET_BYTES)
     both = stored(_marks(docs, buckets, hot), "near-marks")
     marks = both.filter("bucket IS NULL").drop("bucket", "tokens")

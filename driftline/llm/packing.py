@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import few, stored, table
+from driftline.llm.common import few, small_batches, stored, table
 
 LENGTH, END = 1024, 2
 FULL = 0.995
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH)
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 
 
 def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:

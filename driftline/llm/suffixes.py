@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 
 from driftline.llm.blocks import PACKED, dealt_documents, opened, packed_batch, places, planes, shipped, union_spans, unplanes
 from driftline.llm.blocks import by_document as by_places
-from driftline.llm.common import byte_size, few, guarded, merge, mix, pack_spans, row_key, stored, table, unpack_spans, with_spans
+from driftline.llm.common import byte_size, few, guarded, merge, mix, pack_spans, row_key, small_batches, stored, table, unpack_spans, with_spans
 
 WIDTH, GRAM = 200, 64
 BATCH, CROWD = 1 << 20, 1024
 BUCKET_BYTES = 32 << 20
+PART_SEGMENTS = 1 << 13  # of the constructions in one group
 BASE = 0x5851F42D4C957F2D
 MASK = np.uint64((1 << 22) - 1)
 DONE, OPEN, CROWDED = 0, 1, 2
@@ -247,7 +248,7 @@ def repeated_columns(group: np.ndarray, data: list[bytes], off: np.ndarray, widt
 def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, spans): maximal runs of bytes under strings of width bytes that also start elsewhere. docs: (doc_id, text);
     doc_id, a long, tells texts apart: see row_key."""
-    size = byte_size(docs)
+    size = byte_size(small_batches(docs))
     buckets = max(1, size // BUCKET_BYTES + 1)
     digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).filter(F.col("size") >= width)
     copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1")
@@ -286,8 +287,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         ds, ss = [], []
         edge = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
         at = 0
-        while at < len(edge) - 1:  # whole groups, some 2^14 segments at a time
-            to = max(at + 1, int(np.searchsorted(edge, edge[at] + (1 << 14), side="right")) - 1)
+        while at < len(edge) - 1:  # whole groups, some PART_SEGMENTS segments at a time
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + PART_SEGMENTS, side="right")) - 1)
             a, z = edge[at], edge[to]
             g = np.cumsum(np.append(0, anchor[a + 1 : z] != anchor[a : z - 1]))
             seg, win = repeated_columns(g, data[a:z], off[a:z], width)
@@ -297,7 +298,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         return places(d, s, s + width)
 
     aligned = fetched.filter(F.col("kind") == OPEN)
-    parts = max(1, aligned.count() // 50_000 + 1)
+    parts = aligned.count() // PART_SEGMENTS + 1
     found = found.union(aligned.withColumn("part", F.pmod("anchor", F.lit(parts))).groupBy("part").applyInArrow(construct, pair))
     crowded = fetched.filter(F.col("kind") == CROWDED)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import few, stored, table
+from driftline.llm.common import few, small_batches, stored, table
 from driftline.llm.linear import bounded, hashes, one_each, remainder, score, slots, train
 
 SAMPLE, LEXICON, VOTERS = 16_000, 320, 16
@@ -70,11 +70,11 @@ def lexicon(sample: DataFrame, size: int = LEXICON) -> list[bytes]:
     """sample: (text, y). The size terms that set toxic texts apart most, found in five of them or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            toxic, clean = Counter(), Counter()
+        toxic, clean = Counter(), Counter()
+        for b in few(batches):
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
                 (toxic if y >= 0.5 else clean).update(terms(counted(t)).keys())
-            both = list(toxic.keys() | clean.keys())
+        if both := list(toxic.keys() | clean.keys()):
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([toxic[w] for w in both], pa.int64()), pa.array([clean[w] for w in both], pa.int64())], ["term", "toxic", "clean"])
 
     totals = sample.agg(F.sum((F.col("y") >= 0.5).cast("long")), F.count("*")).first()
@@ -179,7 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
     """learn: which rows may be learnt from. At most limit labelled rows make the lexicon, and at most limit documents
     the classifier; the label model is fitted to the votes of all rows in learn."""
     known = labels.filter(learn & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("double").alias("y"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     chosen = stored(bounded(known, limit), "toxicity-known")
     sample = stored(one_each(texts.join(F.broadcast(chosen), "doc_id")), "toxicity-sample")
     shares = dealt(lexicon(sample))
