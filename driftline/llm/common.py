@@ -47,7 +47,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are at most BATCH_BYTES (a lower bound of the session's own stays)."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(name).rstrip("b")) <= BATCH_BYTES:
+    now = re.fullmatch("([0-9]+)([kmg]?)b?", conf.get(name).strip().lower())
+    if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
 
