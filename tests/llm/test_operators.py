@@ -450,3 +450,13 @@ def test_scores_of_hard_cases(spark, hard, query):
     got = query(spark, d).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in docs)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+
+
+@pytest.mark.parametrize(("own", "then"), [("64m", 4 << 20), ("67108864b", 4 << 20), ("1m", 1 << 20), ("4096", 4096)])
+def test_arrow_batches_are_bounded_and_a_lower_bound_stays(spark, own, then):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    session.conf.set(name, own)
+    common.small_batches(session.range(1))
+    value = session.conf.get(name)
+    assert then == (1 << 20 if value == "1m" else int(value))
