@@ -32,16 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import few, small_batches, stored, table
-from driftline.llm.linear import bounded, hashes, one_each, remainder, score, slots, train
+from driftline.llm.common import few, mix, small_batches, stored, table
+from driftline.llm.linear import bounded, one_each, remainder, score, slots, train
 
 SAMPLE, LEXICON, VOTERS = 16_000, 320, 16
 BEGINNINGS = (5, 6, 7, 8, 9)
 PATTERNS = 8
 CLEAR = 2.3  # log odds ratio that a term needs
 ROUNDS, DEPENDENT = 8, 0.25
+PIECE = 1 << 16
+BASE, SALT = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
+CAPITALS = bytes(range(65, 91))
 #: ASCII other than letters and digits parts words; letters are lower-cased.
-NO_CAPITALS = {c: None for c in range(65, 91)}
 PARTS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -49,21 +51,60 @@ def counted(text: str | None) -> Counter:
     return Counter((text or "").encode().translate(PARTS).split())
 
 
-def terms(words: Counter) -> Counter:
-    """Words, and beginnings of longer words (marked by a star), with their counts."""
-    out = Counter(words)
-    for w, n in words.items():
-        for k in BEGINNINGS:
-            if len(w) > k:
-                out[w[:k] + b"*"] += n
-    return out
+def terms(word: bytes) -> list[bytes]:
+    """A word and its beginnings (marked by a star) that are shorter."""
+    return [word, *(word[:k] + b"*" for k in BEGINNINGS if len(word) > k)]
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE, and of its inverse modulo 2^64."""
+    return np.cumprod(np.full(size, BASE, "u8")), np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), "u8"))
+
+
+POWERS = powers(2 * PIECE)
+
+
+def term_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """data: words parted by spaces. (words by terms: 64-bit hashes of each word and of its beginnings; which of them exist)."""
+    b = np.frombuffer(data, "u1")
+    up, down = POWERS if len(b) <= len(POWERS[0]) else powers(len(b))
+    edges = np.diff(np.concatenate([[0], b != 32, [0]]).astype("i1"))
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    size = (end - start).astype("u8")
+    sums = np.append(np.uint64(0), np.cumsum(b * up[: len(b)]))
+    out = np.empty((len(start), 1 + len(BEGINNINGS)), "u8")
+    out[:, 0] = (sums[end] - sums[start]) * down[start] + size * SALT
+    padded = data + bytes(BEGINNINGS[-1])
+    head = np.ndarray(len(b), "<u8", padded, strides=(1,))[start]  # the eight bytes from each start
+    ninth = np.frombuffer(padded, "u1")[start + 8].astype("u8")
+    for i, k in enumerate(BEGINNINGS, 1):
+        part = head & np.uint64((1 << 8 * min(k, 8)) - 1)
+        out[:, i] = (mix(part) + ninth if k > 8 else part) + np.uint64(k * int(SALT) % (1 << 64))
+    return mix(out), size[:, None] > np.array((0, *BEGINNINGS), "u8")
+
+
+def pieces(text: str | None) -> Iterator[bytes]:
+    """The words of a text, parted by spaces, in pieces of some PIECE bytes (one longer word stays whole)."""
+    data, at = (text or "").encode().translate(PARTS), 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    found = terms(counted(text))
-    at, first = np.unique(slots(hashes(found)), return_index=True)
-    x = np.log2(1 + np.fromiter(found.values(), "f4", len(found)))[first]
-    return np.concatenate([np.zeros(1, "i4"), at]), np.append(np.float32(1), x)
+    parts = []
+    for p in pieces(text):
+        found, real = term_hashes(p)
+        at = np.sort(slots(found[real]))
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        parts.append((at[first], np.diff(first, append=len(at))))
+    at, n = parts[0] if parts else (np.zeros(0, "i4"), np.zeros(0, "i8"))
+    if len(parts) > 1:
+        at, place = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([m for _, m in parts]), len(at))
+    return np.append(np.int32(0), at), np.append(np.float32(1), np.log2(1 + n).astype("f4"))
 
 
 def lexicon(sample: DataFrame, size: int = LEXICON) -> list[bytes]:
@@ -73,7 +114,7 @@ def lexicon(sample: DataFrame, size: int = LEXICON) -> list[bytes]:
         toxic, clean = Counter(), Counter()
         for b in few(batches):
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                (toxic if y >= 0.5 else clean).update(terms(counted(t)).keys())
+                (toxic if y >= 0.5 else clean).update({x for w in counted(t) for x in terms(w)})
         if both := list(toxic.keys() | clean.keys()):
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([toxic[w] for w in both], pa.int64()), pa.array([clean[w] for w in both], pa.int64())], ["term", "toxic", "clean"])
 
@@ -85,27 +126,48 @@ def lexicon(sample: DataFrame, size: int = LEXICON) -> list[bytes]:
     return [bytes(r.term) for r in best.select("term").collect()]  # size rows
 
 
-def dealt(lexicon: list[bytes]) -> dict[bytes, int]:
-    """The voter of each term."""
-    stems = {w: k for k, w in enumerate(dict.fromkeys(w[: BEGINNINGS[0]] for w in lexicon))}
-    return {w: stems[w[: BEGINNINGS[0]]] % VOTERS for w in lexicon}
+YOU = term_hashes(b"you")[0][0, 0]
+
+
+class Lexicon:
+    """The voter of each term, by the term's hash."""
+
+    def __init__(self, terms: list[bytes]):
+        stems = {w: k for k, w in enumerate(dict.fromkeys(w[: BEGINNINGS[0]] for w in terms))}
+        known = {hash_of(w): stems[w[: BEGINNINGS[0]]] % VOTERS for w in terms}
+        self.hashes = np.array(sorted(known), "u8")
+        self.voters = np.array([known[h] for h in sorted(known)], "i8")
+
+    def find(self, found: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which words have a term here, the voters of all such terms)."""
+        if not len(self.hashes):
+            return np.zeros(len(found), bool), self.voters
+        place = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        met = real & (self.hashes[place] == found)
+        return met.any(axis=1), self.voters[place[met]]
+
+
+def hash_of(term: bytes) -> int:
+    k = len(term) - 1 if term.endswith(b"*") else 0
+    return int(term_hashes(term.rstrip(b"*"))[0][0, 1 + BEGINNINGS.index(k) if k else 0])
 
 
-def cast_votes(text: str | None, shares: dict[bytes, int]) -> bytes:
+def cast_votes(text: str | None, known: Lexicon) -> bytes:
     """One byte a voter: 0 clean, 1 abstains, 2 toxic."""
     votes = np.ones(VOTERS + PATTERNS, "u1")
-    words = counted(text)
-    hits, kinds = 0, 0
-    for w, n in words.items():
-        found = [v for t in (w, *(w[:k] + b"*" for k in BEGINNINGS if len(w) > k)) if (v := shares.get(t)) is not None]
-        if found:
-            votes[found] = 2
-            hits, kinds = hits + n, kinds + 1
-    text, total = text or "", sum(words.values())
-    capitals = len(text) - len(text.translate(NO_CAPITALS))
+    hits, total, you, met = 0, 0, 0, np.zeros(0, "u8")
+    for p in pieces(text):
+        found, real = term_hashes(p)
+        rows, voters = known.find(found, real)
+        votes[voters] = 2
+        hits, total, you = hits + int(rows.sum()), total + len(found), you + int((found[:, 0] == YOU).sum())
+        met = np.unique(np.append(met, found[rows, 0]))
+    text, kinds = text or "", len(met)
+    data = text.encode()
+    capitals = len(data) - len(data.translate(None, CAPITALS))
     votes[VOTERS:] = [
         2 if kinds >= 4 else 1, 0 if not kinds else 1, 2 if kinds >= 2 else 1, 2 if hits * 50 >= total > 0 else 0 if hits * 400 <= total else 1,
-        2 if capitals * 3 > len(text) > 0 else 1, 2 if text.count("!") * 20 > total > 0 else 1, 2 if words.get(b"you", 0) * 30 > total > 0 else 1, 0 if kinds <= 1 else 1,
+        2 if capitals * 3 > len(text) > 0 else 1, 2 if text.count("!") * 20 > total > 0 else 1, 2 if you * 30 > total > 0 else 1, 0 if kinds <= 1 else 1,
     ]
     return votes.tobytes()
 
@@ -182,11 +244,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, limit: int =
     texts = small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     chosen = stored(bounded(known, limit), "toxicity-known")
     sample = stored(one_each(texts.join(F.broadcast(chosen), "doc_id")), "toxicity-sample")
-    shares = dealt(lexicon(sample))
+    known_terms = Lexicon(lexicon(sample))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([cast_votes(t, shares) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([cast_votes(t, known_terms) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "votes"])
 
     cast = texts.filter(learn).mapInArrow(vote, "doc_id long, votes binary")
     label = F.when(F.col("y") >= 0.5, F.lit(b"\x02")).when(F.col("y") < 0.5, F.lit(b"\x00")).otherwise(F.lit(b"\x01"))

@@ -460,3 +460,26 @@ def test_arrow_batches_are_bounded_and_a_lower_bound_stays(spark, own, then):
     common.small_batches(session.range(1))
     value = session.conf.get(name)
     assert then == (1 << 20 if value == "1m" else int(value))
+
+
+def test_hashed_terms_and_votes_in_pieces_equal_plain_counts():
+    known = toxicity.Lexicon([b"ogre", b"trolls*", b"xyzzy*", b"b"])
+    texts = [None, "", "  ", "a", "abcdefghij", "YOU ogre! é日 Trollsome trolls", "w" * 200_000 + " b " + "c" * 70_000, " ".join(f"word{i * 7919 % 4001}x ogre" for i in range(20_000))]
+    for t in texts:
+        want, got = Counter(), Counter()
+        for w, n in toxicity.counted(t).items():
+            for term in toxicity.terms(w):
+                want[toxicity.hash_of(term)] += n
+        for p in toxicity.pieces(t):
+            found, real = toxicity.term_hashes(p)
+            got.update(found[real].tolist())
+        assert got == want
+        slots = Counter()
+        for h, n in want.items():
+            slots[int(linear.slots(np.array([h], "u8"))[0])] += n
+        at, x = toxicity.features(t)
+        assert dict(zip(at[1:].tolist(), np.rint(2 ** x[1:].astype("f8") - 1).astype(int).tolist(), strict=True)) == slots
+        votes = np.frombuffer(toxicity.cast_votes(t, known), "u1")
+        terms = {x for w in toxicity.counted(t) for x in toxicity.terms(w)}
+        voters = {int(known.voters[known.hashes.tolist().index(toxicity.hash_of(w))]) for w in (b"ogre", b"trolls*", b"xyzzy*", b"b") if w in terms}
+        assert set(np.flatnonzero(votes[: toxicity.VOTERS] == 2).tolist()) == voters
