@@ -339,8 +339,8 @@ def q4_localizations_page(s, d):
 @query(o.q(o.FULL, "SELECT hypothesis_id, string_agg(candidate || '=' || printf('%.4f', p), ',' ORDER BY rank) AS ranked FROM rk WHERE hypothesis_id = (SELECT hypothesis_id FROM hy ORDER BY evidence_count DESC, hypothesis_id LIMIT 1) GROUP BY 1"))
 def q5_localization_detail(s, d):
     found = incident(s, d)["found"]
-    top = found.agg(F.min_by("hypothesis_id", F.struct(-F.col("evidence_count"), F.col("hypothesis_id"))).alias("hypothesis_id"))
-    one = found.join(F.broadcast(top), "hypothesis_id", "left_semi")  # a single row
+    top = found.agg(F.min_by("hypothesis_id", F.struct(-F.col("evidence_count"), F.col("hypothesis_id"))).alias("hypothesis_id")).first().hypothesis_id
+    one = reads.localization(found, top) if top else found
     return one.select("hypothesis_id", F.array_join(F.transform("ranked_candidates", lambda x: F.format_string("%s=%.4f", x["stage_id"], x["posterior_probability"])), ",").alias("ranked"))
 
 
@@ -379,8 +379,9 @@ def h3_audit_by_hypothesis(s, d):
 @query(o.q(o.FULL, "SELECT hypothesis_id, 'cancelled' AS outcome, 'override: operator' AS notes FROM ac WHERE severity <> 'medium' ORDER BY triggered_at DESC, id DESC LIMIT 1"))
 def q7_override_newest(s, d):
     log = resolved_log(s, d)
-    newest = tables.current_actions(log).filter("outcome = 'pending'").orderBy(F.desc("triggered_at"), F.desc("id")).limit(1)
-    return newest.select("hypothesis_id", F.lit("cancelled").alias("outcome"), F.concat(F.lit("override: "), F.lit("operator")).alias("notes"))
+    newest = tables.current_actions(log).filter("outcome = 'pending'").orderBy(F.desc("triggered_at"), F.desc("id")).select("hypothesis_id").first()
+    rows = tables.override(log, newest.hypothesis_id, F.current_timestamp(), "operator") if newest else log.limit(0)
+    return rows.select("hypothesis_id", "outcome", "notes")
 
 
 @query(o.q(o.FULL, f"SELECT {FOUND} FROM hy JOIN rk USING (hypothesis_id) WHERE rank = 1 AND evidence_count > 1"))
