@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -96,8 +97,6 @@ def rules(docs: list[tuple]) -> list[tuple]:
         tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         many = {i + k for i, g in enumerate(tri) if tri.count(g) > 1 for k in range(3)} if len(tri) < 3000 else None
         if many is None:
-            from collections import Counter
-
             n = Counter(tri)
             many = {i + k for i, g in enumerate(tri) if n[g] > 1 for k in range(3)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
@@ -172,3 +171,23 @@ def without_repeats(docs: list[tuple]) -> list[tuple]:
 
 def crc(x: object) -> int:
     return zlib.crc32(str(x).encode())
+
+
+def divergences(docs: list[tuple], least: int = 3, top: int = 200) -> list[tuple]:
+    rows = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(UPPER))) for _, text, lang, source, *_ in docs]
+    out = []
+    for lang in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == lang]
+        found = Counter(t for *_, w in own for t in set(w))
+        kept = [t for t, n in found.items() if n >= least]
+        counts = {s: Counter(t for _, x, w in own if x == s for t in w) for s in {r[1] for r in own}}
+        counts[None] = sum(counts.values(), Counter())
+        total = {s: sum(c[t] for t in kept) + len(kept) for s, c in counts.items()}
+        p = {s: {t: 1 + 10**9 * (c[t] + 1) // total[s] for t in kept} for s, c in counts.items()}
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in set(counts) - {None}:
+            pairs = sorted((-sum(f(p[s][t], p[o][t]) for t in kept), o.encode()) for o in set(counts) - {None, s})
+            terms = sorted((-f(p[s][t], p[None][t]), t.encode()) for t in kept if counts[s][t] and p[s][t] > p[None][t])
+            for part, found_rows in (("pair", pairs), ("term", terms[:top])):
+                out += [(lang, s, part, item.decode(), -v, k + 1) for k, (v, item) in enumerate(found_rows)]
+    return out
