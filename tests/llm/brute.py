@@ -191,3 +191,58 @@ def divergences(docs: list[tuple], least: int = 3, top: int = 200) -> list[tuple
             for part, found_rows in (("pair", pairs), ("term", terms[:top])):
                 out += [(lang, s, part, item.decode(), -v, k + 1) for k, (v, item) in enumerate(found_rows)]
     return out
+
+
+def near(docs: list[tuple], width: int = 4) -> list[tuple]:
+    """(doc_id, n_shingles, component_id, kept); a null id is no least one."""
+    sets = []
+    for _, t, *_ in docs:
+        w = WORD.findall((t or "").translate(UPPER))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(docs)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    least: dict[int, int] = {}
+    for i, r in enumerate(docs):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [(r[0], len(sets[i]), c := least.get(find(i)), r[0] is not None and r[0] == c) for i, r in enumerate(docs)]
+
+
+def manifest(docs: list[tuple]) -> list[tuple]:
+    h = lambda *parts: sha("".join(parts).encode())
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r, t: h(*map(part, (r[0], r[3], r[2], r[4], t)))
+
+    def climb(leaves: list[str]) -> tuple[str, list[list[tuple[int, list[str]]]]]:
+        paths, level, at = [[] for _ in leaves], leaves, list(range(len(leaves)))
+        while len(level) > 1:
+            runs = [level[k : k + 8] for k in range(0, len(level), 8)]
+            for p, k in zip(paths, at, strict=True):
+                p.append((k % 8, runs[k // 8]))
+            level, at = [h(*r) for r in runs], [k // 8 for k in at]
+        return level[0], paths
+
+    groups: dict[tuple, list] = {}
+    for r in docs:
+        t = r[1].translate(UPPER) if r[1] is not None and r[0] is not None and crc(r[0]) % 3 == 0 else r[1]
+        groups.setdefault((r[2] is not None, (r[2] or "").encode()), []).append((r[0] is not None, r[0] or 0, leaf(r, r[1]), leaf(r, t)))
+    trees = [(sorted(g), *climb([x[2] for x in sorted(g)])) for _, g in sorted(groups.items())]
+    root, tops = climb([t[1] for t in trees])
+    out = []
+    for (rows, sub, paths), top in zip(trees, tops, strict=True):
+        for (known, d, was, now), path in zip(rows, paths, strict=True):
+            proof = ""
+            for k, run in path + top:
+                proof += "".join(run[:k] + run[k + 1 :])
+                now = h(*run[:k], now, *run[k + 1 :])
+            out.append((d if known else None, was, sub, root, sha(proof.encode()), now, now == root))
+    return out
