@@ -10,11 +10,11 @@ Documents with equal sets are one class, told by 128 bits of the set's digest. W
    below MISS. Most pairs go after the first batch.
 3. Survivors are verified on their complete sets.
 
-A band's bucket of more than HOT classes would give pairs that grow with its square. Its classes are first held against four
-leaders of the bucket, which settles buckets that are groups of near copies. Buckets whose classes are in several
-components after that are taken apart by the next level's longer bands (LEVELS), computed from the texts of their classes, again
-with a miss of about 1e-7; buckets that are crowded at the last level too meet in full, but for pairs that are in one component
-already, by a join whose crowded keys are split. So nothing is capped.
+All pairs of a bucket would grow with its square. Each class is first held against its bucket's least one, which settles
+buckets that are groups of near copies. Where a bucket's classes are in several components after that, pairs across them follow:
+all of them in buckets of at most HOT classes; larger ones are taken apart by the next level's longer bands (LEVELS),
+computed from the texts of their classes, again with a miss of about 1e-7. Buckets that are larger at the last level too meet
+in full, but for pairs that are in one component already, by a join whose crowded keys are split. So nothing is capped.
 
 Shingles are compared by 64-bit hashes inside a pair or a document.
 
@@ -42,7 +42,7 @@ from driftline.llm.components import components
 SHINGLE, SIMILAR = 4, (80, 100)
 #: Rows and bands of each level; the first level's values are the signature.
 LEVELS = ((5, 40), (10, 142))
-HOT, STEP, MISS = 32, 40, 1e-7
+HOT, STEP, MISS = 16, 40, 1e-7
 SLICE = 1 << 10  # shingles that meet all hash functions at once
 
 
@@ -177,33 +177,29 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similar: tup
     return stored(both.filter(similar[1] * common >= similar[0] * (F.size("a") + F.size("b") - common)).select("u", "v"), "minhash-links")
 
 
-def met_pairs(bands: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (u, v) from stored (id, bands), and (band, value, id) of buckets with more than hot classes."""
+def buckets(bands: DataFrame) -> DataFrame:
+    """Stored: (band, value, id, lead, m) of all buckets with m > 1 classes, lead the least of them. bands: stored (id, bands)."""
     each = bands.select("id", F.posexplode("bands").alias("band", "value"))
-    by = F.xxhash64("id")
-    sizes = each.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b"), F.min_by("id", by).alias("c"), F.max_by("id", by).alias("d")).filter("m > 1")
-    sizes = stored(sizes, "minhash-buckets")
-    few_of = each.join(guarded(sizes.filter(F.col("m") <= hot).select("band", "value")), ["band", "value"], "left_semi")
-    lists = few_of.groupBy("band", "value").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # hot ids at most
-    small = lists.select(F.explode(F.expr("flatten(transform(ids, (x, i) -> transform(slice(ids, i + 2, size(ids)), y -> struct(x as u, y as v))))")).alias("p")).select("p.*")
-    crowd = stored(each.join(guarded(sizes.filter(F.col("m") > hot).select("band", "value", F.array_distinct(F.array("a", "b", "c", "d")).alias("lead"))), ["band", "value"]), "minhash-crowd")
-    led = crowd.select("id", F.explode("lead").alias("lead")).filter("id <> lead").select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v"))
-    return small.union(led).distinct(), crowd.select("band", "value", "id")
-
-
-def mixed(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, value, id, root, most) of crowded buckets with classes of several components; most: the component with most of them."""
-    held = crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    parts = held.groupBy("band", "value", "root").agg(F.count("*").alias("m"))
-    several = parts.groupBy("band", "value").agg(F.max_by("root", F.struct("m", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    sizes = each.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("id").alias("lead")).filter("m > 1")
+    return stored(each.join(guarded(stored(sizes, "minhash-sizes")), ["band", "value"]).select("band", "value", "id", "lead", "m"), "minhash-buckets")
+
+
+def mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Stored: those buckets that have classes of several components, with root and most, the component with most of them."""
+    held = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    parts = held.groupBy("band", "value", "root").agg(F.count("*").alias("k"))
+    several = parts.groupBy("band", "value").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
     return stored(held.join(several.drop("k"), ["band", "value"]), "minhash-mixed")
 
 
 def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(node, root) of linked classes. classes: stored (id, rep, digest, n, sign, bands), none empty."""
-    bands, roots = classes.select("id", "bands"), None
+    bands, roots, ordered = classes.select("id", "bands"), None, (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
     def add(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is not None:  # what one component has already needs no more links
+            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))
+            pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(ur, u) <> coalesce(vr, v)").select("u", "v")
         found = verified(stored(prune(pairs, classes, similar), "minhash-survivors"), docs, classes, similar)
         known = found if roots is None else found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         return components(known, "minhash-roots")
@@ -212,17 +208,20 @@ def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[i
         if level:
             some = stored(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "rep", "digest"), "minhash-open")
             bands = stored(longer_bands(docs, some, level), "minhash-longer")
-        pairs, crowd = met_pairs(bands, hot)
-        if level:  # what one component has already needs no more links
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))
-            pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(ur, u) <> coalesce(vr, v)").select("u", "v")
-        roots = add(pairs, roots)
-        if crowd.isEmpty() or (open_ := mixed(crowd, roots)).isEmpty():
+        met = buckets(bands)
+        roots = add(met.filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), roots)
+        few_of = mixed(met.filter((F.col("m") > 2) & (F.col("m") <= hot)), roots).filter("id <> lead")
+        lists = few_of.groupBy("band", "value").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("l"))  # hot at most
+        small = lists.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(x.id as u, y.id as v))))")).alias("p")).select("p.*").distinct()
+        if not small.isEmpty():
+            roots = add(small, roots)
+        open_ = mixed(met.filter(F.col("m") > hot), roots)
+        if open_.isEmpty():
             return roots
     outside = open_.filter("root <> most").select("band", "value", F.col("id").alias("o"), F.col("root").alias("r"), "most")
     other = open_.select("band", "value", F.col("id").alias("w"), F.col("root").alias("wr"))
     # of two outside the largest component, the lesser meets the greater
-    rest = outside.join(other, ["band", "value"]).filter("r <> wr and (wr = most or o < w)").select(F.least("o", "w").alias("u"), F.greatest("o", "w").alias("v"))
+    rest = outside.join(other, ["band", "value"]).filter("r <> wr and (wr = most or o < w)").select(F.col("o").alias("u"), F.col("w").alias("v")).select(*ordered)
     return add(prune(rest, classes, similar).distinct(), roots)
 
 
