@@ -50,6 +50,22 @@ def decode(messages: DataFrame, value: str = "value", kind: str = "event") -> Da
     return m.select(*messages.columns, "error", *out)
 
 
+def listed(c: str) -> Column:
+    """A list of rows (ranked candidates, evidence) as JSON; times in ISO form with microseconds."""
+    return F.to_json(c, {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"})
+
+
+def ranked(c: str) -> Column:
+    """Ranked candidates from their JSON."""
+    return F.from_json(c, "array<struct<stage_id: string, posterior_probability: double>>")
+
+
+def evidence(c: str) -> Column:
+    """An alert's or a hypothesis' evidence from its JSON."""
+    fields = "detected_at: timestamp, event_id: bigint, metric: string, detector_type: string, signal: string, stage_id: string, detector_value: double, z_score: double"
+    return F.from_json(c, f"array<struct<{fields}>>", {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"})
+
+
 def dead_letter(bad: DataFrame, topic: str, value: str = "value", received_at: Column | None = None) -> DataFrame:
     """The envelope for <topic>.dlq; bad has partition, offset, error and the raw message."""
     raw = F.col(value) if dict(bad.dtypes)[value] == "string" else F.make_valid_utf8(F.col(value).cast("string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,19 @@ def z_scores(events: DataFrame, base: DataFrame, metrics: tuple[str, ...] = METR
     return long.join(base.select(*keys, "baseline_mean", "baseline_std"), keys, "left").withColumn("z", z)
 
 
+def z_scores_as_of(events: DataFrame, versions: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Each event and metric with z by the baseline of its slot that was newest at its time (fitted_at <= event_time). versions: all
+    fits of all slots; the versions of a slot become one row of intervals, so an event meets its slot once."""
+    slot = [*SLOT, "metric"]
+    line = Window.partitionBy(*slot).orderBy("fitted_at")
+    spans = versions.select(*slot, "baseline_mean", "baseline_std", "fitted_at", F.lead("fitted_at").over(line).alias("until"))
+    long = long_metrics(events, metrics).withColumn("hour_of_week", hour_of_week("event_time"))
+    v = spans.select(*(F.col(c).alias(f"_{c}") for c in spans.columns))
+    on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in slot)) & (F.col("event_time") >= F.col("_fitted_at")) & (F.col("_until").isNull() | (F.col("event_time") < F.col("_until")))
+    z = F.when(F.col("_baseline_std") != 0, (F.col("value") - F.col("_baseline_mean")) / F.col("_baseline_std"))
+    return long.join(v, on, "left").withColumn("z", z).drop(*v.columns)
+
+
 class BaselineStore:
     """A fitted model with a time to live: refitted when it is asked for and stale, or when told to."""
 

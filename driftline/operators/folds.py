@@ -1,8 +1,8 @@
-"""Ordered recurrences with reset: control charts and circuit breakers, one pure step function each, for batch and stream.
+"""Ordered recurrences with reset: control charts and circuit breakers, one pure step function each.
 
-Batch: rows are dealt by key, sorted by key and order inside each partition, and streamed through the step with one state
-per key; memory holds a batch and one state, whatever a key's length. A chart's next state depends on whether the last row
-fired, so one key is one sequence; keys run in parallel.
+The step functions define the recurrences; streams run them, and charts.detect gives the charts' results over tables in
+parallel. keyed_fold runs a step over tables: rows are dealt by key, sorted by key and order inside each partition, and
+streamed with one state per key; memory holds a batch and one state, whatever a key's length.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import BreakerConfig, CusumConfig, EwmaConfig
+from driftline.operators.charts import cusum, ewma
+
+__all__ = ["breaker_snapshot", "breaker_step", "breakers", "cusum", "cusum_step", "ewma", "ewma_step", "keyed_fold"]
 
 Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
 
 
 def cusum_step(config: CusumConfig) -> Step:
-    """State (upper, lower). Fires strictly above h, with the sum before its reset; a NULL z leaves the state alone."""
+    """State (upper, lower). Fires strictly above h, with the sum before its reset; a z that is NULL or no number leaves the state alone."""
 
     def step(state: tuple[float, float] | None, row: dict) -> tuple[tuple[float, float], list[tuple]]:
         up, lo = state or (0.0, 0.0)
         z, out = row["z"], []
-        if z is None:
+        if z is None or z != z:
             return (up, lo), out
         up, lo = max(0.0, up + z - config.k), max(0.0, lo - z - config.k)
         if up > config.h:
@@ -46,7 +49,7 @@ def ewma_step(config: EwmaConfig) -> Step:
     def step(state: tuple[float, int] | None, row: dict) -> tuple[tuple[float, int], list[tuple]]:
         e, n = state or (0.0, 0)
         z = row["z"]
-        if z is None:
+        if z is None or z != z:
             return (e, n), []
         e, n = lam * z + (1 - lam) * e, n + 1
         limit = config.width * ((lam / (2 - lam)) * (1 - (1 - lam) ** (2 * n))) ** 0.5
@@ -112,27 +115,6 @@ def keyed_fold(rows: DataFrame, keys: list[str], order: list[str], step: Step, o
     return dealt.mapInArrow(run, schema)
 
 
-def _anomalies(fired: DataFrame, kind: str) -> DataFrame:
-    return fired.select(F.lit(kind).alias("detector_type"), "stage_id", "metric", "signal", "detector_value", "threshold", F.col("z").alias("z_score"), F.col("event_time").alias("detected_at"), "fault_label", "event_id")
-
-
-FIRED = "signal string, detector_value double, threshold double"
-SCORED = ("stage_id", "metric", "event_time", "event_id", "z", "fault_label")
-
-
-def cusum(scored: DataFrame, config: CusumConfig | None = None) -> DataFrame:
-    """Anomalies of rows with (stage_id, metric, event_time, event_id, z, fault_label)."""
-    config = config or CusumConfig()
-    rows = scored.filter(F.col("metric").isin(*config.metrics) & F.col("z").isNotNull()).select(*SCORED)
-    return _anomalies(keyed_fold(rows, ["stage_id", "metric"], ["event_time", "event_id"], cusum_step(config), FIRED), "cusum")
-
-
-def ewma(scored: DataFrame, config: EwmaConfig | None = None) -> DataFrame:
-    config = config or EwmaConfig()
-    rows = scored.filter(F.col("metric").isin(*config.metrics) & F.col("z").isNotNull()).select(*SCORED)
-    return _anomalies(keyed_fold(rows, ["stage_id", "metric"], ["event_time", "event_id"], ewma_step(config), FIRED), "ewma")
-
-
 def breakers(outcomes: DataFrame, config: BreakerConfig | None = None) -> DataFrame:
     """outcomes: (stage_id, event_time, event_id, ok). The breaker's state after each."""
     rows = outcomes.select("stage_id", "event_time", "event_id", "ok", F.unix_micros("event_time").alias("us"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,20 +16,25 @@ from driftline.operators import topology
 EVIDENCE = ("detector_type", "stage_id", "metric", "signal", "detector_value", "threshold", "z_score", "detected_at", "fault_label")
 
 
+def between_gaps(rows: DataFrame, keys: list[str], gap_us: int, bucket_s: int = 86_400) -> DataFrame:
+    """(keys, t, n, start): the times t of rows (keys, t) of each key, how many rows have them, and where the run of times without a
+    gap of more than gap_us began. Gaps are looked for inside buckets of bucket_s: only a row for each bucket (its last time, its
+    last start) is carried to the next ones."""
+    times = rows.groupBy(*keys, "t").agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col("t") / (bucket_s * 1_000_000)))
+    line, own = Window.partitionBy(*keys).orderBy("b"), Window.partitionBy(*keys, "b").orderBy("t")
+    last = times.groupBy(*keys, "b").agg(F.max("t").alias("last")).select(*keys, "b", F.lag("last").over(line).alias("before"))
+    since = F.col("t") - F.coalesce(F.lag("t").over(own), F.col("before"))
+    flagged = times.join(last, [*keys, "b"]).withColumn("first", F.when(since.isNull() | (since > gap_us), F.col("t")))
+    carried = flagged.groupBy(*keys, "b").agg(F.max("first").alias("s")).select(*keys, "b", F.max("s").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return flagged.join(carried, [*keys, "b"]).select(*keys, "t", "n", F.coalesce(F.max("first").over(own), "carried").alias("start"))
+
+
 def sessions(anomalies: DataFrame, config: CollectorConfig | None = None, bucket_s: int = 86_400) -> DataFrame:
     """Anomalies with the hypothesis they belong to. A window closes when the next anomaly comes more than gap_s later;
-    windows below min_events are dropped. Sessions are global by definition, but gaps are looked for inside buckets of
-    bucket_s: only a row for each bucket (its last time, its last session start) is carried to the next ones in one task."""
+    windows below min_events are dropped. Sessions are global by definition; see between_gaps for how they are cut in parallel."""
     config = config or CollectorConfig()
-    bucket = F.floor(F.col("t") / (bucket_s * 1_000_000)).alias("b")
-    times = anomalies.groupBy(F.unix_micros("detected_at").alias("t")).agg(F.count("*").alias("n")).select("t", "n", bucket)
-    line, own = Window.orderBy("b"), Window.partitionBy("b").orderBy("t")
-    last = times.groupBy("b").agg(F.max("t").alias("last")).select("b", F.lag("last").over(line).alias("before"))
-    since = F.col("t") - F.coalesce(F.lag("t").over(own), F.col("before"))
-    flagged = times.join(last, "b").withColumn("start", F.when(since.isNull() | (since > int(config.gap_s * 1_000_000)), F.col("t")))
-    carried = flagged.groupBy("b").agg(F.max("start").alias("s")).select("b", F.max("s").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    named = flagged.join(carried, "b").withColumn("session", F.coalesce(F.max("start").over(own), "carried"))
-    found = named.groupBy("session").agg(F.sum("n").alias("evidence_count"), F.timestamp_micros(F.min("t")).alias("triggered_at"), F.timestamp_micros(F.max("t")).alias("closed_at"))
+    named = between_gaps(anomalies.select(F.unix_micros("detected_at").alias("t")), [], int(config.gap_s * 1_000_000), bucket_s)
+    found = named.groupBy("start").agg(F.sum("n").alias("evidence_count"), F.timestamp_micros(F.min("t")).alias("triggered_at"), F.timestamp_micros(F.max("t")).alias("closed_at"))
     return found.filter(F.col("evidence_count") >= config.min_events).select(hypothesis_id("triggered_at").alias("hypothesis_id"), "triggered_at", "closed_at", "evidence_count")
 
 
@@ -45,6 +52,11 @@ def evidence(anomalies: DataFrame, hypotheses: DataFrame, bucket_s: int = 3600)
     return a.join(h, (a._b == h._b) & (a.detected_at >= h.triggered_at) & (a.detected_at <= h.closed_at)).select(*anomalies.columns, "hypothesis_id", "triggered_at")
 
 
+def evidence_lists(ev: DataFrame) -> DataFrame:
+    """(hypothesis_id, evidence): each hypothesis' anomalies in order of time."""
+    return ev.groupBy("hypothesis_id").agg(F.sort_array(F.collect_list(F.struct(*PROOF))).alias("evidence"))
+
+
 def scores(ev: DataFrame, stages: DataFrame) -> DataFrame:
     """(hypothesis_id, candidate, score): the closure, self rows included, turns the graph search into one broadcast join
     (the graph is a declared configuration)."""
@@ -107,55 +119,67 @@ def decide(found: DataFrame, faults: DataFrame, stages: DataFrame, rules: DataFr
 
 
 class Correlator:
-    """Groups of related anomalies: closed when an anomaly comes more than window_s after the group's first."""
+    """Open groups of related anomalies. A group is closed to what comes more than window_s after its first anomaly; an anomaly joins
+    the oldest open group that its stage or an ancestor of it is in reach of, else it opens one."""
 
-    def __init__(self, config: CorrelationConfig, ancestors: dict[str, set[str]]):
-        self.config, self.ancestors, self.open = config, ancestors, []
+    def __init__(self, window_us: int, ancestors: dict[str, set[str]]):
+        self.window_us, self.ancestors, self.open, self.opened = window_us, ancestors, [], 0
 
-    def add(self, stage: str, us: int, row: object) -> list[dict]:
-        done = [g for g in self.open if us - g["start"] > self.config.window_s * 1e6]
-        self.open = [g for g in self.open if us - g["start"] <= self.config.window_s * 1e6]
+    def add(self, stage: str, us: int) -> int:
+        """The number of the group that the anomaly belongs to; anomalies come in order of time."""
+        self.open = [g for g in self.open if us - g[1] <= self.window_us]
         mine = {stage} | self.ancestors.get(stage, set())
-        for g in self.open:
-            if mine & g["reach"]:
-                break
-        else:
-            self.open.append(g := {"start": us, "reach": set(), "rows": [], "stages": set()})
-        g["reach"] |= mine
-        g["stages"].add(stage)
-        g["rows"].append((us, row))
-        return self.kept(done)
+        for n, _, reach in self.open:
+            if mine & reach:
+                reach |= mine
+                return n
+        self.opened += 1
+        self.open.append((self.opened, us, mine))
+        return self.opened
 
-    def flush(self) -> list[dict]:
-        done, self.open = self.open, []
-        return self.kept(done)
 
-    def kept(self, groups: list[dict]) -> list[dict]:
-        return [g for g in groups if len(g["rows"]) >= self.config.min_co_occurrence]
+def reachable(stages: DataFrame) -> dict[str, set[str]]:
+    """Each stage's ancestors, of a declared graph."""
+    up: dict[str, set[str]] = {}
+    for r in topology.closure(stages).select("descendant", "ancestor").collect():
+        up.setdefault(r.descendant, set()).add(r.ancestor)
+    return up
+
+
+#: The order in which anomalies are met, and what an alert keeps of each.
+MET = ("detected_at", "event_id", "metric", "detector_type", "signal")
+PROOF = ("detected_at", "event_id", "metric", "detector_type", "signal", "stage_id", "detector_value", "z_score")
+
+
+def alert_id(component: str, start: str, stages: str) -> Column:
+    return F.substring(F.sha2(F.concat_ws(":", F.lit("alert"), component, start, F.concat_ws(",", stages)).cast("binary"), 256), 1, 32)
 
 
 def correlate(anomalies: DataFrame, stages: DataFrame, config: CorrelationConfig | None = None) -> DataFrame:
-    """Alerts (alert_id, component_id, triggered_at, closed_at, affected_stage_ids, event_count). Stages of different
-    parts of the graph never share a group, so each part is folded on its own; quiet times longer than the window close all
-    groups, so each part is first cut there and the pieces fold in parallel."""
+    """Alerts (alert_id, component_id, triggered_at, closed_at, affected_stage_ids, event_count, evidence in order of time). Stages
+    of different parts of the graph never share a group, and a quiet time longer than the window closes all groups of a part: the
+    pieces between are streamed through Correlator, which holds its open groups' reach only. Evidence is gathered by group after."""
     config = config or CorrelationConfig()
-    up: dict[str, set[str]] = {}
-    for r in topology.closure(stages).collect():  # the declared graph
-        up.setdefault(r.descendant, set()).add(r.ancestor)
-    parts = F.broadcast(topology.components(stages))
-    a = anomalies.join(parts, "stage_id", "left").withColumn("component_id", F.coalesce("component_id", "stage_id"))
-    w = Window.partitionBy("component_id").orderBy("detected_at", "event_id", "metric", "detector_type", "signal")
-    us = F.unix_micros("detected_at")
-    quiet = F.coalesce((us - F.lag(us).over(w) > int(config.window_s * 1e6)).cast("int"), F.lit(0))
-    a = a.select("component_id", "stage_id", us.alias("us"), F.row_number().over(w).alias("n"), quiet.alias("q")).withColumn("piece", F.sum("q").over(Window.partitionBy("component_id").orderBy("n")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, out = Correlator(config, up), []
-        for r in pdf.sort_values("n").itertuples(index=False):
-            out += c.add(r.stage_id, r.us, None)
-        out += c.flush()
-        return pd.DataFrame([(pdf.component_id.iloc[0], g["start"], max(t for t, _ in g["rows"]), sorted(g["stages"]), len(g["rows"])) for g in out], columns=["component_id", "start", "end", "affected_stage_ids", "event_count"])
-
-    made = a.groupBy("component_id", "piece").applyInPandas(fold, "component_id string, start long, end long, affected_stage_ids array<string>, event_count int")
-    alert = F.substring(F.sha2(F.concat_ws(":", F.lit("alert"), "component_id", "start", F.concat_ws(",", "affected_stage_ids")).cast("binary"), 256), 1, 32)
-    return made.select(alert.alias("alert_id"), "component_id", F.timestamp_micros("start").alias("triggered_at"), F.timestamp_micros("end").alias("closed_at"), "affected_stage_ids", "event_count")
+    up, width = reachable(stages), int(config.window_s * 1e6)
+    parts = F.broadcast(topology.components(stages))  # the declared graph
+    a = anomalies.join(parts, "stage_id", "left").withColumn("component_id", F.coalesce("component_id", "stage_id")).withColumn("t", F.unix_micros("detected_at"))
+    cut = between_gaps(a.select("component_id", "t"), ["component_id"], width).select("component_id", "t", F.col("start").alias("piece"))
+    rows = a.join(cut, ["component_id", "t"]).select("component_id", "piece", "t", *PROOF)
+    dealt = rows.repartition("component_id", "piece").sortWithinPartitions("component_id", "piece", *MET)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "serial bigint"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c = None, None
+        for b in batches:
+            out = []
+            for component, piece, stage, us in zip(*(b.column(n).to_pylist() for n in ("component_id", "piece", "stage_id", "t")), strict=True):
+                if (component, piece) != key:
+                    key, c = (component, piece), Correlator(width, up)
+                out.append(c.add(stage, us))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "serial"])
+
+    named = dealt.mapInArrow(fold, schema)
+    found = named.groupBy("component_id", "piece", "serial").agg(
+        F.min("t").alias("start"), F.max("t").alias("end"), F.sort_array(F.collect_set("stage_id")).alias("affected_stage_ids"), F.count("*").alias("event_count"), F.sort_array(F.collect_list(F.struct(*PROOF))).alias("evidence"),
+    ).filter(F.col("event_count") >= config.min_co_occurrence)
+    return found.select(alert_id("component_id", "start", "affected_stage_ids").alias("alert_id"), "component_id", F.timestamp_micros("start").alias("triggered_at"), F.timestamp_micros("end").alias("closed_at"), "affected_stage_ids", "event_count", "evidence")

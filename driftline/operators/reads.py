@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftline.functions.metrics import error_flag, health
+from driftline.operators.quantiles import exact_quantiles
 from driftline.operators.tables import between, page
 
 
 def overview(events: DataFrame, breakers: DataFrame) -> DataFrame:
-    """Each stage's p99 latency, event count, last event and breaker."""
-    s = events.groupBy("stage_id").agg(F.round(F.coalesce(F.percentile("latency_ms", F.lit(0.99)), F.lit(0.0)), 3).alias("p99_ms"), F.count("*").alias("event_count"), F.max("event_time").alias("last_event_at"))
-    return s.join(breakers.select("stage_id", F.col("state").alias("breaker_state"), "trip_count"), "stage_id", "left").select(
-        "stage_id", "p99_ms", "event_count", "last_event_at", F.coalesce("breaker_state", F.lit("unknown")).alias("breaker_state"), F.coalesce("trip_count", F.lit(0)).alias("trip_count")
+    """Each stage's p99 latency (exact, see quantiles), event count, last event and breaker, as a registry has it."""
+    s = events.groupBy("stage_id").agg(F.count("*").alias("event_count"), F.max("event_time").alias("last_event_at"))
+    p = exact_quantiles(events, "stage_id", "latency_ms", {"p99": 0.99})
+    both = s.join(p, s.stage_id.eqNullSafe(p.stage_id), "left").drop(p.stage_id)
+    return both.join(breakers.select("stage_id", F.col("state").alias("breaker_state"), "trip_count"), "stage_id", "left").select(
+        "stage_id", F.round(F.coalesce("p99", F.lit(0.0)), 3).alias("p99_ms"), "event_count", "last_event_at", F.coalesce("breaker_state", F.lit("unknown")).alias("breaker_state"), F.coalesce("trip_count", F.lit(0)).alias("trip_count")
     ).orderBy("stage_id")
 
 
@@ -87,3 +90,15 @@ def consumer_lag(events: DataFrame, now) -> DataFrame:
 
 def error_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("stage_id", "status").agg(F.count("*").alias("n"), F.avg(error_flag()).alias("error_rate"))
+
+
+def health_report(events: DataFrame, stages: DataFrame, breakers: DataFrame, now: Column, most_lag_s: float = 86_400.0) -> DataFrame:
+    """(component, ok, detail) for the metrics table, each declared stage (has it reported within most_lag_s of now?) and each
+    breaker that isn't closed."""
+    seen = events.groupBy("stage_id").agg(F.count("*").alias("n"), F.max("event_time").alias("last"))
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    table = total.select(F.lit("metrics").alias("component"), (F.col("n") > 0).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
+    lag = F.floor((F.unix_micros(now) - F.unix_micros("last")) / 1e6)
+    stage = stages.select("stage_id").join(seen, "stage_id", "left").select(F.concat(F.lit("stage:"), "stage_id"), F.coalesce(lag <= most_lag_s, F.lit(False)), F.coalesce(F.concat(lag.cast("string"), F.lit(" s behind")), F.lit("never seen")))
+    broken = breakers.filter("state <> 'closed'").select(F.concat(F.lit("breaker:"), "stage_id"), F.lit(False), F.concat("state", F.lit(", trips "), F.col("trip_count").cast("string")))
+    return table.union(stage).union(broken)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.operators.baseline import upsert
+from driftline.operators.snapshots import Versions
+from driftline.operators.stored import kept
 
-__all__ = ["append_new", "current_actions", "override", "page", "record", "replay", "resolve", "swap", "upsert"]
+__all__ = ["append_new", "current_actions", "kept", "override", "page", "record", "replay", "resolve", "swap", "upsert"]
 
 
 def page(rows: DataFrame, order: list[Column], page: int = 1, size: int = 100, most: int = 1000) -> DataFrame:
@@ -32,20 +31,6 @@ def between(rows: DataFrame, time: str, start: str | None = None, end: str | Non
     return rows
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the folder that spark.checkpoint.dir names (on a local master without one: a new folder) and read
-    it back: what several later steps read is made once."""
-    spark = df.sparkSession
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="spark-driftline-")
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def actions_of(log: DataFrame, hypothesis_id: str) -> DataFrame:
     """All rows of one hypothesis' actions, oldest first."""
     return log.filter(F.col("hypothesis_id") == hypothesis_id).orderBy("triggered_at", "resolved_at", "id")
@@ -93,16 +78,10 @@ def replay(log: DataFrame, partition: int, start_offset: int, end_offset: int) -
     return log.filter((F.col("partition") == partition) & F.col("offset").between(start_offset, end_offset)).withColumn("replayed", F.lit(True))
 
 
-def swap(df: DataFrame, path: str) -> str:
-    """A new snapshot directory beside the old ones and a pointer row to it: a reader sees the old or the new whole."""
-    spark: SparkSession = df.sparkSession
-    at = f"{path}/snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    newest = spark.range(1).select(F.lit(at).alias("path"), F.current_timestamp().alias("at"))
-    newest.coalesce(1).write.mode("append").parquet(f"{path}/current")
-    return at
+def swap(df: DataFrame, path: str) -> int:
+    """A new version of a table (see snapshots), whatever was there: a reader sees the old or the new whole."""
+    return Versions(df.sparkSession, path).update(lambda _: df)
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/current").orderBy(F.desc("at")).limit(1).collect()
-    return spark.read.parquet(rows[0].path)
+    return Versions(spark, path).read()

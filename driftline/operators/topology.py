@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftline.operators.stored import kept
+
 
 def edges(stages: DataFrame) -> DataFrame:
     return stages.select(F.explode("upstream_ids").alias("src"), F.col("stage_id").alias("dst"), F.col("propagation_delay_ms").alias("delay_ms"))
 
 
 def closure(stages: DataFrame) -> DataFrame:
-    """(descendant, ancestor, hops, delay_ms): least hops and least summed delay, each over all paths. The graph is a
-    declared configuration of a few stages; a recursive query walks it."""
-    return stages.sparkSession.sql(
-        """WITH RECURSIVE e AS (SELECT explode(upstream_ids) AS src, stage_id AS dst, propagation_delay_ms AS d FROM {s}),
-        walk(descendant, ancestor, hops, delay_ms) AS (SELECT dst, src, 1, d FROM e UNION ALL SELECT w.descendant, e.src, w.hops + 1, w.delay_ms + e.d FROM walk w JOIN e ON w.ancestor = e.dst)
-        SELECT descendant, ancestor, min(hops) AS hops, min(delay_ms) AS delay_ms FROM walk GROUP BY descendant, ancestor""",
-        s=stages,
-    )
+    """(descendant, ancestor, hops, delay_ms): least hops and least summed delay, each over all paths. Rounds of minima: only pairs
+    that the last round found or bettered are carried one edge further, and of all paths of a pair its minima go on, so the work
+    grows with pairs and not with paths. Cycles end too, as long as delays aren't negative."""
+    e = kept(edges(stages).groupBy("src", "dst").agg(F.min("delay_ms").alias("d")), "graph-edges")
+    known = front = kept(e.select(F.col("dst").alias("descendant"), F.col("src").alias("ancestor"), F.lit(1).alias("hops"), F.col("d").alias("delay_ms"), F.lit(True).alias("new")), "graph-pairs")
+    while not front.isEmpty():
+        met = front.join(e, front.ancestor == e.dst).select("descendant", F.col("src").alias("ancestor"), (F.col("hops") + 1).alias("hops"), (F.col("delay_ms") + F.col("d")).alias("delay_ms"), F.lit(True).alias("new"))
+        both = known.withColumn("new", F.lit(False)).unionByName(met).groupBy("descendant", "ancestor").agg(
+            F.min("hops").alias("hops"), F.min("delay_ms").alias("delay_ms"), F.min(F.when(~F.col("new"), F.col("hops"))).alias("h"), F.min(F.when(~F.col("new"), F.col("delay_ms"))).alias("l"),
+        )
+        better = F.col("h").isNull() | (F.col("hops") < F.col("h")) | (F.col("delay_ms") < F.col("l"))
+        known = kept(both.select("descendant", "ancestor", "hops", "delay_ms", better.alias("new")), "graph-pairs")
+        front = known.filter("new")
+    return known.select("descendant", "ancestor", "hops", "delay_ms")
 
 
 def with_self(stages: DataFrame) -> DataFrame:
@@ -41,23 +51,39 @@ def closest_ancestors(stages: DataFrame) -> DataFrame:
 
 
 def components(stages: DataFrame) -> DataFrame:
-    """(stage_id, component_id): weakly connected parts, named by their least stage."""
-    return _spread(stages, edges(stages).select("src", "dst"))
-
-
-def _spread(stages: DataFrame, both: DataFrame) -> DataFrame:
-    """Components of a declared graph, on the driver: stages are configuration, not data."""
-    parent = {r.stage_id: r.stage_id for r in stages.select("stage_id").collect()}
-
-    def root(x: str) -> str:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in both.collect():
-        x, y = sorted((root(a), root(b)))
-        parent[y] = x
-    return stages.sparkSession.createDataFrame([(s, root(s)) for s in sorted(parent)], "stage_id string, component_id string")
+    """(stage_id, component_id): weakly connected parts, named by their least stage. Each round takes the least name among a stage's
+    neighbours and the stage that its name names, so names travel in leaps; names are joined, never collected."""
+    e = edges(stages).select("src", "dst")
+    both = kept(e.union(e.select("dst", "src")).distinct(), "graph-both")
+    names = kept(stages.select("stage_id", F.col("stage_id").alias("component_id")), "graph-names")
+    while True:
+        near = both.join(names, both.dst == names.stage_id).groupBy("src").agg(F.min("component_id").alias("near"))
+        seen = names.join(near, names.stage_id == near.src, "left").select("stage_id", "component_id", F.least("component_id", "near").alias("named"))
+        far = seen.select(F.col("stage_id").alias("named"), F.col("named").alias("far"))
+        moved = kept(seen.join(far, "named", "left").select("stage_id", "component_id", F.least("named", "far").alias("named")), "graph-names")
+        done = moved.filter("named <> component_id").isEmpty()
+        names = moved.select("stage_id", F.col("named").alias("component_id"))
+        if done:
+            return names
+
+
+def problems(stages: DataFrame) -> DataFrame:
+    """(stage_id, problem) for what validate() would refuse, of a graph of any size."""
+    e = edges(stages)
+    known = stages.select("stage_id", F.col("stage_type").alias("type"))
+    none = e.join(known, e.src == known.stage_id, "left_anti").select(F.col("dst").alias("stage_id"), F.lit("unknown upstream").alias("problem"))
+    sinks = e.join(known.filter("type = 'sink'"), e.src == known.stage_id, "left_semi").select(F.col("src").alias("stage_id"), F.lit("sink has a downstream").alias("problem"))
+    alone = stages.filter("stage_type = 'transform' and size(upstream_ids) = 0").join(e, F.col("stage_id") == e.src, "left_anti").select("stage_id", F.lit("transform has no edge").alias("problem"))
+    up = closure(stages.withColumn("propagation_delay_ms", F.greatest("propagation_delay_ms", F.lit(0.0))))
+    rings = up.filter("descendant = ancestor").select(F.col("descendant").alias("stage_id"), F.lit("on a cycle").alias("problem"))
+    fed = up.join(known.filter("type = 'source'"), up.ancestor == known.stage_id, "left_semi").select(F.col("descendant").alias("stage_id"))
+    lost = known.filter("type in ('transform', 'sink')").join(fed, "stage_id", "left_anti").select("stage_id", F.lit("no source reaches it").alias("problem"))
+    own = F.array(
+        F.when(~F.col("stage_type").isin("source", "transform", "sink"), F.lit("unknown type")), F.when(F.col("propagation_delay_ms") < 0, F.lit("negative delay")),
+        F.when((F.col("stage_type") == "source") & (F.size("upstream_ids") > 0), F.lit("source has an upstream")),
+    )
+    mine = stages.select("stage_id", F.explode(F.array_compact(own)).alias("problem"))
+    return reduce(DataFrame.union, (none, sinks, alone, rings, lost, mine)).distinct()
 
 
 def validate(stages: DataFrame) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import WindowConfig
 from driftline.functions.metrics import error_flag
+from driftline.operators import panes
 
 STATS = ("p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "mean_latency_ms", "mean_row_count", "error_rate")
 
@@ -18,33 +19,11 @@ def _stats(n: Column, config: WindowConfig, p: Column, mean: Column, rows: Colum
 
 
 def at_events(events: DataFrame, config: WindowConfig | None = None, capped: bool = False) -> DataFrame:
-    """Statistics over [t - duration, t] at each event, NULL below min_sample_count. capped: only the newest
-    `capacity` rows of the window count, for windows that may hold more."""
+    """Statistics over [t - duration, t] at each event, NULL below min_sample_count. capped: only the newest `capacity` rows of
+    the window count (in order of event_time, event_id), for windows that may hold more."""
     config = config or WindowConfig()
-    spec = f"(PARTITION BY stage_id ORDER BY event_time RANGE BETWEEN INTERVAL '{config.duration_s:f}' SECOND PRECEDING AND CURRENT ROW)"
-    e = events.withColumn("_err", error_flag())
-    if not capped:
-        p, n = F.expr(f"percentile(latency_ms, array(0.5, 0.95, 0.99)) OVER {spec}"), F.expr(f"count(*) OVER {spec}")
-        avg = lambda c: F.expr(f"avg({c}) OVER {spec}")
-        return e.select(*events.columns, n.alias("_n"), p.alias("_p"), avg("latency_ms").alias("_a"), avg("row_count").alias("_r"), avg("_err").alias("_e")).select(
-            *events.columns, *_stats(F.col("_n"), config, F.col("_p"), F.col("_a"), F.col("_r"), F.col("_e"))
-        )
-    last = F.expr(f"collect_list(struct(event_time, event_id, latency_ms, row_count, _err)) OVER {spec}")
-    kept = F.slice(F.array_sort("_l"), F.greatest(F.size("_l") - config.capacity + 1, F.lit(1)), config.capacity)
-    rows = e.select(*events.columns, last.alias("_l")).select(*events.columns, kept.alias("_l"))
-    n = F.size("_l")
-    mean = lambda f: F.aggregate(F.transform("_l", f), F.lit(0.0), lambda a, x: a + x) / n
-    sorted_ = F.array_sort(F.transform("_l", lambda x: x["latency_ms"]))
-    rows = rows.withColumn("_v", sorted_)
-
-    def quantile(q: float) -> Column:
-        at = (n - 1) * F.lit(q)
-        low = F.floor(at).cast("int")
-        a, b = F.get("_v", low), F.get("_v", F.least(low + 1, n - 1))
-        return a + (b - a) * (at - low)
-
-    p = F.array(*(quantile(q) for q in (0.5, 0.95, 0.99)))
-    return rows.select(*events.columns, *_stats(n, config, p, mean(lambda x: x["latency_ms"]), mean(lambda x: x["row_count"].cast("double")), mean(lambda x: x["_err"])))
+    rows = panes.statistics(events.withColumn("_rc", F.col("row_count").cast("double")).withColumn("_err", error_flag()), config.duration_s, config.capacity if capped else None)
+    return rows.select(*events.columns, *_stats(F.col("_n"), config, F.array("_p50", "_p95", "_p99"), F.col("_latency"), F.col("_rows"), F.col("_errors")))
 
 
 def at_ticks(events: DataFrame, tick_s: int, config: WindowConfig | None = None) -> DataFrame:

@@ -42,6 +42,11 @@ STAGES = "st(stage_id, stage_type, delay_ms) AS (VALUES " + ", ".join(f"('{s}',
 EDGES = "ed(src, dst, delay_ms) AS (VALUES " + ", ".join(f"('{u}', '{s}', {d}::DOUBLE)" for s, _, ups, d in DEFAULT_STAGES for u in ups) + ")"
 WALK = """walk AS (SELECT dst AS descendant, src AS ancestor, 1 AS hops, delay_ms FROM ed UNION ALL SELECT w.descendant, e.src, w.hops + 1, w.delay_ms + e.delay_ms FROM walk w JOIN ed e ON w.ancestor = e.dst),
 cl AS (SELECT descendant, ancestor, min(hops) AS hops, min(delay_ms) AS delay_ms FROM walk GROUP BY 1, 2), near AS (SELECT * FROM cl UNION ALL SELECT stage_id, stage_id, 0, NULL FROM st)"""
+MARKET = """ed AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_nationkey::DOUBLE AS delay_ms FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, (s_suppkey % 50)::DOUBLE FROM supplier
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, (c_custkey % 100)::DOUBLE FROM customer UNION ALL SELECT DISTINCT 's' || l_suppkey, 'c' || c_custkey, (c_custkey % 100)::DOUBLE FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey),
+ms AS (SELECT 'r' || r_regionkey AS stage_id, 'source' AS stage_type FROM region UNION ALL SELECT 'n' || n_nationkey, 'transform' FROM nation UNION ALL SELECT 's' || s_suppkey, 'transform' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'sink' FROM customer)"""
+MARKET_WALK = """walk AS (SELECT dst AS descendant, src AS ancestor, 1 AS hops, delay_ms FROM ed UNION ALL SELECT w.descendant, e.src, w.hops + 1, w.delay_ms + e.delay_ms FROM walk w JOIN ed e ON w.ancestor = e.dst),
+cl AS (SELECT descendant, ancestor, min(hops) AS hops, min(delay_ms) AS delay_ms FROM walk GROUP BY 1, 2)"""
 SESSIONS = """sg AS (SELECT *, sum(f) OVER (ORDER BY detected_at, event_id, metric, detector_type ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN detected_at - lag(detected_at) OVER (ORDER BY detected_at, event_id, metric, detector_type) <= INTERVAL 900 SECOND THEN 0 ELSE 1 END AS f FROM an)),
 hy AS (SELECT g, substring(sha256('hypothesis:' || epoch_us(min(detected_at))::VARCHAR), 1, 32) AS hypothesis_id, min(detected_at) AS triggered_at, max(detected_at) AS closed_at, count(*) AS evidence_count FROM sg GROUP BY g),
 evd AS (SELECT sg.*, hypothesis_id FROM sg JOIN hy USING (g))"""
@@ -57,6 +62,12 @@ cs AS (SELECT hy.hypothesis_id, triggered_at, rk.candidate AS target_stage_id, f
 de AS (SELECT * FROM (SELECT cs.*, ru.action, coalesce(ft, 'any') || '/' || coalesce(sv, 'any') || '/' || coalesce(sty, 'any') AS rule_matched, row_number() OVER (PARTITION BY hypothesis_id ORDER BY priority, ord) AS r FROM cs JOIN ru ON (ft IS NULL OR ft = fault_type) AND (sv IS NULL OR sv = severity) AND (sty IS NULL OR sty = stage_type)) WHERE r = 1),
 ac AS (SELECT substring(sha256('action:' || hypothesis_id || ':' || action), 1, 32) AS id, * FROM de)"""
 FULL = ", ".join((DETECT, STAGES, EDGES, WALK, SESSIONS, SCORES, RULES, DECIDE))
+ALERTS = """na AS (SELECT *, epoch_us(detected_at) AS t, row_number() OVER (ORDER BY detected_at, event_id, metric, detector_type, signal) AS n FROM an),
+mine AS (SELECT descendant AS stage_id, list(ancestor) AS m FROM near GROUP BY 1),
+placed AS (SELECT n, 1::BIGINT AS serial, 1::BIGINT AS opened, [struct_pack(serial := 1::BIGINT, start := t, reach := m)] AS open FROM na JOIN mine USING (stage_id) WHERE n = 1
+  UNION ALL SELECT n, coalesce(hit, opened + 1), CASE WHEN hit IS NULL THEN opened + 1 ELSE opened END,
+    CASE WHEN hit IS NULL THEN list_append(o, struct_pack(serial := opened + 1, start := t, reach := m)) ELSE list_transform(o, lambda g: CASE WHEN g.serial = hit THEN struct_pack(serial := g.serial, start := g.start, reach := list_distinct(list_concat(g.reach, m))) ELSE g END) END
+  FROM (SELECT *, list_filter(o, lambda g: list_has_any(g.reach, m))[1].serial AS hit FROM (SELECT a.n, a.t, x.m, p.opened, list_filter(p.open, lambda g: a.t - g.start <= 900000000) AS o FROM placed p JOIN na a ON a.n = p.n + 1 JOIN mine x ON x.stage_id = a.stage_id)))"""
 BREAKER = """oc AS (SELECT stage_id, event_id, event_time, epoch_us(event_time) AS us, status = 'ok' AS ok, row_number() OVER (PARTITION BY stage_id ORDER BY event_time, event_id) AS n FROM ev),
 br AS (SELECT stage_id, n, event_id, event_time, us, CASE WHEN NOT ok AND 2 <= 1 THEN 'open' ELSE 'closed' END AS state, CASE WHEN ok THEN 0 ELSE 1 END AS fails, 0 AS trips, NULL::BIGINT AS opened FROM oc WHERE n = 1
   UNION ALL SELECT stage_id, n, event_id, event_time, us,

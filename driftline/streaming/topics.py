@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from driftline.functions import wire
 from driftline.operators.tables import replay
@@ -61,13 +63,60 @@ def publish(rows: DataFrame, topic: str, kind: str = "event") -> None:
 
 def publish_stream(rows: DataFrame, topic: str, checkpoint: str, kind: str = "event") -> StreamingQuery:
     """A stream to the topic, at least once into Kafka and exactly once into a directory."""
+    rows = counted(rows, F.lit(False))
     if is_kafka(topic):
         return messages(rows, kind).writeStream.format("kafka").options(**_kafka(topic), **{"kafka.acks": "all"}).option("checkpointLocation", checkpoint).start()
     out = messages(rows, kind).select("key", "value", F.lit(0).alias("partition"), F.lit(None).cast("bigint").alias("offset"))
     return out.writeStream.format("json").option("path", topic).option("checkpointLocation", checkpoint).start()
 
 
+@dataclass
+class Delivery:
+    """What a query has delivered since it was first started in this session: batches, rows and failed rows among them."""
+
+    batches: int = 0
+    rows: int = 0
+    failed: int = 0
+    last: int = -1
+
+
+#: By query id, which a query keeps over restarts from its checkpoint.
+DELIVERED: dict[str, Delivery] = {}
+
+
+class Counter(StreamingQueryListener):
+    """Adds up the observed metrics of every batch, not only of the recent ones that a query's progress holds."""
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        DELIVERED.setdefault(str(event.id), Delivery())
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        d = DELIVERED.setdefault(str(p.id), Delivery())
+        seen = p.observedMetrics.get("delivery")
+        if seen is not None and p.batchId > d.last and seen["rows"]:
+            d.batches, d.rows, d.failed, d.last = d.batches + 1, d.rows + seen["rows"], d.failed + seen["failed"], p.batchId
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+_counting: set[str] = set()
+
+
+def counted(stream: DataFrame, failed: Column) -> DataFrame:
+    """The stream, whose rows and failed rows a listener adds up in DELIVERED."""
+    spark = stream.sparkSession
+    if spark.sparkContext.applicationId not in _counting:
+        _counting.add(spark.sparkContext.applicationId)
+        spark.streams.addListener(Counter())
+    return stream.observe("delivery", F.count(F.lit(1)).alias("rows"), F.count(F.when(failed, 1)).alias("failed"))
+
+
 def delivered(query: StreamingQuery) -> dict[str, int]:
-    """Rows read and written so far by the recent batches, and batches run."""
-    done = query.recentProgress
-    return {"batches": len(done), "rows_in": sum(p["numInputRows"] for p in done), "rows_out": sum(max(0, (p["sink"] or {}).get("numOutputRows", 0) or 0) for p in done)}
+    """Batches, rows and failed rows of the query's whole life in this session, restarts included."""
+    d = DELIVERED.get(str(query.id), Delivery())
+    return {"batches": d.batches, "rows_in": d.rows, "rows_out": d.rows - d.failed, "failed": d.failed}

@@ -7,6 +7,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftline import config
 from driftline.functions import metrics, wire
@@ -134,31 +135,88 @@ def test_sessions_do_not_depend_on_buckets(spark, bucket_s):
     assert [r.evidence_count for r in got] == want and incidents.sessions(anomalies(spark, [("well", 1)]).limit(0)).count() == 0
 
 
-def test_pieces_equal_one_fold(spark):
-    rng = random.Random(3)
-    rows = sorted((rng.uniform(0, 2000), rng.choice(LINE)[0]) for _ in range(120))
-    st, c = config.stages(spark, LINE), config.CorrelationConfig(40.0, 2)
-    up = {}
-    for r in topology.closure(st).collect():
-        up.setdefault(r.descendant, set()).add(r.ancestor)
-    one, want = incidents.Correlator(c, up), []
-    for t, s in rows:
-        want += one.add(s, round(t * 1e6), None)
-    want += one.flush()
-    got = incidents.correlate(anomalies(spark, [(s, t) for t, s in rows]), st, c).collect()
-    assert sorted((len(g["rows"]), sorted(g["stages"])) for g in want) == sorted((r.event_count, r.affected_stage_ids) for r in got)
-
-
-def test_root_cause_is_found(spark):
-    rows = []
-    for j in range(20):
-        t, e = j * 1000, j * 0.0002
-        rows += [("feed", t), ("mix", t + 0.012 + e), ("route", t + 0.004 + e), ("vault", t + 0.013 + 2 * e)]
-    st = config.stages(spark, MESH)
-    a = anomalies(spark, rows)
-    h = incidents.sessions(a, config.CollectorConfig(30.0))
-    ranked = incidents.localize(incidents.evidence(a, h), st).filter("stage_id = 'feed'").collect()
-    assert len(ranked) == 20 and sum(r["rank"] <= 2 for r in ranked) >= 17
+def plain_alerts(rows, up, window_us, least):
+    """rows: (us, id, stage) in order. (ids of evidence) of each group of `least` or more."""
+    open_, done = [], []
+    for us, i, stage in rows:
+        done += [g for g in open_ if us - g[0] > window_us]
+        open_ = [g for g in open_ if us - g[0] <= window_us]
+        mine = {stage} | up.get(stage, set())
+        for g in open_:
+            if mine & g[1]:
+                break
+        else:
+            open_.append(g := (us, set(), []))
+        g[1].update(mine)
+        g[2].append(i)
+    return sorted(tuple(g[2]) for g in done + open_ if len(g[2]) >= least)
+
+
+TWIN = [("ore", "source", [], 0.0), ("sand", "source", [], 0.0), ("kiln", "transform", ["ore"], 5.0), ("glass", "transform", ["sand"], 6.0), ("jar", "sink", ["glass"], 2.0), ("bell", "sink", ["kiln"], 2.0), ("dust", "sink", ["ore"], 1.0)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_alerts_equal_one_fold(spark, seed):
+    """Several groups of one part of the graph open at a time, equal times, quiet gaps, stages that the graph lacks."""
+    rng = random.Random(seed)
+    rows, t = [], 0.0
+    for _ in range(200):
+        t += rng.choice([0.0, 1.0, 5.0, 12.0, 12.0, 60.0])
+        rows.append((rng.choice([s[0] for s in TWIN] + ["stray"]), t))
+    st, c = config.stages(spark, TWIN), config.CorrelationConfig(40.0, 2)
+    a = anomalies(spark, rows).withColumn("event_id", F.row_number().over(Window.orderBy("detected_at", "stage_id")).cast("long"))
+    met = sorted((round((r.detected_at - T0).total_seconds() * 1e6), r.event_id, r.stage_id) for r in a.collect())
+    parts = {r.stage_id: r.component_id for r in topology.components(st).collect()}
+    want = []
+    for part in {*parts.values(), "stray"}:
+        want += plain_alerts([m for m in met if parts.get(m[2], m[2]) == part], incidents.reachable(st), 40_000_000, 2)
+    got = incidents.correlate(a, st, c).collect()
+    assert sorted(tuple(e.event_id for e in r.evidence) for r in got) == sorted(want) and len(want) > 10
+    assert all(r.event_count == len(r.evidence) and sorted({e.stage_id for e in r.evidence}) == r.affected_stage_ids for r in got)
+
+
+def test_several_roots_with_noise(spark):
+    """Two faults at once in a graph with two sources; one sensor in three stays silent, and stray anomalies come between. The true
+    root leads its own branch's stages in the ranking of most incidents."""
+    rng, rows, truth = random.Random(11), [], []
+    chains = {"ore": [("ore", 0), ("kiln", 5), ("bell", 7), ("dust", 1)], "sand": [("sand", 0), ("glass", 6), ("jar", 8)]}
+    for j in range(24):
+        root = rng.choice(["ore", "sand"])
+        start, told = 500 * j, chains[root]
+        silent = rng.choice([None, *range(1, len(told))])
+        rows += [(s, start + (d + rng.uniform(0, 2)) / 1000) for k, (s, d) in enumerate(told) if k != silent]
+        if rng.random() < 0.3:
+            rows.append((rng.choice(["jar", "bell"]), start + 0.5))
+        truth.append(root)
+    st, a = config.stages(spark, TWIN), anomalies(spark, rows)
+    h = incidents.sessions(a, config.CollectorConfig(60.0)).collect()
+    found = incidents.localizations(incidents.sessions(a, config.CollectorConfig(60.0)), incidents.localize(incidents.evidence(a, incidents.sessions(a, config.CollectorConfig(60.0))), st))
+    by_time = [r.root_cause_stage_id for r in sorted(found.collect(), key=lambda r: r.triggered_at)]
+    assert len(h) == 24 and sum(x == y for x, y in zip(by_time, truth, strict=True)) >= 20
+
+
+def test_closure_of_many_paths(spark):
+    """Forty layers of two stages have 2^39 paths between their ends."""
+    rows = [(f"{side}0", "source", [], 0.0) for side in "ab"]
+    rows += [(f"{side}{k}", "transform" if k < 39 else "sink", [f"a{k - 1}", f"b{k - 1}"], float(k % 5 + (side == "b"))) for k in range(1, 40) for side in "ab"]
+    st = config.stages(spark, rows)
+    got = {(r.descendant, r.ancestor): (r.hops, r.delay_ms) for r in topology.closure(st).collect()}
+    assert len(got) == 40 * 39 * 2 and got["b39", "a0"] == (39, sum(k % 5 for k in range(1, 39)) + 39 % 5 + 1)
+    assert topology.problems(st).count() == 0
+
+
+def test_closure_of_short_and_cheap_paths(spark):
+    """The shortest path isn't the cheapest, and a cycle ends."""
+    st = config.stages(spark, [("a", "source", [], 0.0), ("b", "transform", ["a"], 1.0), ("c", "transform", ["b", "d"], 1.0), ("d", "transform", ["c", "a"], 50.0), ("e", "sink", ["d", "c"], 1.0)])
+    got = {(r.descendant, r.ancestor): (r.hops, r.delay_ms) for r in topology.closure(st).collect()}
+    assert got["e", "a"] == (2, 3.0) and got["c", "c"] == (2, 51.0)
+    assert {tuple(r) for r in topology.problems(st).collect()} == {("c", "on a cycle"), ("d", "on a cycle")}
+
+
+def test_components_of_a_chain(spark):
+    rows = [("p000", "source", [], 0.0), *((f"p{k:03d}", "transform", [f"p{k - 1:03d}"], 1.0) for k in range(1, 60)), ("q0", "source", [], 0.0), ("q1", "sink", ["q0"], 1.0)]
+    got = {r.stage_id: r.component_id for r in topology.components(config.stages(spark, rows)).collect()}
+    assert len(got) == 62 and set(got.values()) == {"p000", "q0"} and got["p059"] == "p000"
 
 
 def test_decisions(spark):
