@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,10 +40,7 @@ def ingest_log(spark: SparkSession, topic: str, table: str, checkpoint: str, con
 
 def settled(query: StreamingQuery, topic: str) -> bool:
     """Whether the query has taken all that the topic log holds now."""
-    p = query.lastProgress
-    end = p["sources"][0]["endOffset"] if p else None
-    end = json.loads(end) if isinstance(end, str) else end
-    return {str(k): v for k, v in log.ends(log.segments(topic)).items()} == (end or {})
+    return {str(k): v for k, v in log.ends(log.segments(topic)).items()} == log.reached(query)
 
 
 def batch_summary(batch: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 BURST_S = 5.0
 MESSAGE = "key string, value string, partition int, offset bigint"
@@ -222,3 +223,9 @@ def stream(spark: SparkSession, path: str, progress: str, **options: object) ->
     max_rows, min_rows, max_age_s, rate, partition, start, end."""
     spark.dataSource.register(TopicLog)
     return spark.readStream.format("topic_log").option("path", path).option("progress", progress).options(**{k: v for k, v in options.items() if v is not None}).load()
+
+
+def reached(query: StreamingQuery) -> dict[str, int]:
+    """Where a query over a log has come to: the end offset of each partition."""
+    p = query.lastProgress
+    return (json.loads(p.json)["sources"][0]["endOffset"] if p else None) or {}

@@ -41,7 +41,8 @@ class InOrder(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        upto = expiredTimerInfo.getExpiryTimeInMs()
+        # what is registered below for a time that has passed would wait for another batch
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         due = sorted(b for (b,) in self.waiting.keys() if (b + 1) * BUCKET_MS <= upto)
         state = json.loads(self.state.get()[0]) if self.state.exists() else None
         out: list[Row] = []

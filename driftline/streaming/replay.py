@@ -27,16 +27,8 @@ def start(spark: SparkSession, request: ReplayRequest, table: str, checkpoint: s
 
 def done(query: StreamingQuery, request: ReplayRequest) -> bool:
     """Whether all of the range that the log holds was replayed."""
-    p = query.lastProgress
     last = min(request.end_offset + 1, log.ends(log.segments(request.topic)).get(request.partition, 0))
-    if last <= request.start_offset:
-        return True
-    if not p or not (end := p["sources"][0]["endOffset"]):
-        return False
-    import json
-
-    end = json.loads(end) if isinstance(end, str) else end
-    return end.get(str(request.partition), 0) >= last
+    return last <= request.start_offset or log.reached(query).get(str(request.partition), 0) >= last
 
 
 def run(spark: SparkSession, request: ReplayRequest, table: str, checkpoint: str, timeout_s: float = 3600.0) -> int:

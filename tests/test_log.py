@@ -119,14 +119,16 @@ def test_paced_replay(spark, tmp_path):
     q = replay.start(spark, request, table, ck)
     until(q, lambda: spark.read.schema("x int").parquet(table).count() > 40 if (tmp_path / "table").exists() else False)
     q.stop()
-    part = spark.read.parquet(table).count()
+    assert spark.read.parquet(table).count() < 300
     q = replay.start(spark, request, table, ck)
-    until(q, lambda: (q.lastProgress or {}).get("numInputRows", 0) > 0)
-    t, n = time.monotonic(), spark.read.parquet(table).count()
     until(q, lambda: replay.done(q, request), 60)
     q.stop()
-    rate = (300 - n) / (time.monotonic() - t)
-    assert 0.8 * 30 < rate < 1.2 * 30, (rate, part, n)
+    batches = spark.read.parquet(table).groupBy("batch", F.unix_micros("replayed_at").alias("us")).count().orderBy("us").collect()
+    gaps = [b.us - a.us for a, b in zip(batches, batches[1:], strict=False)]
+    again = max(range(len(gaps)), key=gaps.__getitem__) + 1  # the stop lies before this batch
+    rest = batches[again + 1 :]
+    rate = sum(b["count"] for b in rest) / ((rest[-1].us - batches[again].us) / 1e6)
+    assert 0.9 * 30 < rate < 1.1 * 30, (rate, batches)
     rows = spark.read.parquet(table)
     assert rows.count() == 300 and rows.select("offset").distinct().count() == 300 and rows.filter("replayed and hypothesis_id = 'h1'").count() == 300
     assert rows.agg(F.min("offset"), F.max("offset")).first() == (20, 319)
@@ -194,4 +196,4 @@ def test_seasonal_scores_across_a_refit(spark, tmp_path):
     q.stop()
     want = baseline.z_scores_as_of(e, versions).select("event_id", "metric", F.round("z", 9).alias("z")).collect()
     got = spark.table("seasonal").filter("event_time < '2024-03-01'").select("event_id", "metric", F.round("z", 9).alias("z")).collect()
-    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.z for r in got}) > 50
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r.z for r in got}) > 30
