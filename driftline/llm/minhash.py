@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -192,37 +191,44 @@ def mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(held.join(several.drop("k"), ["band", "value"]), "minhash-mixed")
 
 
+def heads(links: DataFrame) -> DataFrame:
+    """Stored: (node, root), a linked class of the same component that is less: the least one linked to it, or that one's. Classes
+    of one root are of one component; a component may still have several roots."""
+    least = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
+    up = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return stored(least.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "minhash-heads")
+
+
 def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(node, root) of linked classes. classes: stored (id, rep, digest, n, sign, bands), none empty."""
-    bands, roots, ordered = classes.select("id", "bands"), None, (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    bands, links = classes.select("id", "bands"), None
 
-    def add(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        if roots is not None:  # what one component has already needs no more links
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}r"))
-            pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").filter("coalesce(ur, u) <> coalesce(vr, v)").select("u", "v")
+    def add(pairs: DataFrame) -> DataFrame:
         found = verified(stored(prune(pairs, classes, similar), "minhash-survivors"), docs, classes, similar)
-        known = found if roots is None else found.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        return components(known, "minhash-roots")
+        return found if links is None else links.union(found)
 
     for level in range(len(LEVELS)):
         if level:
             some = stored(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "rep", "digest"), "minhash-open")
             bands = stored(longer_bands(docs, some, level), "minhash-longer")
         met = buckets(bands)
-        roots = add(met.filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), roots)
-        few_of = mixed(met.filter((F.col("m") > 2) & (F.col("m") <= hot)), roots).filter("id <> lead")
+        pairs = met.filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
+        links = add(pairs if links is None else pairs.join(links, ["u", "v"], "left_anti"))
+        open_ = mixed(met.filter("m > 2"), heads(links))
+        few_of = open_.filter((F.col("m") <= hot) & (F.col("id") != F.col("lead")))
         lists = few_of.groupBy("band", "value").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("l"))  # hot at most
         small = lists.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(x.id as u, y.id as v))))")).alias("p")).select("p.*").distinct()
-        if not small.isEmpty():
-            roots = add(small, roots)
-        open_ = mixed(met.filter(F.col("m") > hot), roots)
+        links = add(small)
+        open_ = open_.filter(F.col("m") > hot)
         if open_.isEmpty():
-            return roots
+            return components(links, "minhash-roots")
+    open_ = mixed(open_.select(*met.columns), heads(links))
     outside = open_.filter("root <> most").select("band", "value", F.col("id").alias("o"), F.col("root").alias("r"), "most")
     other = open_.select("band", "value", F.col("id").alias("w"), F.col("root").alias("wr"))
     # of two outside the largest component, the lesser meets the greater
-    rest = outside.join(other, ["band", "value"]).filter("r <> wr and (wr = most or o < w)").select(F.col("o").alias("u"), F.col("w").alias("v")).select(*ordered)
-    return add(prune(rest, classes, similar).distinct(), roots)
+    rest = outside.join(other, ["band", "value"]).filter("r <> wr and (wr = most or o < w)").select(F.least("o", "w").alias("u"), F.greatest("o", "w").alias("v"))
+    links = add(prune(rest, classes, similar).distinct())
+    return components(links, "minhash-roots")
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT, similar: tuple[int, int] = SIMILAR) -> DataFrame:
