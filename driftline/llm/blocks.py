@@ -12,7 +12,8 @@ travels once, to where the marked places of the batch are gathered. Documents st
 block is a probe at a multiple of BLOCK and needs no row of its own. Exact copies of a text are settled first, and only
 the first document of each goes on. A gram that meets a block inside its batch is marked there, and only its first place
 and its first block go on, so no bucket gathers all occurrences of a common line; so is one that comes more than FREQUENT
-times (which marks more places to look at, never fewer). Windows are compared by a 64-bit mix of their words' 64-bit hashes.
+times (which marks more places to look at, never fewer). Marked places are found by 64-bit hashes; windows are compared by 128
+bits, two mixes of two independent hashes of each word.
 
 Defined cases: null or empty text has no words; very long texts are read whole; a window never repeats inside its own doc_id;
 rows that share a doc_id but not the text are told apart, and neither is earlier than the other; of rows with the same doc_id
@@ -31,15 +32,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import WHOLE, byte_size, few, guarded, merge, mix, pack_spans, small_batches, stored, table, unpack_spans, with_spans, words_of
+from driftline.llm.common import WHOLE, byte_size, few, guarded, merge, mix, numbered, pack_spans, small_batches, stored, table, unpack_spans, with_spans, words_of
 
 WORDS = 13
 BATCH, FREQUENT = 1 << 20, 256
-#: A row's name is its doc_id (or, beyond SMALL, its rank) and TELL bits of its text's hash.
-TELL, SMALL = 20, 1 << 42
 BUCKET_BYTES = 6 << 20  # of text
 ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(1, 65)], "u8")
 
@@ -48,6 +47,12 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words_of(text)), "u8")
 
 
+def wide_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words_of(text))), ">u8").astype("u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash for each run of n words."""
     m = len(h) - n + 1
@@ -75,15 +80,23 @@ NAMES = ("part", "h", "docs", "runs", "pos")
 NAMED = b"n"  # in h: a table of a batch (in pos) with its documents and their first places (in runs)
 
 
-def shipped(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None, width: int = 0) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """Packed rows, one for each part: hashes (their low bytes), documents (or batches), entries for each, differences of positions."""
+def shipped(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, h: np.ndarray | None = None, width: int = 0, more: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Packed rows, one for each part: hashes (their low bytes; all of `more` after those of h), documents (or batches), entries for each, differences of positions."""
     order = np.argsort(part, kind="stable")
     doc, pos, part = doc[order], pos[order], part[order]
     edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, int)
     for a, z in zip(edge, edge[1:], strict=False):
         d = doc[a:z]
         first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        yield int(part[a]), planes(h[order[a:z]], width) if width else b"", d[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, z - a)), 4), planes(np.diff(pos[a:z], prepend=0), 4)
+        yield int(part[a]), (planes(h[order[a:z]], width) if width else b"") + (planes(more[order[a:z]], 8) if more is not None else b""), d[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, z - a)), 4), planes(np.diff(pos[a:z], prepend=0), 4)
+
+
+def opened_wide(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """opened() of rows with two hashes of 8 bytes."""
+    halves = [(x.as_py()[: len(x.as_py()) // 2], x.as_py()[len(x.as_py()) // 2 :]) for x in t.column("h")]
+    _, doc, pos = opened(t)
+    h, more = (np.concatenate([unplanes(x[k], 8) for x in halves]) if halves else np.zeros(0, "u8") for k in (0, 1))
+    return h, more, doc, pos
 
 
 def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -220,20 +233,38 @@ def by_document(packed: DataFrame, length: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(gather, "doc_id long, spans binary")
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with a column row for repeats(); null for a null doc_id."""
-    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    tell = F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << TELL))
-    if least is None or -SMALL < least and most < SMALL:
-        return docs.withColumn("row", F.shiftleft("doc_id", TELL) + tell)
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().orderBy("doc_id").rdd.map(lambda r: r.doc_id).zipWithIndex()
-    ranks = stored(docs.sparkSession.createDataFrame(ids, "doc_id long, rank long"), "blocks-ranks")
-    return docs.join(guarded(ranks), "doc_id", "left").withColumn("row", F.shiftleft("rank", TELL) + tell).drop("rank")
+def text_digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
-def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def named(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) with a column row for repeats(), null for a null doc_id, and the number of its low bits that tell texts of
+    one doc_id apart. Where each doc_id has one text, row is doc_id. Else texts (by SHA-256) of a doc_id are numbered; where
+    ids and these numbers don't fit in 63 bits together, ids are replaced by their rank."""
+    told = docs.filter("doc_id IS NOT NULL").select("doc_id", text_digest().alias("digest")).groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
+    several = stored(told.select("doc_id"), "blocks-shared")
+    if several.isEmpty():
+        return docs.withColumn("row", F.col("doc_id")), 0
+    texts = docs.select("doc_id", text_digest().alias("digest")).join(guarded(several), "doc_id", "left_semi").distinct()
+    order = numbered(stored(texts, "blocks-texts"), ["doc_id", "digest"], "k")
+    first = order.groupBy("doc_id").agg(F.min("k").alias("first"))
+    names = stored(order.join(first, "doc_id").select(F.col("doc_id").alias("shared"), F.col("digest").alias("same"), (F.col("k") - F.col("first")).alias("k")), "blocks-names")
+    bits = int(names.agg(F.max("k")).first()[0]).bit_length()
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    own = docs.withColumn("_id", F.col("doc_id"))
+    if least < -(1 << (62 - bits)) or most >= 1 << (62 - bits):
+        ranks = numbered(stored(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("ranked")).distinct(), "blocks-ids"), ["ranked"], "rank")
+        ranks = stored(ranks, "blocks-ranks")
+        if ranks.count() >= 1 << (62 - bits):
+            raise ValueError("more ids, and texts of one id, than 62 bits number")
+        own = own.join(guarded(ranks), F.col("doc_id") == F.col("ranked"), "left").withColumn("_id", F.col("rank"))
+    met = own.join(guarded(names), (F.col("doc_id") == F.col("shared")) & (text_digest() == F.col("same")), "left")
+    return met.select(*docs.columns, (F.shiftleft("_id", bits) + F.coalesce("k", F.lit(0))).alias("row")), bits
+
+
+def repeats(docs: DataFrame, words: int = WORDS, bits: int = 0) -> DataFrame:
     """(doc_id, spans): maximal runs of words that are covered by windows which also start in an earlier document.
-    docs: (doc_id, text), doc_id the name that named() gives; one is earlier than another by its bits above TELL."""
+    docs: (doc_id, text), doc_id the name that named() gives; one is earlier than another by its bits above the low `bits`."""
     block = (words + 1) // 2
     buckets = max(1, byte_size(small_batches(docs)) // BUCKET_BYTES + 1)
     digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.octet_length("text").alias("size"))
@@ -243,39 +274,40 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     near = stored(marked(probes(alone, buckets, block, words), block, buckets), "blocks-places")  # one row for each document
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hs, at, size = [], [], [], 0
+        held, size = [], 0
         for b in few(batches):
             for d, t, s in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                g = grams(word_hashes(t), words)
+                g, more = (grams(h, words) for h in wide_hashes(t))
                 a, z = unpack_spans(s)
                 a, z = merge(np.maximum(a - (words - block), 0), np.minimum(z, len(g)))
                 i = np.concatenate([np.arange(x, y) for x, y in zip(a, z, strict=True)])
-                ids.append(np.full(len(i), d, "i8")), hs.append(g[i]), at.append(i)
+                held.append((np.full(len(i), d, "i8"), g[i], more[i], i))
                 size += len(i)
                 if size >= BATCH:
-                    yield settle(*map(np.concatenate, (ids, hs, at)))
-                    ids, hs, at, size = [], [], [], 0
+                    yield settle(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
         if size:
-            yield settle(*map(np.concatenate, (ids, hs, at)))
-
-    def later_than(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Which entries have an equal hash in an earlier document among these."""
-        doc = doc >> TELL
-        order = np.argsort(h, kind="stable")
-        first = np.append(True, h[order][1:] != h[order][:-1])
+            yield settle(*map(np.concatenate, zip(*held, strict=True)))
+
+    def later_than(h: np.ndarray, more: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which entries have equal hashes in an earlier document among these."""
+        doc = doc >> bits
+        order = np.lexsort((more, h))
+        hs, ms = h[order], more[order]
+        first = np.append(True, (hs[1:] != hs[:-1]) | (ms[1:] != ms[:-1]))
         out = np.empty(len(h), bool)
         out[order] = doc[order] > np.minimum.reduceat(doc[order], np.flatnonzero(first))[np.cumsum(first) - 1]
         return out
 
-    def settle(doc: np.ndarray, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    def settle(doc: np.ndarray, h: np.ndarray, more: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         """A batch's own repeats are hits at once (part below 0); only the earliest document of each window is sent on."""
-        hit = later_than(h, doc)
+        hit = later_than(h, more, doc)
         bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype("i4")
-        return packed_batch([*shipped(bucket[~hit], doc[~hit], at[~hit], h[~hit], 8), *shipped(-1 - dealt_documents(doc[hit], buckets), doc[hit], at[hit])])
+        return packed_batch([*shipped(bucket[~hit], doc[~hit], at[~hit], h[~hit], 8, more[~hit]), *shipped(-1 - dealt_documents(doc[hit], buckets), doc[hit], at[hit])])
 
     def verify(t: pa.Table) -> pa.Table:
-        h, doc, at = opened(t, 8)
-        hit = later_than(h, doc)
+        h, more, doc, at = opened_wide(t)
+        hit = later_than(h, more, doc)
         return pa.Table.from_batches([packed_batch(list(shipped(dealt_documents(doc[hit], buckets), doc[hit], at[hit])))])
 
     # one join at every size: the marks grow with the documents, so they aren't sent to all executors
@@ -294,7 +326,7 @@ def kept_words(words: list[bytes], spans: bytes | None, least: int = WORDS) -> l
 
 
 def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = named(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
+    docs, bits = named(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches):
@@ -306,7 +338,7 @@ def op2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    spans = repeats(docs.filter("row IS NOT NULL").select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    spans = repeats(docs.filter("row IS NOT NULL").select(F.col("row").alias("doc_id"), "text"), bits=bits).withColumnRenamed("doc_id", "row")
     return with_spans(docs, spans, "row").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

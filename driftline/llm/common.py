@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A side is broadcast only when its measured size is at most this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -82,11 +84,36 @@ def with_spans(docs: DataFrame, spans: DataFrame, on: str = "doc_id", how: str =
     return docs.join(guarded(spans), on, how)
 
 
+def numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
+    """rows (stored) with their place in the order, from 0 without gaps, stored. Rows are dealt by range and counted in their
+    partitions; only the partitions' counts are added up."""
+    names = rows.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(np.arange(seen, seen + n))], [*names, "_part", "_at"])
+            seen += n
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    counted = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(count, f"{schema}, _part int, _at long"), "numbered")
+    parts = counted.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.join(F.broadcast(parts.select("_part", before.alias("_first"))), "_part").select(*names, (F.col("_first") + F.col("_at")).alias(number))
+
+
 def row_key() -> Column:
     """Tells rows apart: a hash of doc_id (null too) and text. Rows that repeat both have one key."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
 
 
+def wide_key() -> Column:
+    """Tells rows apart by 128 bits: two hashes of doc_id (null too) and text, chained in either order."""
+    i, t = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return F.concat(F.hex(F.xxhash64(i, t)), F.lit("-"), F.hex(F.xxhash64(t, F.lit(1), i)))
+
+
 def few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that only few texts are Python objects at once; a worker that waits for its next task holds
     no memory of the last batch."""

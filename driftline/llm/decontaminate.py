@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import guarded, row_key, stored, table
+from driftline.llm.common import guarded, stored, table, wide_key
 
 WINDOW, GRAM = 10, 5
 SLOTS = 4096
@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     spans = stored(windows.union(short).select("item_id", "x.*").distinct(), "winnow-windows")
     marks = guarded(stored(long.select(F.explode(F.array_distinct("_m")).alias("mark")).distinct(), "winnow-marks"))
     lengths = [r.len for r in spans.filter(F.col("len") < window).select("len").distinct().collect()]  # below window
-    texts = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), words().alias("_w"))
+    texts = docs.select(wide_key().alias("row"), F.col("doc_id").cast("long"), words().alias("_w"))
     found = winnowed(texts).select("row", F.explode(F.array_distinct("_m")).alias("mark")).join(marks, "mark", "left_semi")
     hits = guarded(stored(found.groupBy("row").agg(F.collect_set("mark").alias("_marks")), "winnow-hits"))
     h, least = least_hashes(w, window)

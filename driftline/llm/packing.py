@@ -5,8 +5,9 @@ pieces are sequences of their own. All others are packed best fit, largest first
 FULL of a sequence are emitted; the underfull ones become items of the next level, which deals them to fewer partitions
 (by row, so that sizes mix and equal documents spread) and packs again, until a level packs in one partition. A bin is one
 row with its members (at most as many as tokens), so rows never outgrow a sequence. A level whose underfull bins exceed
-LEVEL_BINS for each partition keeps as many partitions as they need, and the tree ends when a level of one partition has
-run or a level saves less than a bin for each of its partitions.
+LEVEL_BINS for each partition keeps as many partitions as they need. Before each level the bins that not even the emptiest
+other one could join are done. The tree ends when a level of one partition has run, or where over LEVEL_BINS bins that could
+still be joined are left and a level saves less than one for each of its partitions.
 
 Token ids are those of the byte-level BPE vocabulary, run by the installed rank encoder, which gives the same ids and treats
 special tokens' strings as text. Its pattern can't take very long white space, so runs of LONG_SPACE or more are cut out
@@ -121,7 +122,17 @@ def pack(items: DataFrame, length: int = LENGTH, full: float = FULL, level_bins:
     bins = items.select(F.struct("doc_id", "piece", "start", "length", "ids_crc32").alias("m"), "length").select(F.array("m").alias("members"), F.col("length").alias("used"))
     done = [bins.filter(F.col("used") >= length).select("members")]
     bins = bins.filter(F.col("used") < length)
-    count, limit = bins.count(), int(length * full)
+    limit = int(length * full)
+
+    def open_bins(bins: DataFrame) -> tuple[DataFrame, int]:
+        """The bins that the emptiest other one could still join, and their number; the rest is done."""
+        two = [r.used for r in bins.select("used").orderBy("used").limit(2).collect()]
+        fits = F.col("used") <= (length - two[0] if len(two) == 2 and sum(two) <= length else -1)
+        done.append(bins.filter(~fits).select("members"))
+        rest = bins.filter(fits)
+        return rest, rest.count()
+
+    bins, count = open_bins(bins)
     parts = max(1, -(-count // level_bins))
     while count:
         last = parts == 1
@@ -144,9 +155,9 @@ def pack(items: DataFrame, length: int = LENGTH, full: float = FULL, level_bins:
         dealt = bins.repartition(parts, F.xxhash64(F.monotonically_increasing_id(), F.lit(parts)))
         level = stored(dealt.mapInArrow(run, f"members array<{member}>, used long, out boolean"), "packing-level")
         done.append(level.filter("out").select("members"))
-        bins, before = level.filter("not out").select("members", "used"), count
-        count = bins.count()
-        if not last and before - count < parts:  # what is left doesn't fit together
+        before = count
+        bins, count = open_bins(level.filter("not out").select("members", "used"))
+        if count > level_bins and before - count < parts:  # of so many, each level would join hardly one in a partition
             done.append(bins.select("members"))
             break
         parts = max(1, min(-(-parts // fan_in), parts - 1), -(-count // level_bins) if count > level_bins else 1)
