@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontaminate, near_copies, packing, suffixes, toxicity
-from driftline.llm.common import few, guarded, row_key, stored, table, unpack_spans, with_spans
+from driftline.llm.common import few, guarded, row_key, stored, table, unpack_spans, wide_key, with_spans
 from driftline.llm.linear import keep_below
 
 SPANS, ID, TEXT, ROW = (f"__corpus_pipeline_{x}__" for x in ("spans", "id", "text", "row"))
@@ -95,7 +95,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     gone = guarded(stored(marks.filter(F.size("spans") > 0).select(F.col("row").alias(ROW)), "pipeline-contaminated"))
-    return docs.join(gone, row_key() == F.col(ROW), "left_anti").select(*docs.columns)
+    return docs.join(gone, wide_key() == F.col(ROW), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
