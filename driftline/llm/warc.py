@@ -12,11 +12,13 @@ missing  in ours only
 extra    in theirs only
 
 write_warc() needs no file access of its own: a record ends with two line ends, which Spark's text writer puts between
-rows. read_warc() takes whole files (Spark refuses those of 2 GB or more, and the job fails), plain or gzip. A record with a bad
-header, or whose length doesn't lead to the end of a record, becomes a row of its own without url and id, up to the next
-record that begins after two line ends; nothing is left out.
+rows. read_warc() takes files plain or gzip, of one member or many, and unpacks and cuts them piece by piece; files of WHOLE_FILE
+bytes or more, which Spark doesn't give whole, are streamed by pyarrow's file systems. A record with a bad header, or whose length
+doesn't lead to the end of a record, becomes a row of its own without url and id, up to the next record that begins after two
+line ends. A damaged packed byte leaves what was unpacked before it in its member, and all other members: the packed range
+between is a row without bytes that names it. What such a fault destroys in a file of one member is all that follows.
 
-Defined cases: null html or url is an empty string; a null page_id is an empty id; records are dealt to files by the hash
+Defined cases: null html or url is an empty string; line ends in a url are written as %0D and %0A; a null page_id is an empty id; records are dealt to files by the hash
 of page_id and url, so equal ids with different urls spread, and equal rows share a file, ordered by page_id, url and hash
 (equal records are interchangeable); very long pages are long records; an empty table gives an empty result; other columns
 are ignored.
@@ -25,21 +27,26 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import io
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.common import shared_dir, stored, table
+from driftline.llm.common import BATCH_BYTES, shared_dir, stored, table
 
 PER_FILE, FAN_BITS = 1000, 4
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 STOP = END.encode()
+GZIP = b"\x1f\x8b\x08"
+PIECE, STEP, LOOK = 1 << 20, 1 << 14, 512
+WHOLE_FILE = 1 << 30
 
 
 def _id(page_id: str, url: str) -> Column:
@@ -52,7 +59,7 @@ def file_of(files: int, page_id: str = "page_id", url: str = "url") -> Column:
 
 def record(page_id: str = "page_id", url: str = "url", html: str = "html") -> Column:
     """A resource record without its closing line ends."""
-    u, body, m = F.coalesce(F.col(url), F.lit("")), F.coalesce(F.col(html), F.lit("")), _id(page_id, url)
+    u, body, m = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url), F.lit("")), "\r", "%0D"), "\n", "%0A"), F.coalesce(F.col(html), F.lit("")), _id(page_id, url)
     name = F.concat_ws("-", *(F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), u,
@@ -83,66 +90,169 @@ def write_warc(pages: DataFrame, path: str, files: int) -> None:
     _written(dealt.select("value", "file"), path)
 
 
-def unpacked(data: bytes) -> bytes:
-    """Plain bytes of a file of gzip members; what follows a broken member is unpacked from the next one on."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
+Read = Callable[[int], bytes]
+#: A packed byte range that can't be unpacked.
+Lost = tuple[int, int]
+
+
+def unpacked(read: Read, packed: bool = False) -> Iterator[bytes | Lost | None]:
+    """A file's plain bytes in pieces: of gzip members one after the other, None before each, or as they are. A member is unpacked up to its damaged byte,
+    bit by bit of what zlib still gives; the range from there to the next member that unpacks is told. (A wrong checksum after
+    data that unpacked whole is no range: what it says shows in the records.)"""
+    buf, at = read(PIECE), 0  # at: the packed place of buf
+    if not packed and buf[:2] != GZIP[:2]:
+        while buf:
+            yield buf
+            buf = read(PIECE)
+        return
+    while buf:
+        one, back = zlib.decompressobj(31), b""
+        yield None
+        while not one.eof:
+            buf = buf or read(PIECE)
+            if not buf:
+                yield at, at  # the file ends inside a member
+                return
+            piece, before = buf[:STEP], one.copy()
+            try:
+                out = one.decompress(piece)
+            except zlib.error:
+                good, k = [], 0
+                for k in range(len(piece)):
+                    try:
+                        good.append(before.decompress(piece[k : k + 1]))
+                    except zlib.error:
+                        break
+                yield b"".join(good)
+                # a damaged end lets a member run into the next one, so that is looked for from before the fault
+                fault, near = at + k, (back + buf)[1:]
+                buf, at = next_member(near, at + len(buf) - len(near), read)
+                if not buf or at - fault > 8:
+                    yield fault, at
+                break
+            yield out
+            used = len(piece) - len(one.unused_data)
+            back = (back + buf[:used])[-STEP:]
+            buf, at = buf[used:], at + used
+        zeros = len(buf) - len(buf.lstrip(b"\0"))
+        buf, at = buf[zeros:], at + zeros
+        buf = buf or read(PIECE)
+
+
+def next_member(buf: bytes, at: int, read: Read) -> tuple[bytes, int]:
+    """Skip to where a gzip member begins and unpacks; an empty rest if there is none."""
+    while True:
+        if (k := buf.find(GZIP)) < 0:
+            more = read(PIECE)
+            if not more:
+                return b"", at + len(buf)
+            buf, at = buf[-2:] + more, at + max(0, len(buf) - 2)
+            continue
+        buf, at = buf[k:], at + k
+        while len(buf) < LOOK and (more := read(PIECE)):
+            buf += more
         try:
-            out.append(one.decompress(data))
-            data = one.unused_data.lstrip(b"\0")
+            if zlib.decompressobj(31).decompress(buf[:LOOK]) or len(buf) < LOOK:
+                return buf, at
         except zlib.error:
-            data = b""
-        if one.eof:
+            pass
+        buf, at = buf[1:], at + 1
+
+
+def cut_records(parts: Iterable[bytes | Lost | None]) -> Iterator[tuple[int, bytes, dict[bytes, bytes], int, Lost | None]]:
+    """(offset, bytes, header fields, start of the payload in them, None) of records. A range that is no record has no fields; a lost
+    range has no bytes, and no record goes across it, nor across the start of a member (None) that begins as a record does."""
+    buf, base = bytearray(), 0
+
+    def cut(last: bool) -> Iterator[tuple[int, bytes, dict[bytes, bytes], int, None]]:
+        """What can be told from buf; unless it is the last of its stretch the end of buf is waited for."""
+        nonlocal buf, base, need
+        at = 0
+        while at < len(buf):
+            split = buf.find(STOP, at)
+            lines = bytes(buf[at : split if split >= 0 else at + 5]).split(b"\r\n")
+            begins = lines[0].startswith(b"WARC/") or b"WARC/".startswith(bytes(buf[at : at + 5]))
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])} if split >= 0 else {}
+            size = fields.get(b"content-length", b"")
+            end = split + 4 + int(size) + 4 if size.isdigit() and len(size) < 13 else -1
+            if begins and not last and (split < 0 or end > len(buf)):
+                need = max(end - at, len(buf) - at + PIECE)
+                break
+            if begins and lines[0].startswith(b"WARC/") and 0 <= end <= len(buf) and buf[end - 4 : end] == STOP:
+                yield base + at, bytes(buf[at:end]), fields, split + 4 - at, None
+            else:
+                new = buf.find(STOP + b"WARC/", at)
+                end = new + 4 if new >= 0 else len(buf)
+                if new < 0 and not last:
+                    need = len(buf) - at + PIECE
+                    break
+                yield base + at, bytes(buf[at:end]), {}, 0, None
+            at = end
+        buf, base = buf[at:], base + at
+
+    need, member = 0, False
+    for part in parts:
+        if part is None:
+            member = True
+            continue
+        if member and part:
+            if isinstance(part, bytes) and part.startswith(b"WARC/"):
+                yield from cut(True)
+                need = 0
+            member = False
+        if isinstance(part, tuple):
+            yield from cut(True)
+            need = 0
+            yield base, b"", {}, 0, part
             continue
-        at = data.find(b"\x1f\x8b\x08", 1)
-        data = data[at:] if at > 0 else b""
-    return b"".join(out)
-
-
-def cut_records(data: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes], int]]:
-    """(start, end, header fields, start of the payload); a range that is no record has no fields."""
-    at = 0
-    while at < len(data):
-        split = data.find(STOP, at)
-        lines = data[at : split if split >= 0 else at].split(b"\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
-        size = fields.get(b"content-length", b"")
-        end = split + 4 + int(size) + 4 if size.isdigit() and len(size) < 13 else -1
-        if lines[0].startswith(b"WARC/") and 0 <= end <= len(data) and data[end - 4 : end] == STOP:
-            yield at, end, fields, split + 4
-        else:
-            new = data.find(STOP + b"WARC/", at)
-            end = new + 4 if new >= 0 else len(data)
-            yield at, end, {}, at
-        at = end
+        buf += part
+        if len(buf) >= need:
+            need = 0
+            yield from cut(False)
+    yield from cut(True)
 
 
 RECORD = pa.schema([(c, t) for c, t in zip(("path", "seq", "offset", "length", "url", "record_id", "sha256", "before", "headers", "payload"), (pa.string(), *[pa.int64()] * 3, *[pa.string()] * 5, pa.binary()), strict=True)])
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def records_of(name: str, read: Read) -> Iterator[pa.RecordBatch]:
+    out, before, size = [], "", 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RECORD, strict=True)], schema=RECORD)
+    for seq, (at, data, fields, body, lost) in enumerate(cut_records(unpacked(read, name.endswith(".gz")))):
+        said = {k: fields[k].decode(errors="replace") if k in fields else None for k in (b"warc-target-uri", b"warc-record-id")}
+        head = f"damaged gzip bytes {lost[0]}-{lost[1]}" if lost else data[: max(0, body - 4)].decode(errors="replace")
+        sha = hashlib.sha256(head.encode() if lost else data).hexdigest()
+        out.append((name, seq, at, len(data), *said.values(), sha, before, head, data[body:-4] if fields else data))
+        before, size = sha, size + len(data)
+        if len(out) >= 500 or size >= BATCH_BYTES:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
+def read_warc(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
     """path, seq, offset, length, url, record_id, sha256 of the whole range, before (that of the range before), headers, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, packed in zip(b.column("path"), b.column("content"), strict=True):
-                name, data, out, before = name.as_py(), unpacked(packed.as_py()), [], ""
-                for seq, (a, z, fields, body) in enumerate(cut_records(data)):
-                    said = {k: fields[k].decode(errors="replace") if k in fields else None for k in (b"warc-target-uri", b"warc-record-id")}
-                    sha = hashlib.sha256(data[a:z]).hexdigest()
-                    out.append((name, seq, a, z - a, *said.values(), sha, before, data[a : max(a, body - 4)].decode(errors="replace"), data[body : z - 4] if fields else data[a:z]))
-                    before = sha
-                    if len(out) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RECORD, strict=True)], schema=RECORD)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), RECORD, strict=True)], schema=RECORD)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, seq long, offset long, length long, url string, record_id string, sha256 string, before string, headers string, payload binary")
+                yield from records_of(name.as_py(), io.BytesIO(packed.as_py()).read)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column("path").to_pylist():
+                files, at = fs.FileSystem.from_uri(name)
+                with files.open_input_stream(at, compression=None) as f:
+                    yield from records_of(name, f.read)
+
+    schema = "path string, seq long, offset long, length long, url string, record_id string, sha256 string, before string, headers string, payload binary"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small, large = files.filter(F.col("length") < whole), files.filter(F.col("length") >= whole)
+    out = small.select("path", "content").mapInArrow(run, schema)
+    if large.select("path").isEmpty():
+        return out
+    return out.union(large.select("path").mapInArrow(stream, schema))
 
 
 def ranges(records: DataFrame) -> DataFrame:
@@ -255,7 +365,7 @@ ORACLE = r"""
 WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1000) AS BIGINT)) AS files FROM pages), e AS (SELECT chr(13) || chr(10) AS e),
 p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(page_id::VARCHAR || ' ' || coalesce(url, '')) AS m FROM pages),
 r AS (SELECT page_id, url, ('0x' || m[1:8])::BIGINT % files AS file, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' || e
-  || 'WARC-Date: 2024-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || url || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(html)::VARCHAR || e || e || html AS r FROM p, e, n),
+  || 'WARC-Date: 2024-01-01T00:00:00Z' || e || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(html)::VARCHAR || e || e || html AS r FROM p, e, n),
 h AS (SELECT page_id, url, file, r, sha256(r || e || e) AS sha256, strlen(r || e || e)::BIGINT AS length FROM r, e),
 ours AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM h WINDOW w AS (PARTITION BY file ORDER BY page_id, url, sha256)),
 k AS (SELECT *, CASE WHEN file % 8 = 0 THEN seq % 97 ELSE seq % 97 % 60 END AS k FROM ours),

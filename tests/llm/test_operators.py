@@ -94,10 +94,32 @@ def test_null_and_repeated_ids(spark, tmp_path, monkeypatch, top):
     got = decontaminate.op3_winnowing(spark, d).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert known(got) == known(brute.leaks(list(dict.fromkeys(docs)), items)) and {r.n_items for r in got} >= {1, 2}
     for name, query in registry.queries().items():
-        if name not in ("op2_blocks", "op3_winnowing", "op4_packing", "op7_suffixes", "op8_merkle_audit"):
+        if name not in ("op2_blocks", "op3_winnowing", "op4_packing", "op7_suffixes", "op8_merkle_audit", "op11_divergence"):
             assert query(spark, d).count() == len(docs)
 
 
+@pytest.mark.parametrize("top", [0, 2**61])
+def test_op2_thousands_of_texts_under_one_id(spark, tmp_path, top):
+    """Copies of earlier texts and texts that nothing repeats, all under one doc_id: only the copies lose words."""
+    rng = np.random.default_rng(2)
+    own = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 10**9, 14))
+    source = [own(k) for k in range(60)]
+    docs = [(top + k, t, None, None, None) for k, t in enumerate(source)]
+    docs += [(top + 100, t if k % 2 else own(k), None, None, None) for k, t in enumerate(source * 50)]
+    docs += [(top + 200, source[0], None, None, None), (top + 100, source[1], None, None, None)]
+    got = blocks.op2_blocks(spark, brute.write(tmp_path, docs, [], [])).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert known(got) == known(brute.blocks(docs)) and sum(r.n_removed > 0 for r in got) > 1000
+
+
+def test_op4_joins_what_fits_at_any_size(spark):
+    """Few bins that fit together among many that fit with nothing, in as many partitions as there are: all pairs are found."""
+    sizes = [1000] * 3000 + [600] * 55 + [420] * 55
+    items = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(7)
+    for level_bins in (20_000, 300):
+        got = packing.pack(common.stored(items, "items"), level_bins=level_bins).collect()
+        assert len({r.sequence_id for r in got}) == 3055 and len(got) == 3110
+
+
 def test_op4(spark, hard):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -266,6 +288,65 @@ def test_op7(spark, hard, monkeypatch):
     assert rows(suffixes.op7_suffixes(spark, d), *cols) == want
 
 
+def pages_of(spark, n, size=200):
+    rng = np.random.default_rng(7)
+    rows = [(k, f"https://h.org/{k}", "".join(map(chr, rng.integers(97, 123, size)))) for k in range(n)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def told(rows):
+    return [(r.url, r.sha256) for r in rows if r.record_id]
+
+
+def test_op8_one_damaged_packed_byte(spark, tmp_path):
+    """A flipped bit in a file of many members, and in one of a single member, touches its own record or what follows in its member."""
+    import gzip
+
+    warc.write_warc(pages_of(spark, 60), str(tmp_path / "w"), 1)
+    whole = warc.read_warc(spark, str(tmp_path / "w")).orderBy("seq").collect()
+    records = [r.headers.encode() + warc.STOP + r.payload + warc.STOP for r in whole]
+    many = [gzip.compress(r) for r in records]
+    rng = np.random.default_rng(1)
+    for case in range(12):
+        d = tmp_path / f"m{case}"
+        d.mkdir()
+        hit = int(rng.integers(0, 60))
+        bad = bytearray(many[hit])
+        bad[int(rng.integers(0, len(bad)))] ^= 1 << int(rng.integers(0, 8))
+        (d / "x.warc.gz").write_bytes(b"".join([*many[:hit], bytes(bad), *many[hit + 1 :]]))
+        back = warc.read_warc(spark, str(d)).orderBy("seq").collect()
+        want = [(r.url, r.sha256) for r in whole]
+        assert [x for x in told(back) if x in want] in (want, want[:hit] + want[hit + 1 :]), case
+    single = gzip.compress(b"".join(records))
+    for at in (40, len(single) // 2, len(single) - 3):
+        d = tmp_path / f"s{at}"
+        d.mkdir()
+        (d / "x.warc.gz").write_bytes(single[:at] + bytes([single[at] ^ 16]) + single[at + 1 :])
+        back = warc.read_warc(spark, str(d)).orderBy("seq").collect()
+        same = [x for x in told(back) if x in told(whole)]
+        n = max(0, 60 * at // len(single) - 3)  # what lies before the fault, and of the rest what doesn't depend on it
+        assert same[:n] == told(whole)[:n] and set(same) <= set(told(whole)), at
+    d = tmp_path / "cut"
+    d.mkdir()
+    (d / "x.warc.gz").write_bytes(b"".join(many[:30]) + many[30][:50])
+    back = warc.read_warc(spark, str(d)).orderBy("seq").collect()
+    assert told(back)[:30] == told(whole)[:30] and [r.length for r in back if not r.record_id][-1] == 0
+
+
+def test_op8_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    """What Spark doesn't give whole is read in pieces, with the same rows."""
+    monkeypatch.setattr(warc, "PIECE", 700)
+    pages = pages_of(spark, 300, 900).union(spark.createDataFrame([(10**6, "https://h.org/a\r\n\r\nWARC/1.0 b", "x\r\n\r\nWARC/1.0\r\n")], "page_id long, url string, html string"))
+    warc.write_warc(pages, str(tmp_path / "w"), 2)
+    cols = ("seq", "offset", "length", "url", "record_id", "sha256", "before", "payload")
+    small = sorted(warc.read_warc(spark, str(tmp_path / "w")).select(*cols).collect())
+    assert sorted(warc.read_warc(spark, str(tmp_path / "w"), whole=1).select(*cols).collect()) == small and len(small) == 301
+    assert [r.url for r in small if r.url.endswith("b")] == ["https://h.org/a%0D%0A%0D%0AWARC/1.0 b"]
+    data = b"".join(bytes(r.payload) for r in small)
+    pieces = [data[k : k + 3] for k in range(0, len(data), 3)]
+    assert [x[1] for x in warc.cut_records(pieces)] == [x[1] for x in warc.cut_records([data])]
+
+
 def test_op8_finds_all_damage_and_warc_round_trip(spark, hard, tmp_path):
     d = hard[3]
     got = warc.op8_merkle_audit(spark, d)
