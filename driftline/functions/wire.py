@@ -20,34 +20,36 @@ def encode(kind: str = "event") -> Column:
 
 
 def decode(messages: DataFrame, value: str = "value", kind: str = "event") -> DataFrame:
-    """Adds the typed fields and `error`: NULL, or what is wrong with the message (fields are NULL then). Numbers may be
-    JSON strings; times without an offset are UTC; unknown fields are ignored; a null required field is an error."""
+    """Adds the typed fields and `error`: NULL, or what is wrong with the message (fields are NULL then). A message is parsed once.
+    Numbers may be JSON strings; times without an offset are UTC; unknown fields are ignored; a null required field is an error."""
     fields = EVENT_FIELDS if kind == "event" else ANOMALY_FIELDS
     text = F.col(value) if dict(messages.dtypes)[value] == "string" else F.make_valid_utf8(F.col(value).cast("string"))
-    raw = ", ".join(f"{c} string" for c in ("schema_version", *fields, *OPTIONAL[kind]))
-    m = messages.withColumn("_s", text).withColumn("_keys", F.when(F.try_parse_json("_s").isNotNull(), F.json_object_keys("_s"))).withColumn("_j", F.from_json("_s", raw))
-    j = F.col("_j")
-
-    def typed(c: str, t: str) -> Column:
-        if t == "timestamp":
-            return F.try_to_timestamp(j[c])
-        if t in ("int", "bigint"):
-            # through double only what isn't written as a whole number: doubles hold integers up to 2^53
-            whole = F.when(F.trim(j[c]).rlike("^[+-]?[0-9]+$"), j[c].try_cast("bigint"))
-            return F.coalesce(whole, j[c].try_cast("double").try_cast("bigint")).try_cast(t)
-        return j[c].try_cast(t)
+    v, r = F.col("_v"), lambda c: F.col(f"_r_{c}")
+    names = ("schema_version", *fields, *OPTIONAL[kind])
 
-    names = {c: F.lit(c) for c in fields}
-    absent = F.filter(F.array(*names.values()), lambda x: ~F.array_contains("_keys", x))
-    wrong = F.filter(F.array(*(F.when(typed(c, t).isNull(), F.lit(c)) for c, t in fields.items())), lambda x: x.isNotNull())
+    def typed(c: str, kind: str) -> Column:
+        if kind == "timestamp":
+            return F.try_to_timestamp(r(c))
+        if kind in ("int", "bigint"):
+            # through double only what isn't written as a whole number: doubles hold integers up to 2^53
+            whole = F.when(F.trim(r(c)).rlike("^[+-]?[0-9]+$"), r(c).try_cast("bigint"))
+            return F.coalesce(whole, r(c).try_cast("double").try_cast("bigint")).try_cast(kind)
+        return r(c).try_cast(kind)
+
+    # inline() of one row keeps each step's values from being written out again in the next one's expressions
+    one = lambda *cols: F.inline(F.array(F.struct(*cols)))
+    m = messages.withColumn("_s", text).withColumn("_v", F.when(F.ltrim("_s").startswith("{"), F.try_parse_json("_s")))
+    absent = F.array_compact(F.array(*(F.when(F.try_variant_get(v, f"$.{c}", "variant").isNull(), F.lit(c)) for c in fields)))
+    m = m.select(*messages.columns, one(v.isNotNull().alias("_json"), absent.alias("_absent"), *(F.try_variant_get(v, f"$.{c}", "string").alias(f"_r_{c}") for c in names)))
+    m = m.select(*messages.columns, "_json", "_absent", *(f"_r_{c}" for c in ("schema_version", *OPTIONAL[kind])), one(*(typed(c, k).alias(f"_t_{c}") for c, k in fields.items())))
+    wrong = F.array_compact(F.array(*(F.when(F.col(f"_t_{c}").isNull(), F.lit(c)) for c in fields)))
     error = (
-        F.when(F.col("_keys").isNull(), "invalid json").when(~F.coalesce(j["schema_version"].try_cast("int") == VERSION, F.lit(False)), "unsupported schema_version")
-        .when(F.size(absent) > 0, F.concat(F.lit("missing field: "), F.array_join(absent, ","))).when(F.size(wrong) > 0, F.concat(F.lit("invalid field: "), F.array_join(wrong, ",")))
+        F.when(~F.col("_json"), "invalid json").when(~F.coalesce(r("schema_version").try_cast("int") == VERSION, F.lit(False)), "unsupported schema_version")
+        .when(F.size("_absent") > 0, F.concat(F.lit("missing field: "), F.array_join("_absent", ","))).when(F.size(wrong) > 0, F.concat(F.lit("invalid field: "), F.array_join(wrong, ",")))
     )
-    m = m.withColumn("error", error)
     good = F.col("error").isNull()
-    out = [F.when(good, typed(c, t)).alias(c) for c, t in fields.items()] + [F.when(good, j[c]).alias(c) for c in OPTIONAL[kind]]
-    return m.select(*messages.columns, "error", *out)
+    out = [F.when(good, F.col(f"_t_{c}")).alias(c) for c in fields] + [F.when(good, r(c)).alias(c) for c in OPTIONAL[kind]]
+    return m.withColumn("error", error).select(*messages.columns, "error", *out)
 
 
 def listed(c: str) -> Column:
