@@ -219,10 +219,16 @@ def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[i
         lists = few_of.groupBy("band", "value").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("l"))  # hot at most
         small = lists.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(x.id as u, y.id as v))))")).alias("p")).select("p.*").distinct()
         links = add(small)
-        open_ = open_.filter(F.col("m") > hot)
-        if open_.isEmpty():
-            return components(links, "minhash-roots")
-    open_ = mixed(open_.select(*met.columns), heads(links))
+        crowd = met.filter(F.col("m") > hot)
+        roots = components(links, "minhash-roots")
+        if crowd.isEmpty() or (open_ := mixed(crowd, roots)).isEmpty():
+            return roots
+    # those outside a bucket's largest component meet a few of its classes first
+    pick = F.xxhash64("id")
+    picks = open_.filter("root = most").groupBy("band", "value").agg(F.array_distinct(F.array(F.min_by("id", pick), F.max_by("id", pick), F.min("id"), F.max("id"))).alias("pick"))
+    some = open_.filter("root <> most").join(picks, ["band", "value"]).select("id", F.explode("pick").alias("pick"))
+    links = add(some.select(F.least("id", "pick").alias("u"), F.greatest("id", "pick").alias("v")).distinct())
+    open_ = mixed(open_.select(*met.columns), components(links, "minhash-roots"))
     outside = open_.filter("root <> most").select("band", "value", F.col("id").alias("o"), F.col("root").alias("r"), "most")
     other = open_.select("band", "value", F.col("id").alias("w"), F.col("root").alias("wr"))
     # of two outside the largest component, the lesser meets the greater
