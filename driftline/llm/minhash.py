@@ -10,7 +10,7 @@ Documents with equal sets are one class, told by 128 bits of the set's digest. W
    below MISS. Most pairs go after the first batch.
 3. Survivors are verified on their complete sets.
 
-All pairs of a bucket would grow with its square. Each class is first held against its bucket's least one, which settles
+All pairs of a bucket would grow with its square. Each class is first held against four of its bucket, which settles
 buckets that are groups of near copies. Where a bucket's classes are in several components after that, pairs across them follow:
 all of them in buckets of at most HOT classes; larger ones are taken apart by the next level's longer bands (LEVELS),
 computed from the texts of their classes, again with a miss of about 1e-7. Buckets that are larger at the last level too meet
@@ -177,12 +177,22 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, similar: tup
 
 
 def buckets(bands: DataFrame) -> DataFrame:
-    """Stored: (band, value, id, lead, m) of all buckets with m > 1 classes, lead the least of them. bands: stored (id, bands)."""
+    """Stored: (band, value, id, lead, m) of all buckets with m > 1 classes; lead: four of them, by number and by hash. bands:
+    stored (id, bands)."""
     each = bands.select("id", F.posexplode("bands").alias("band", "value"))
-    sizes = each.groupBy("band", "value").agg(F.count("*").alias("m"), F.min("id").alias("lead")).filter("m > 1")
+    by = F.xxhash64("id")
+    four = F.array_distinct(F.array(F.min("id"), F.max("id"), F.min_by("id", by), F.max_by("id", by)))
+    sizes = each.groupBy("band", "value").agg(F.count("*").alias("m"), four.alias("lead")).filter("m > 1")
     return stored(each.join(guarded(stored(sizes, "minhash-sizes")), ["band", "value"]).select("band", "value", "id", "lead", "m"), "minhash-buckets")
 
 
+def led(met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each class with the leaders of its buckets; most of a class' buckets have the same ones."""
+    own = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("lead"))).alias("lead"))  # four for each band at most
+    each = own.select("id", F.explode("lead").alias("lead")).filter("id <> lead")
+    return each.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
+
+
 def mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
     """Stored: those buckets that have classes of several components, with root and most, the component with most of them."""
     held = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -191,14 +201,6 @@ def mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(held.join(several.drop("k"), ["band", "value"]), "minhash-mixed")
 
 
-def heads(links: DataFrame) -> DataFrame:
-    """Stored: (node, root), a linked class of the same component that is less: the least one linked to it, or that one's. Classes
-    of one root are of one component; a component may still have several roots."""
-    least = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
-    up = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return stored(least.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "minhash-heads")
-
-
 def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(node, root) of linked classes. classes: stored (id, rep, digest, n, sign, bands), none empty."""
     bands, links = classes.select("id", "bands"), None
@@ -212,23 +214,15 @@ def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[i
             some = stored(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "rep", "digest"), "minhash-open")
             bands = stored(longer_bands(docs, some, level), "minhash-longer")
         met = buckets(bands)
-        pairs = met.filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-        links = add(pairs if links is None else pairs.join(links, ["u", "v"], "left_anti"))
-        open_ = mixed(met.filter("m > 2"), heads(links))
-        few_of = open_.filter((F.col("m") <= hot) & (F.col("id") != F.col("lead")))
+        links = add(led(met) if links is None else led(met).join(links, ["u", "v"], "left_anti"))
+        open_ = mixed(met.filter("m > 2"), components(links, "minhash-roots"))
+        few_of = open_.filter((F.col("m") <= hot) & ~F.array_contains("lead", F.col("id")))
         lists = few_of.groupBy("band", "value").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("l"))  # hot at most
         small = lists.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(x.id as u, y.id as v))))")).alias("p")).select("p.*").distinct()
         links = add(small)
-        crowd = met.filter(F.col("m") > hot)
-        roots = components(links, "minhash-roots")
-        if crowd.isEmpty() or (open_ := mixed(crowd, roots)).isEmpty():
-            return roots
-    # those outside a bucket's largest component meet a few of its classes first
-    pick = F.xxhash64("id")
-    picks = open_.filter("root = most").groupBy("band", "value").agg(F.array_distinct(F.array(F.min_by("id", pick), F.max_by("id", pick), F.min("id"), F.max("id"))).alias("pick"))
-    some = open_.filter("root <> most").join(picks, ["band", "value"]).select("id", F.explode("pick").alias("pick"))
-    links = add(some.select(F.least("id", "pick").alias("u"), F.greatest("id", "pick").alias("v")).distinct())
-    open_ = mixed(open_.select(*met.columns), components(links, "minhash-roots"))
+        open_ = open_.filter(F.col("m") > hot)
+        if open_.isEmpty():
+            return components(links, "minhash-roots")
     outside = open_.filter("root <> most").select("band", "value", F.col("id").alias("o"), F.col("root").alias("r"), "most")
     other = open_.select("band", "value", F.col("id").alias("w"), F.col("root").alias("wr"))
     # of two outside the largest component, the lesser meets the greater
