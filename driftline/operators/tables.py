@@ -36,6 +36,11 @@ def actions_of(log: DataFrame, hypothesis_id: str) -> DataFrame:
     return log.filter(F.col("hypothesis_id") == hypothesis_id).orderBy("triggered_at", "resolved_at", "id")
 
 
+def audit(log: DataFrame) -> DataFrame:
+    """All rows of all hypotheses' actions, by hypothesis and there as actions_of has them."""
+    return log.orderBy("hypothesis_id", "triggered_at", "resolved_at", "id")
+
+
 def append_new(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """The rows of new whose key isn't in old."""
     return new.dropDuplicates([key]).join(old.select(key), key, "left_anti")

@@ -445,13 +445,10 @@ def snk11_resolved_actions(s, d):
     return tables.current_actions(resolved_log(s, d)).select("id", "hypothesis_id", "outcome", us("resolved_at")).fillna(-1, ["resolved_at"])
 
 
-@query(o.q(o.FULL, """, pick AS (SELECT min(hypothesis_id) AS h FROM ac WHERE severity = 'medium')
-SELECT hypothesis_id, target_stage_id AS stage_id, action, 'pending' AS outcome FROM ac, pick WHERE hypothesis_id = h UNION ALL SELECT hypothesis_id, target_stage_id, action, 'success' FROM ac, pick WHERE hypothesis_id = h"""))
+@query(o.q(o.FULL, "SELECT hypothesis_id, target_stage_id AS stage_id, action, 'pending' AS outcome FROM de UNION ALL SELECT hypothesis_id, target_stage_id, action, 'success' FROM de WHERE severity = 'medium'"))
 def h3_audit_by_hypothesis(s, d):
-    """The audit log's rows of one hypothesis, oldest first."""
-    log = resolved_log(s, d)
-    one = log.filter("severity = 'medium'").agg(F.min("hypothesis_id")).first()[0]
-    return tables.actions_of(log, one or "").select("hypothesis_id", "stage_id", "action", "outcome")
+    """The audit log's rows of every hypothesis, each one's oldest first."""
+    return tables.audit(resolved_log(s, d)).select("hypothesis_id", "stage_id", "action", "outcome")
 
 
 @query(o.q(o.FULL, "SELECT hypothesis_id, 'unknown' AS target_stage_id, NULL::VARCHAR AS fault_type, 'low' AS severity, 'page_operator' AS action, 'fallback:no_candidates' AS rule_matched FROM hy"))

@@ -29,3 +29,11 @@ def test_entry(spark):
 
     assert len(e.entry(spark).columns) == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_audit_lists_every_hypothesis(spark):
+    got = Q["h3_audit_by_hypothesis"](spark, SMALL).collect()
+    every = {r.hypothesis_id for r in Q["h1_healing_decisions"](spark, SMALL).collect()}
+    assert len(every) > 1 and {r.hypothesis_id for r in got} == every
+    assert [r.hypothesis_id for r in got] == sorted(r.hypothesis_id for r in got)
+    assert all(b.outcome == "success" for a, b in zip(got, got[1:], strict=False) if a.hypothesis_id == b.hypothesis_id)
