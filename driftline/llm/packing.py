@@ -138,9 +138,10 @@ def pack(items: DataFrame, length: int = LENGTH, full: float = FULL, level_bins:
         last = parts == 1
 
         def run(batches: Iterator[pa.RecordBatch], last: bool = last) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(batches)
-            if not t.num_rows:
+            got = [b for b in batches if b.num_rows]
+            if not got:  # a partition without rows may come without batches
                 return
+            t = pa.Table.from_batches(got)
             used, members = t.column("used").to_numpy(), t.column("members").combine_chunks()
             members = members.combine_chunks() if isinstance(members, pa.ChunkedArray) else members
             first, flat = members.offsets.to_numpy(), members.values

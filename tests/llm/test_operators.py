@@ -186,6 +186,13 @@ def test_sizes_that_do_not_fit_end_the_tree(spark):
     assert got.count() == 900 and got.select("sequence_id").distinct().count() == 900
 
 
+def test_packing_with_empty_partitions(spark):
+    """More partitions than bins, so that some get no batch."""
+    row = "id as doc_id", "0 as piece", "0L as start", "300L as length", "0L as ids_crc32"
+    got = packing.pack(common.stored(spark.range(12).selectExpr(*row).coalesce(1), "items"), level_bins=1).collect()
+    assert sorted(r.doc_id for r in got) == list(range(12)) and len({(r.sequence_id, r.offset) for r in got}) == 12
+
+
 def test_packing_levels(spark):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 900, 4000)
