@@ -8,30 +8,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.operators.stored import kept
+from driftline.operators.stored import fits_broadcast, kept
 
 
 def edges(stages: DataFrame) -> DataFrame:
     return stages.select(F.explode("upstream_ids").alias("src"), F.col("stage_id").alias("dst"), F.col("propagation_delay_ms").alias("delay_ms"))
 
 
-def closure(stages: DataFrame) -> DataFrame:
-    """(descendant, ancestor, hops, delay_ms): least hops and least summed delay, each over all paths. Rounds of minima: only pairs
-    that the last round found or bettered are carried one edge further, and of all paths of a pair its minima go on, so the work
-    grows with pairs and not with paths. Cycles end too, as long as delays aren't negative."""
-    e = kept(edges(stages).groupBy("src", "dst").agg(F.min("delay_ms").alias("d")), "graph-edges")
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of stages or pairs of stages, with a broadcast hint if its rows are few enough."""
+    return F.broadcast(table) if fits_broadcast(table, 64, 128 << 20) else table
+
+
+def stored_graph(stages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stages, a row each with its upstreams, and (feeder): the stages that feed others."""
+    g = kept(stages, "graph-stages")
+    return g, kept(edges(g).select(F.col("src").alias("feeder")).distinct(), "graph-feeders")
+
+
+def pairs(e: DataFrame) -> DataFrame:
+    """(descendant, ancestor, hops, delay_ms) of edges, stored. Rounds of minima: only pairs that the last round found or bettered
+    are carried one edge further, and of all paths of a pair its minima go on, so the work grows with pairs and not with
+    paths. Cycles end too, as long as delays aren't negative."""
+    e = kept(e.groupBy("src", "dst").agg(F.min("delay_ms").alias("d")), "graph-edges")
     known = front = kept(e.select(F.col("dst").alias("descendant"), F.col("src").alias("ancestor"), F.lit(1).alias("hops"), F.col("d").alias("delay_ms"), F.lit(True).alias("new")), "graph-pairs")
     while not front.isEmpty():
         met = front.join(e, front.ancestor == e.dst).select("descendant", F.col("src").alias("ancestor"), (F.col("hops") + 1).alias("hops"), (F.col("delay_ms") + F.col("d")).alias("delay_ms"), F.lit(True).alias("new"))
-        both = known.withColumn("new", F.lit(False)).unionByName(met).groupBy("descendant", "ancestor").agg(
-            F.min("hops").alias("hops"), F.min("delay_ms").alias("delay_ms"), F.min(F.when(~F.col("new"), F.col("hops"))).alias("h"), F.min(F.when(~F.col("new"), F.col("delay_ms"))).alias("l"),
-        )
-        better = F.col("h").isNull() | (F.col("hops") < F.col("h")) | (F.col("delay_ms") < F.col("l"))
-        known = kept(both.select("descendant", "ancestor", "hops", "delay_ms", better.alias("new")), "graph-pairs")
+        known = kept(bettered(known, met, "descendant", "ancestor"), "graph-pairs")
         front = known.filter("new")
     return known.select("descendant", "ancestor", "hops", "delay_ms")
 
 
+def bettered(known: DataFrame, met: DataFrame, *key: str) -> DataFrame:
+    """The minima of what is known and what a round met; new: the round found or bettered them."""
+    both = known.withColumn("new", F.lit(False)).unionByName(met).groupBy(*key).agg(
+        F.min("hops").alias("hops"), F.min("delay_ms").alias("delay_ms"), F.min(F.when(~F.col("new"), F.col("hops"))).alias("h"), F.min(F.when(~F.col("new"), F.col("delay_ms"))).alias("l"),
+    )
+    better = F.col("h").isNull() | (F.col("hops") < F.col("h")) | (F.col("delay_ms") < F.col("l"))
+    return both.select(*key, "hops", "delay_ms", better.alias("new"))
+
+
+def closure(stages: DataFrame) -> DataFrame:
+    """(descendant, ancestor, hops, delay_ms): least hops and least summed delay, each over all paths. Rounds run only over edges
+    between stages that feed others. Every path to a stage that feeds none is one of theirs, or none, and a last edge, so
+    those stages, mostly the bulk of a graph, are met once and shuffled once, each with its upstreams in one row."""
+    g, feeders = stored_graph(stages.select("stage_id", "upstream_ids", "propagation_delay_ms"))
+    feeds = small(feeders)
+    known = pairs(edges(g.join(feeds, F.col("stage_id") == F.col("feeder"), "left_semi")))
+    own = feeders.select(F.col("feeder").alias("by"), F.col("feeder").alias("ancestor"), F.lit(0).alias("h"), F.lit(0.0).alias("l"))
+    reach = kept(known.toDF("by", "ancestor", "h", "l").union(own), "graph-reach")
+    ends = edges(g.join(feeds, F.col("stage_id") == F.col("feeder"), "left_anti").repartition("stage_id"))
+    met = ends.join(small(reach), F.col("src").eqNullSafe(F.col("by"))).select(F.col("dst").alias("descendant"), "ancestor", (F.col("h") + 1).alias("hops"), (F.col("l") + F.col("delay_ms")).alias("delay_ms"))
+    return known.union(met.groupBy("descendant", "ancestor").agg(F.min("hops").alias("hops"), F.min("delay_ms").alias("delay_ms")))
+
+
 def with_self(stages: DataFrame) -> DataFrame:
     own = stages.select(F.col("stage_id").alias("descendant"), F.col("stage_id").alias("ancestor"), F.lit(0).alias("hops"), F.lit(None).cast("double").alias("delay_ms"))
     return closure(stages).unionByName(own)

@@ -119,7 +119,8 @@ def market(s: SparkSession, d: str, trade: bool = True) -> DataFrame:
     out = out.union(t("nation").select(*row(name("n", "n_nationkey"), "transform", F.array(name("r", "n_regionkey")), F.col("n_nationkey"))))
     if trade:
         out = out.union(t("supplier").select(*row(name("s", "s_suppkey"), "transform", F.array(name("n", "s_nationkey")), F.col("s_suppkey") % 50)))
-        met = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_set(name("s", "l_suppkey"))).alias("up"))
+        bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), "l_suppkey").repartition("c").distinct()
+        met = bought.groupBy("c").agg(F.array_sort(F.collect_list(name("s", "l_suppkey"))).alias("up"))
         c = t("customer").join(met, F.col("c_custkey") == F.col("c"), "left")
         up = F.concat(F.array(name("n", "c_nationkey")), F.coalesce("up", none))
     else:

@@ -213,6 +213,30 @@ def test_closure_of_short_and_cheap_paths(spark):
     assert {tuple(r) for r in topology.problems(st).collect()} == {("c", "on a cycle"), ("d", "on a cycle")}
 
 
+def stored_rows(monkeypatch) -> list[int]:
+    """The rows of each table that topology stores from now on."""
+    rows, keep = [], topology.kept
+
+    def kept(df, name):
+        out = keep(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(topology, "kept", kept)
+    return rows
+
+
+FAN = [("a", "source", [], 0.0), ("b", "transform", ["a"], 1.0), ("c", "transform", ["b"], 2.0), *((f"k{i}", "sink", ["b", "c"], 3.0) for i in range(400))]
+FAN_ROWS = 900  # the stages and what few of them feed others; all pairs are 1603
+
+
+def test_closure_stores_no_pairs_of_ends(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    got = {(r.descendant, r.ancestor): (r.hops, r.delay_ms) for r in topology.closure(config.stages(spark, FAN)).collect()}
+    assert len(got) == 3 + 3 * 400 and got["k7", "a"] == (2, 4.0) and got["k7", "b"] == (1, 3.0) and got["c", "a"] == (2, 3.0)
+    assert sum(rows) < FAN_ROWS
+
+
 def test_components_of_a_chain(spark):
     rows = [("p000", "source", [], 0.0), *((f"p{k:03d}", "transform", [f"p{k - 1:03d}"], 1.0) for k in range(1, 60)), ("q0", "source", [], 0.0), ("q1", "sink", ["q0"], 1.0)]
     got = {r.stage_id: r.component_id for r in topology.components(config.stages(spark, rows)).collect()}
