@@ -62,6 +62,21 @@ def closure(stages: DataFrame) -> DataFrame:
     return known.union(met.groupBy("descendant", "ancestor").agg(F.min("hops").alias("hops"), F.min("delay_ms").alias("delay_ms")))
 
 
+def walk(e: DataFrame, start: DataFrame, on: DataFrame | None = None) -> DataFrame:
+    """(node, hops, delay_ms): least hops and least summed delay of the nodes that edges (at, to, d) lead to from any of the start (at).
+    on (feeder): stored, the nodes with edges; others aren't followed."""
+    front, known = start.select("at", F.lit(0).alias("hops"), F.lit(0.0).alias("delay_ms")), None
+    while True:
+        met = e.join(small(front.toDF("at", "h", "l")), "at").select(F.col("to").alias("node"), (F.col("h") + 1).alias("hops"), (F.col("l") + F.col("d")).alias("delay_ms"), F.lit(True).alias("new"))
+        least = met.groupBy("node").agg(F.min("hops").alias("hops"), F.min("delay_ms").alias("delay_ms"), F.lit(True).alias("new")) if known is None else bettered(known, met, "node")
+        known = kept(least, "graph-walk")
+        front = known.filter("new").select("node", "hops", "delay_ms")
+        if on is not None:
+            front = kept(front.join(on, F.col("node") == F.col("feeder"), "left_semi"), "graph-front")
+        if front.isEmpty():
+            return known.select("node", "hops", "delay_ms")
+
+
 def with_self(stages: DataFrame) -> DataFrame:
     own = stages.select(F.col("stage_id").alias("descendant"), F.col("stage_id").alias("ancestor"), F.lit(0).alias("hops"), F.lit(None).cast("double").alias("delay_ms"))
     return closure(stages).unionByName(own)
@@ -99,15 +114,17 @@ def components(stages: DataFrame) -> DataFrame:
 
 def problems(stages: DataFrame) -> DataFrame:
     """(stage_id, problem) for what validate() would refuse, of a graph of any size."""
-    e = edges(stages)
-    known = stages.select("stage_id", F.col("stage_type").alias("type"))
-    none = e.join(known, e.src == known.stage_id, "left_anti").select(F.col("dst").alias("stage_id"), F.lit("unknown upstream").alias("problem"))
-    sinks = e.join(known.filter("type = 'sink'"), e.src == known.stage_id, "left_semi").select(F.col("src").alias("stage_id"), F.lit("sink has a downstream").alias("problem"))
-    alone = stages.filter("stage_type = 'transform' and size(upstream_ids) = 0").join(e, F.col("stage_id") == e.src, "left_anti").select("stage_id", F.lit("transform has no edge").alias("problem"))
-    up = closure(stages.withColumn("propagation_delay_ms", F.greatest("propagation_delay_ms", F.lit(0.0))))
-    rings = up.filter("descendant = ancestor").select(F.col("descendant").alias("stage_id"), F.lit("on a cycle").alias("problem"))
-    fed = up.join(known.filter("type = 'source'"), up.ancestor == known.stage_id, "left_semi").select(F.col("descendant").alias("stage_id"))
-    lost = known.filter("type in ('transform', 'sink')").join(fed, "stage_id", "left_anti").select("stage_id", F.lit("no source reaches it").alias("problem"))
+    stages, feeders = stored_graph(stages)
+    e, known = edges(stages), stages.select("stage_id", F.col("stage_type").alias("type"))
+    missing = kept(feeders.join(known, F.col("feeder") == F.col("stage_id"), "left_anti"), "graph-missing")
+    none = e.join(small(missing), F.col("src").eqNullSafe(F.col("feeder")), "left_semi").select(F.col("dst").alias("stage_id"), F.lit("unknown upstream").alias("problem"))
+    sinks = feeders.join(known.filter("type = 'sink'"), F.col("feeder") == F.col("stage_id"), "left_semi").select(F.col("feeder").alias("stage_id"), F.lit("sink has a downstream").alias("problem"))
+    alone = stages.filter("stage_type = 'transform' and size(upstream_ids) = 0").join(feeders, F.col("stage_id") == F.col("feeder"), "left_anti").select("stage_id", F.lit("transform has no edge").alias("problem"))
+    # a cycle's stages feed each other
+    inner = edges(stages.join(small(feeders), F.col("stage_id") == F.col("feeder"), "left_semi")).withColumn("delay_ms", F.greatest("delay_ms", F.lit(0.0)))
+    rings = pairs(inner).filter("descendant = ancestor").select(F.col("descendant").alias("stage_id"), F.lit("on a cycle").alias("problem"))
+    fed = walk(e.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0.0).alias("d")), known.filter("type = 'source'").select(F.col("stage_id").alias("at")), feeders)
+    lost = known.filter("type in ('transform', 'sink')").join(fed, F.col("stage_id") == F.col("node"), "left_anti").select("stage_id", F.lit("no source reaches it").alias("problem"))
     own = F.array(
         F.when(~F.col("stage_type").isin("source", "transform", "sink"), F.lit("unknown type")), F.when(F.col("propagation_delay_ms") < 0, F.lit("negative delay")),
         F.when((F.col("stage_type") == "source") & (F.size("upstream_ids") > 0), F.lit("source has an upstream")),

@@ -237,6 +237,14 @@ def test_closure_stores_no_pairs_of_ends(spark, monkeypatch):
     assert sum(rows) < FAN_ROWS
 
 
+def test_problems_store_no_pairs_of_ends(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    bad = [*FAN, ("p", "transform", ["q", "gone"], 1.0), ("q", "transform", ["p"], 1.0)]
+    got = {tuple(r) for r in topology.problems(config.stages(spark, bad)).collect()}
+    assert got == {("p", "on a cycle"), ("q", "on a cycle"), ("p", "unknown upstream"), ("p", "no source reaches it"), ("q", "no source reaches it")}
+    assert sum(rows) < FAN_ROWS + 800  # the walk from the sources stores each stage once
+
+
 def test_components_of_a_chain(spark):
     rows = [("p000", "source", [], 0.0), *((f"p{k:03d}", "transform", [f"p{k - 1:03d}"], 1.0) for k in range(1, 60)), ("q0", "source", [], 0.0), ("q1", "sink", ["q0"], 1.0)]
     got = {r.stage_id: r.component_id for r in topology.components(config.stages(spark, rows)).collect()}
