@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from driftline.operators.stored import fits_broadcast, kept
 
@@ -91,8 +90,9 @@ def descendants(stages: DataFrame, stage_id: str) -> DataFrame:
 
 
 def closest_ancestors(stages: DataFrame) -> DataFrame:
-    w = Window.partitionBy("descendant").orderBy("hops", "delay_ms", "ancestor")
-    return closure(stages).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+    """Always one of the stages one hop up, as every ancestor lies behind one of them."""
+    first = closure(stages).filter("hops = 1").groupBy("descendant").agg(F.min(F.struct("hops", "delay_ms", "ancestor")).alias("one"))
+    return first.select("descendant", "one.ancestor", "one.hops", "one.delay_ms")
 
 
 def components(stages: DataFrame) -> DataFrame:

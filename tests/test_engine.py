@@ -245,6 +245,12 @@ def test_problems_store_no_pairs_of_ends(spark, monkeypatch):
     assert sum(rows) < FAN_ROWS + 800  # the walk from the sources stores each stage once
 
 
+def test_closest_ancestors(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    got = {r.descendant: (r.ancestor, r.hops, r.delay_ms) for r in topology.closest_ancestors(config.stages(spark, FAN)).collect()}
+    assert got == {"b": ("a", 1, 1.0), "c": ("b", 1, 2.0)} | {f"k{i}": ("b", 1, 3.0) for i in range(400)} and sum(rows) < FAN_ROWS
+
+
 def test_components_of_a_chain(spark):
     rows = [("p000", "source", [], 0.0), *((f"p{k:03d}", "transform", [f"p{k - 1:03d}"], 1.0) for k in range(1, 60)), ("q0", "source", [], 0.0), ("q1", "sink", ["q0"], 1.0)]
     got = {r.stage_id: r.component_id for r in topology.components(config.stages(spark, rows)).collect()}
