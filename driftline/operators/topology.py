@@ -95,6 +95,13 @@ def closest_ancestors(stages: DataFrame) -> DataFrame:
     return first.select("descendant", "one.ancestor", "one.hops", "one.delay_ms")
 
 
+def reached(stages: DataFrame, kind: str) -> DataFrame:
+    """(stage_id, reached): how many stages each stage of a type reaches, if any."""
+    n = closure(stages).groupBy("ancestor").agg(F.count("*").alias("reached"))
+    some = stages.filter(F.col("stage_type") == kind).select("stage_id")
+    return n.join(some, n.ancestor == some.stage_id).select("stage_id", "reached")
+
+
 def components(stages: DataFrame) -> DataFrame:
     """(stage_id, component_id): weakly connected parts, named by their least stage. Each round takes the least name among a stage's
     neighbours and the stage that its name names, so names travel in leaps; names are joined, never collected."""

@@ -520,7 +520,7 @@ def g8_components(s, d):
 @query(o.q(CLOSURE, "SELECT n.stage_id, count(*) AS reached FROM cl JOIN ms n ON n.stage_id = cl.ancestor WHERE n.stage_type = 'transform' GROUP BY 1"))
 def u3_reachable_counts(s, d):
     """How many stages each transform reaches."""
-    return topology.closure(market(s, d)).join(market(s, d).filter("stage_type = 'transform'"), F.col("ancestor") == F.col("stage_id")).groupBy("stage_id").agg(F.count("*").alias("reached"))
+    return topology.reached(market(s, d), "transform")
 
 
 @query(o.q(o.MARKET, """SELECT stage_id, problem FROM (SELECT 'n' || n_nationkey AS stage_id, 'negative delay' AS problem FROM nation WHERE n_nationkey % 7 = 3 UNION ALL SELECT 's' || s_suppkey, 'unknown upstream' FROM supplier WHERE s_suppkey % 11 = 5 UNION ALL SELECT 'r' || r_regionkey, 'source has an upstream' FROM region WHERE r_regionkey = 2
