@@ -86,7 +86,10 @@ def ancestors(stages: DataFrame, stage_id: str) -> DataFrame:
 
 
 def descendants(stages: DataFrame, stage_id: str) -> DataFrame:
-    return closure(stages).filter(F.col("ancestor") == stage_id).orderBy("hops", "delay_ms", "descendant")
+    """What the closure has under one stage, walked from it alone."""
+    g, feeders = stored_graph(stages.select("stage_id", "upstream_ids", "propagation_delay_ms"))
+    found = walk(edges(g).toDF("at", "to", "d"), g.sparkSession.range(1).select(F.lit(stage_id).alias("at")), feeders)
+    return found.select(F.col("node").alias("descendant"), F.lit(stage_id).alias("ancestor"), "hops", "delay_ms").orderBy("hops", "delay_ms", "descendant")
 
 
 def closest_ancestors(stages: DataFrame) -> DataFrame:

@@ -257,6 +257,12 @@ def test_reached(spark, monkeypatch):
     assert {tuple(r) for r in topology.reached(st, "transform").collect()} == {("b", 401), ("c", 400)} and sum(rows) < FAN_ROWS
 
 
+def test_descendants_are_walked_from_one(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    got = topology.descendants(config.stages(spark, FAN), "c").collect()
+    assert {tuple(r) for r in got} == {(f"k{i}", "c", 1, 3.0) for i in range(400)} and sum(rows) < FAN_ROWS
+
+
 def test_components_of_a_chain(spark):
     rows = [("p000", "source", [], 0.0), *((f"p{k:03d}", "transform", [f"p{k - 1:03d}"], 1.0) for k in range(1, 60)), ("q0", "source", [], 0.0), ("q1", "sink", ["q0"], 1.0)]
     got = {r.stage_id: r.component_id for r in topology.components(config.stages(spark, rows)).collect()}
