@@ -82,7 +82,10 @@ def with_self(stages: DataFrame) -> DataFrame:
 
 
 def ancestors(stages: DataFrame, stage_id: str) -> DataFrame:
-    return closure(stages).filter(F.col("descendant") == stage_id).orderBy("hops", "delay_ms", "ancestor")
+    """One stage's rows of the closure, walked from it alone."""
+    g = kept(stages.select("stage_id", "upstream_ids", "propagation_delay_ms"), "graph-stages")
+    found = walk(edges(g).toDF("to", "at", "d"), g.sparkSession.range(1).select(F.lit(stage_id).alias("at")))
+    return found.select(F.lit(stage_id).alias("descendant"), F.col("node").alias("ancestor"), "hops", "delay_ms").orderBy("hops", "delay_ms", "ancestor")
 
 
 def descendants(stages: DataFrame, stage_id: str) -> DataFrame:

@@ -257,12 +257,41 @@ def test_reached(spark, monkeypatch):
     assert {tuple(r) for r in topology.reached(st, "transform").collect()} == {("b", 401), ("c", 400)} and sum(rows) < FAN_ROWS
 
 
+def test_ancestors_are_walked_from_one(spark, monkeypatch):
+    rows = stored_rows(monkeypatch)
+    got = [tuple(r) for r in topology.ancestors(config.stages(spark, FAN), "k7").collect()]
+    assert got == [("k7", "b", 1, 3.0), ("k7", "c", 1, 3.0), ("k7", "a", 2, 4.0)] and sum(rows) < 500
+
+
 def test_descendants_are_walked_from_one(spark, monkeypatch):
     rows = stored_rows(monkeypatch)
     got = topology.descendants(config.stages(spark, FAN), "c").collect()
     assert {tuple(r) for r in got} == {(f"k{i}", "c", 1, 3.0) for i in range(400)} and sum(rows) < FAN_ROWS
 
 
+def test_graph_of_rings_and_ends(spark):
+    """Random graphs with cycles against plain rounds over all pairs."""
+    rng = random.Random(5)
+    names = [f"x{k}" for k in range(14)]
+    rows = [("s", "source", [], 0.0), *((n, "transform", rng.sample([*names, "s"], rng.choice((0, 1, 1, 2))), float(rng.randrange(9))) for n in names)]
+    rows += [(f"k{i}", "sink", rng.sample(names, 3), float(rng.randrange(9))) for i in range(6)]
+    delay, best = {r[0]: r[3] for r in rows}, {}
+    edge = [(u, r[0]) for r in rows for u in r[2]]
+    for _ in range(2 * len(rows)):
+        for u, v in edge:
+            for (d, a), (h, l) in [((u, u), (0, 0.0)), *((k, x) for k, x in best.items() if k[0] == u)]:
+                old = best.get((v, a), (999, 999.0))
+                best[v, a] = (min(old[0], h + 1), min(old[1], l + delay[v]))
+                assert d == u
+    st = config.stages(spark, rows)
+    assert {(r.descendant, r.ancestor): (r.hops, r.delay_ms) for r in topology.closure(st).collect()} == best
+    assert {r.stage_id for r in topology.problems(st).filter("problem = 'on a cycle'").collect()} == {d for d, a in best if d == a} != set()
+    assert {r.stage_id for r in topology.problems(st).filter("problem = 'no source reaches it'").collect()} == {r[0] for r in rows[1:] if (r[0], "s") not in best}
+    for one in ("x3", "k2"):
+        assert {r.ancestor: (r.hops, r.delay_ms) for r in topology.ancestors(st, one).collect()} == {a: x for (d, a), x in best.items() if d == one}
+        assert {r.descendant: (r.hops, r.delay_ms) for r in topology.descendants(st, one).collect()} == {d: x for (d, a), x in best.items() if a == one}
+
+
 def test_components_of_a_chain(spark):
     rows = [("p000", "source", [], 0.0), *((f"p{k:03d}", "transform", [f"p{k - 1:03d}"], 1.0) for k in range(1, 60)), ("q0", "source", [], 0.0), ("q1", "sink", ["q0"], 1.0)]
     got = {r.stage_id: r.component_id for r in topology.components(config.stages(spark, rows)).collect()}
