@@ -12,9 +12,16 @@ Documents with equal sets are one class, told by 128 bits of the set's digest. W
 
 All pairs of a bucket would grow with its square. Each class is first held against four of its bucket, which settles
 buckets that are groups of near copies. Where a bucket's classes are in several components after that, pairs across them follow:
-all of them in buckets of at most HOT classes; larger ones are taken apart by the next level's longer bands (LEVELS),
-computed from the texts of their classes, again with a miss of about 1e-7. Buckets that are larger at the last level too meet
-in full, but for pairs that are in one component already, by a join whose crowded keys are split. So nothing is capped.
+all of them in buckets of at most HOT classes. For the classes of larger ones (the open classes) an exact filter on their full sets
+comes first. With the shingles of a set in one order, those of the fewest open classes first, the least that two similar
+sets share is among the first n // 5 + 1 of both. So a pair is found in one of two ways:
+
+* by a shingle of at most HOT open classes among those first ones;
+* or the two share no such shingle. Then all of a set's shingles that are so rare are missing in the other, and a class with more of them
+  than a fifth of its set is linked with nothing in this way. What is left, outside the bucket's largest component, meets
+  the classes of other components in the bucket, by a join that bounds the pair by both counts of rare shingles and by parity bitmaps.
+
+Only this last join compares pairs that grow with the square of a bucket, and only those that pass the bounds leave it. Nothing is capped.
 
 Shingles are compared by 64-bit hashes inside a pair or a document.
 
@@ -37,10 +44,11 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import few, guarded, mix, small_batches, stored, table, words_of
 from driftline.llm.components import components
+from driftline.llm.near_copies import LONGS, parity
 
 SHINGLE, SIMILAR = 4, (80, 100)
 #: Rows and bands of each level; the first level's values are the signature.
-LEVELS = ((5, 40), (10, 142))
+LEVELS = ((5, 40),)
 HOT, STEP, MISS = 16, 40, 1e-7
 SLICE = 1 << 10  # shingles that meet all hash functions at once
 
@@ -128,16 +136,16 @@ def texts_of(docs: DataFrame, some: DataFrame) -> DataFrame:
     return here.select("id", "text")
 
 
-def longer_bands(docs: DataFrame, some: DataFrame, level: int) -> DataFrame:
-    """(id, bands) of stored classes."""
+def open_sets(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(id, own, par) of stored classes: the set, and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = multipliers(level)
         for b in few(batches):
-            bands = [bands_of(least(shingles(t), by), level) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(bands, pa.list_(pa.int64()))], ["id", "bands"])
+            sets = [shingles(t) for t in b.column("text").to_pylist()]
+            own, par = (pa.array([x.view("i8") for x in c], pa.list_(pa.int64())) for c in (sets, map(parity, sets)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), own, par], ["id", "own", "par"])
 
-    return texts_of(docs, some).mapInArrow(run, "id long, bands array<long>").groupBy("id").agg(F.first("bands").alias("bands"))
+    return texts_of(docs, some).mapInArrow(run, "id long, own array<long>, par array<long>").dropDuplicates(["id"])
 
 
 def prune(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -201,34 +209,56 @@ def mixed(met: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(held.join(several.drop("k"), ["band", "value"]), "minhash-mixed")
 
 
+def small_pairs(met: DataFrame, cond: str = "true") -> DataFrame:
+    """Pairs (u, v) of each list l of (id, root, n), HOT at most, that are in different components and meet the condition on x and y."""
+    across = f"filter(slice(l, i + 2, size(l)), y -> y.root <> x.root and {cond})"
+    pairs = f"flatten(transform(l, (x, i) -> transform({across}, y -> struct(least(x.id, y.id) as u, greatest(x.id, y.id) as v))))"
+    return met.select(F.explode(F.expr(pairs)).alias("p")).select("p.*").distinct()
+
+
+def filtered(docs: DataFrame, classes: DataFrame, open_: DataFrame, hot: int, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of different components that may be similar. open_: stored, as mixed returns it."""
+    s, t = similar
+    size = f"{t} * least(x.n, y.n) >= {s} * greatest(x.n, y.n)"
+    roots = open_.select("id", "root").distinct()
+    some = stored(classes.join(roots, "id").select("id", "root", "n", "rep", "digest"), "minhash-open")
+    sets = stored(open_sets(docs, some), "minhash-open-sets")
+    each = sets.select("id", F.explode("own").alias("shingle"))
+    rare = each.groupBy("shingle").agg(F.count("*").alias("k")).filter(F.col("k") <= hot)
+    own = each.join(rare, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("rare"))  # of one set
+    held = stored(some.select("id", "root", "n").join(own, "id", "left").withColumn("rare", F.coalesce("rare", F.expr("cast(array() as array<struct<k: long, shingle: long>>)"))), "minhash-rare")
+
+    first = held.select("id", "root", "n", F.explode(F.expr(f"slice(rare, 1, cast(n - ceil({s} * n / {t}) + 1 as int))")).alias("r")).filter("r.k > 1")
+    lists = first.groupBy("r.shingle").agg(F.collect_list(F.struct("id", "root", "n")).alias("l"))  # hot at most
+
+    # a pair without a rare shingle in common has n - rare in common at most
+    left = held.select("id", "n", (F.col("n") - F.size("rare")).alias("c")).filter(f"{t} * c >= {s} * n").join(sets.select("id", "par"), "id")
+    rows = open_.select("band", "value", "id", "root", "most").join(left, "id")
+    outside = rows.filter("root <> most").select("band", "value", "most", *(F.col(c).alias(f"o{c}") for c in ("id", "root", "n", "c", "par")))
+    other = rows.select("band", "value", *(F.col(c).alias(f"w{c}") for c in ("id", "root", "n", "c", "par")))
+    far = " + ".join(f"bit_count(opar[{k}] ^ wpar[{k}])" for k in range(LONGS))
+    # of two outside the largest component, the lesser meets the greater
+    bound = f"oroot <> wroot and (wroot = most or oid < wid) and {s + t} * least(oc, wc) >= {s} * (on + wn) and {s + t} * ({far}) <= {t - s} * (on + wn)"
+    rest = outside.join(other, ["band", "value"]).filter(bound)
+    return small_pairs(lists, size).union(rest.select(F.least("oid", "wid").alias("u"), F.greatest("oid", "wid").alias("v"))).distinct()
+
+
 def linked(docs: DataFrame, classes: DataFrame, hot: int = HOT, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(node, root) of linked classes. classes: stored (id, rep, digest, n, sign, bands), none empty."""
-    bands, links = classes.select("id", "bands"), None
-
-    def add(pairs: DataFrame) -> DataFrame:
-        found = verified(stored(prune(pairs, classes, similar), "minhash-survivors"), docs, classes, similar)
-        return found if links is None else links.union(found)
-
-    for level in range(len(LEVELS)):
-        if level:
-            some = stored(classes.join(open_.select("id").distinct(), "id", "left_semi").select("id", "rep", "digest"), "minhash-open")
-            bands = stored(longer_bands(docs, some, level), "minhash-longer")
-        met = buckets(bands)
-        links = add(led(met) if links is None else led(met).join(links, ["u", "v"], "left_anti"))
-        open_ = mixed(met.filter("m > 2"), components(links, "minhash-roots"))
-        few_of = open_.filter((F.col("m") <= hot) & ~F.array_contains("lead", F.col("id")))
-        lists = few_of.groupBy("band", "value").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("l"))  # hot at most
-        small = lists.select(F.explode(F.expr("flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, size(l)), y -> y.root <> x.root), y -> struct(x.id as u, y.id as v))))")).alias("p")).select("p.*").distinct()
-        links = add(small)
-        open_ = open_.filter(F.col("m") > hot)
-        if open_.isEmpty():
-            return components(links, "minhash-roots")
-    outside = open_.filter("root <> most").select("band", "value", F.col("id").alias("o"), F.col("root").alias("r"), "most")
-    other = open_.select("band", "value", F.col("id").alias("w"), F.col("root").alias("wr"))
-    # of two outside the largest component, the lesser meets the greater
-    rest = outside.join(other, ["band", "value"]).filter("r <> wr and (wr = most or o < w)").select(F.least("o", "w").alias("u"), F.greatest("o", "w").alias("v"))
-    links = add(prune(rest, classes, similar).distinct())
-    return components(links, "minhash-roots")
+    met = buckets(classes.select("id", "bands"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verified(stored(prune(pairs, classes, similar), "minhash-survivors"), docs, classes, similar)
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links(pairs)), "minhash-roots")
+
+    roots = components(links(led(met)), "minhash-roots")
+    few_of = mixed(met.filter((F.col("m") > 2) & (F.col("m") <= hot)), roots).filter(~F.array_contains("lead", F.col("id")))
+    lists = few_of.groupBy("band", "value").agg(F.collect_list(F.struct("id", "root")).alias("l"))  # hot at most
+    roots = joined(roots, small_pairs(lists))
+    open_ = mixed(met.filter(F.col("m") > max(hot, 2)), roots)
+    return roots if open_.isEmpty() else joined(roots, filtered(docs, classes, open_, hot, similar))
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT, similar: tuple[int, int] = SIMILAR) -> DataFrame:

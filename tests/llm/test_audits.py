@@ -89,6 +89,33 @@ def test_op12_crowded_bands(spark, monkeypatch, hot, levels):
     assert max(sum(r[2] == c for r in want) for c in {r[2] for r in want}) > 50
 
 
+def test_op12_pairs_below_the_similarity(spark, monkeypatch):
+    """Copies of one text that are less similar than 0.8 share crowded buckets; their pairs don't reach the comparison."""
+    rng, met = random.Random(5), []
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for k in range(240):
+        copy = list(base)
+        for at in rng.sample(range(150), 5):
+            copy[at] = f"c{k}x{at}"
+        docs.append((k, " ".join(copy), None, None, None))
+        if k % 12 == 0:
+            copy[75] = "other"
+            docs.append((1000 + k, " ".join(copy), None, None, None))
+    docs += [(2000 + k, " ".join([*base[: 150 - k], f"d{k}"]), None, None, None) for k in (1, 20)]
+    prune = minhash.prune
+
+    def counted(pairs, *more):
+        met.append(pairs.distinct().count())
+        return prune(pairs, *more)
+
+    monkeypatch.setattr(minhash, "prune", counted)
+    out = minhash.near_duplicates(rows_of(spark, docs)).collect()
+    want = brute.near(docs)
+    assert known((r.doc_id, r.n_shingles, r.component_id, r.doc_id == r.component_id) for r in out) == known(want)
+    assert len({r[2] for r in want}) > 150 and sum(met[1:]) < minhash.HOT * len(docs)
+
+
 def test_op12_posterior():
     from math import comb
 
