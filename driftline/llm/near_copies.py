@@ -261,6 +261,7 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spare = guarded(stored(spare.select(F.col("doc_id").alias("rep"), F.col("digest").alias("same")).distinct(), "near-spare"))
     alone = docs.join(spare, F.col("doc_id").cast("long").eqNullSafe(F.col("rep")) & (text_digest() == F.col("same")), "left_anti")
     met = stored(_met(alone, late, buckets, hot), "near-met")
+    late.destroy()
     busy = met.filter("n IS NOT NULL").select(F.col("a").alias("token"), F.col("b").alias("key"), "n")
     by = F.xxhash64("key")
     lead = busy.groupBy("token").agg(F.array_distinct(F.array(F.min("key"), F.max("key"), F.min_by("key", by), F.max_by("key", by))).alias("lead")).select("token", F.explode("lead").alias("lead"))

@@ -41,6 +41,7 @@ from driftline.llm.common import byte_size, few, guarded, merge, mix, pack_spans
 
 WIDTH, GRAM = 200, 64
 BATCH, CROWD = 1 << 20, 1024
+SLICE = 1 << 18  # bytes that have arrays of 64-bit values at once
 BUCKET_BYTES = 32 << 20
 PART_SEGMENTS = 1 << 13  # of the constructions in one group
 BASE = 0x5851F42D4C957F2D
@@ -101,6 +102,18 @@ def segments(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int =
     return start, stop - start + 1, anchor - start, g[anchor], own
 
 
+def segments_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """segments() of the texts one after the other, for few of them at a time: they take some 60 bytes for each of a text's."""
+    ends = np.cumsum([0, *map(len, texts)])
+    found, a = [], 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, side="right")) - 1)
+        start, *more = segments(np.frombuffer(b"".join(texts[a:z]), "u1"), ends[a + 1 : z + 1] - ends[a], width, gram)
+        found.append((start + ends[a], *more))
+        a = z
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def sent_segments(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
     """Packed segments by bucket of their anchors; bucket -1 has those that are settled, -2 those of crowded anchors."""
     names = ("h", "own", "docs", "runs", "start", "wins", "off", "flag")
@@ -110,9 +123,8 @@ def sent_segments(docs: DataFrame, buckets: int, width: int, gram: int) -> DataF
         return (bucket, planes(h, 6), own.astype("<u8").tobytes(), doc[first].astype("<i8").tobytes(), planes(np.diff(np.append(first, len(doc))), 4), planes(start, 8), planes(wins, 2), planes(off, 2), flag.astype("u1").tobytes())
 
     def flush(parts: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
-        data = np.frombuffer(b"".join(t for _, _, t in parts), "u1")
         ends = np.cumsum([len(t) for _, _, t in parts])
-        start, wins, off, h, own = segments(data, ends, width, gram)
+        start, wins, off, h, own = segments_of([t for _, _, t in parts], width, gram)
         if not len(start):
             return None
         k = np.searchsorted(ends, start, side="right")

@@ -572,3 +572,19 @@ def test_hashed_terms_and_votes_in_pieces_equal_plain_counts():
         terms = {x for w in toxicity.counted(t) for x in toxicity.terms(w)}
         voters = {int(known.voters[known.hashes.tolist().index(toxicity.hash_of(w))]) for w in (b"ogre", b"trolls*", b"xyzzy*", b"b") if w in terms}
         assert set(np.flatnonzero(votes[: toxicity.VOTERS] == 2).tolist()) == voters
+
+
+def test_segments_in_slices():
+    """A batch's arrays are made for few texts at a time, with the same segments."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 101, int(n), dtype="u1").tobytes() for n in rng.integers(200, 9000, 228)] + [b"", b"short"]
+    texts[5], texts[7] = texts[9], texts[3][:700] + texts[9][:900]
+    want = suffixes.segments(np.frombuffer(b"".join(texts), "u1"), np.cumsum([*map(len, texts)]))
+    tracemalloc.start()
+    got = suffixes.segments_of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True)) and len(want[0]) > 1000
+    assert sum(map(len, texts)) > 1_000_000 and peak < 30_000_000  # 59 MB at once
